@@ -36,10 +36,10 @@ class Ftrl:
     """Weights by coordinate with their own rates; l1 leaves most at exactly zero."""
 
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.0
 
     def __post_init__(self) -> None:
         self.z = np.zeros((1 << self.bits) + 1)
@@ -57,7 +57,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_train: int = 6000, bits: int = 20, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_train: int = 6000, bits: int = 20, epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) from at most ``max_train`` labelled rows outside fold 0.
 
     Null labels or ids are not learnt from; an id labelled twice counts as toxic if either says so. Without any
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = sorted(rows.mapInArrow(hashed, f"id {docs.schema[id_col].dataType.simpleString()}, label int, at binary").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["at"]))[: 2 * max_train]
     model = Ftrl(bits)
     toxic = sum(r["label"] for r in found)
-    up = min(10.0, max(1.0, (len(found) - toxic) / max(1, toxic) / 3))
+    up = min(3.0, max(1.0, (len(found) - toxic) / max(1, toxic) / 3))
     bias = np.array([1 << bits])
     for _ in range(epochs):
         for r in found:
