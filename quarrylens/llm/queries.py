@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, near_dedup, packing, pii, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, html_extract, near_dedup, packing, pii, toxicity, url_filter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("listed")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op4_pii, op5_exact_dedup, op6_packing, op9_toxicity, op10_html_extraction, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_embedding_near_dedup, op4_pii, op5_exact_dedup, op6_packing, op9_toxicity, op10_html_extraction, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
