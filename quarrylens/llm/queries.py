@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, html_extract, near_dedup, packing, pii, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, html_extract, near_dedup, packing, pieces, pii, ppm, toxicity, url_filter
 from .common import table
 
 
@@ -40,6 +40,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,7 +91,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_embedding_near_dedup, op4_pii, op5_exact_dedup, op6_packing, op9_toxicity, op10_html_extraction, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filters, op3_embedding_near_dedup, op4_pii, op5_exact_dedup, op6_packing, op7_lm_scoring, op8_sentencepiece, op9_toxicity, op10_html_extraction, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
