@@ -1,0 +1,20 @@
+"""Impact and lineage analysis over mainframe source libraries, as Spark jobs."""
+
+from .plans.api import (
+    db2_boundary,
+    field_dependencies_json,
+    field_dependency_summary,
+    get_field_dependencies,
+    get_program_field_dependencies,
+    get_table_dependencies,
+    index,
+    list_tables,
+    query,
+    table_dependencies_json,
+    table_dependency_summary,
+)
+from .plans.fields import FieldResult
+from .plans.index import Index, open_index
+from .plans.tables import Result
+
+__all__ = ["FieldResult", "Index", "Result", "db2_boundary", "field_dependencies_json", "field_dependency_summary", "get_field_dependencies", "get_program_field_dependencies", "get_table_dependencies", "index", "list_tables", "open_index", "query", "table_dependencies_json", "table_dependency_summary"]
