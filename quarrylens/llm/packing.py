@@ -21,20 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Costs in tokens of padding: a cut at a sentence's end and one inside a sentence; at a document's end it is free.
-AT_SENTENCE, IN_SENTENCE = 1.0, 5.0
-#: Inside a sentence, a candidate every so many tokens.
-STRIDE = 16
+AT_SENTENCE, IN_SENTENCE = 1.0, 8.0
+#: A candidate at every multiple of so many tokens, of which the window's size is one: full windows can follow each other.
+STRIDE = 64
 #: Tokens whose windows are chosen together.
 BLOCK = 1 << 20
 _UNSAFE = re.compile(r"\s \s")
-_CACHE_MAX = 600_000
+#: How byte-level vocabularies write a line feed.
+_NEWLINE = "\u010a"
+_CACHE_MAX = 1_200_000
 
 
 class WordTokenizer:
     """Token ids of texts by ``tokenizers``; pieces between single spaces are encoded once and remembered.
 
     The byte-level splitting rule always starts a new word at a space before a non-space, so the ids of a text are
-    the ids of its pieces; texts with other runs of white space around a space are encoded whole.
+    the ids of its pieces; texts with other runs of white space around a space are encoded whole. New pieces are
+    encoded many in one string and told apart by the byte lengths of their tokens.
     """
 
     def __init__(self, path: str):
@@ -43,20 +46,38 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.bytes_of, self.ending = np.zeros(size, np.int64), np.zeros(size, bool)
+        for token, i in self.tok.get_vocab(with_added_tokens=True).items():  # byte-level tokens: one character a byte
+            self.bytes_of[i], self.ending[i] = len(token), token[-1] in ".!?" or _NEWLINE in token
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
-        """For each text the ids of its pieces, as little-endian 32-bit numbers."""
+    def _learn(self, pieces: list[str]) -> None:
+        joined = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[1].isspace()]
+        for i in range(0, len(joined), 4000):
+            part = joined[i : i + 4000]
+            (data,) = self._encode(["".join(part)])
+            ends = np.cumsum([len(p.encode("utf-8")) for p in part])
+            at = (np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(data, "<u4")]), ends) + 1) * 4
+            at = [0, *at.tolist()]
+            self.known.update(zip(part, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        single = [p for p in pieces if p not in self.known]
+        self.known.update(zip(single, self._encode(single), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
         if len(self.known) > _CACHE_MAX:
             self.known = {}
-        cut = [None if _UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = list({p for c in cut if c is not None for p in c if p not in self.known})
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
-        for text, c in zip(texts, cut, strict=True):
-            yield [self.known[p] for p in c] if c is not None else self._encode([text])
+        get = self.known.get
+        cut = [[t] if "\0" in t or _UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        data = [list(map(get, c)) if len(c) > 1 else [None] for c in cut]
+        gaps = [k for k, d in enumerate(data) if len(d) > 1 and None in d]
+        self._learn(list({p for k in gaps for p, d in zip(cut[k], data[k], strict=True) if d is None}))
+        for k in gaps:
+            data[k] = list(map(get, cut[k]))
+        return [b"".join(d) if len(d) > 1 else self._encode(c)[0] for c, d in zip(cut, data, strict=True)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -100,27 +121,18 @@ class Packer:
         self.ids: list[bytes] = []
         self.pos, self.penalty, self.end, self.window = [0], [0.0], 0, 0
 
-    def _candidate(self, at: int, penalty: float) -> None:
-        while at - self.pos[-1] > STRIDE:
-            self.pos.append(self.pos[-1] + STRIDE)
-            self.penalty.append(IN_SENTENCE)
-        if at > self.pos[-1]:
-            self.pos.append(at)
-            self.penalty.append(penalty)
-        else:
-            self.penalty[-1] = min(penalty, self.penalty[-1])
-
-    def add(self, doc_id: object, pieces: list[bytes], ends: list[bool]) -> Iterator[tuple]:
+    def add(self, doc_id: object, ids: bytes, ending: np.ndarray) -> Iterator[tuple]:
+        """``ending`` tells of every token id whether a sentence or line ends with it."""
         begin = self.end
-        for piece, ending in zip(pieces, ends, strict=True):
-            self.end += len(piece) >> 2
-            if ending:
-                self._candidate(self.end, AT_SENTENCE)
-        self.ids.extend(pieces)
-        self.ids.append(b"\0\0\0\0")
-        self.end += 1
-        self._candidate(self.end, 0.0)
-        self.docs.append((doc_id, begin, self.end - begin))
+        ends = np.flatnonzero(ending[np.frombuffer(ids, "<u4")]) + 1
+        total = (len(ids) >> 2) + 1
+        grid = np.arange((begin // STRIDE + 1) * STRIDE, begin + total, STRIDE)
+        at, which = np.unique(np.concatenate([[begin + total], begin + ends, grid]), return_index=True)
+        self.pos.extend(at.tolist())
+        self.penalty.extend(np.where(which == 0, 0.0, np.where(which <= len(ends), AT_SENTENCE, IN_SENTENCE)).tolist())
+        self.ids += (ids, b"\0\0\0\0")
+        self.end += total
+        self.docs.append((doc_id, begin, total))
         if self.end >= self.block:
             yield from self.flush(False)
 
@@ -184,10 +196,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(i, 512)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows: list[tuple] = []
-                for doc_id, text, pieces in zip(part.column("id").to_pylist(), texts, tok.encode(texts), strict=True):
-                    words = text.split(" ")
-                    ends = [w[-1:] in ".!?\n" or "\n" in w for w in words] if len(words) == len(pieces) else [False] * len(pieces)
-                    rows.extend(packer.add(doc_id, pieces, ends))
+                for doc_id, ids in zip(part.column("id").to_pylist(), tok.encode(texts), strict=True):
+                    rows.extend(packer.add(doc_id, ids, tok.ending))
                 if rows:
                     yield out(rows)
         rows = list(packer.flush())

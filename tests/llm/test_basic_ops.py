@@ -91,8 +91,8 @@ def test_piecewise_tokens_equal_whole_tokens(text):
 
     tok = Tokenizer.from_file(BPE)
     tok.encode_special_tokens = True
-    (pieces,) = packing.tokenizer(BPE).encode([text])
-    assert np.frombuffer(b"".join(pieces), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    (data,) = packing.tokenizer(BPE).encode([text])
+    assert np.frombuffer(data, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(rows, texts, size=1024):
@@ -103,7 +103,7 @@ def check_packing(rows, texts, size=1024):
         sequences[r.sequence_id].append(r)
     for doc_id, text in texts:
         (p,) = tok.encode([text or ""])
-        data = b"".join(p) + b"\0\0\0\0"
+        data = p + b"\0\0\0\0"
         at = 0
         for r in sorted(pieces[doc_id], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(data) // 4
@@ -136,7 +136,7 @@ def test_packing_over_block_borders():
     for i in range(200):
         n = int(rng.integers(0, 90))
         sizes[i] = n + 1
-        out += packer.add(i, [b"\1\0\0\0"] * n, [bool(x) for x in rng.random(n) < 0.2])
+        out += packer.add(i, rng.integers(0, 5, n).astype("<u4").tobytes(), np.arange(5) == 0)
     out += packer.flush()
     got = defaultdict(int)
     for d, start, n, *_ in out:
