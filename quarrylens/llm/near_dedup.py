@@ -8,7 +8,8 @@ on a coordinate with the probability of their weighted Jaccard similarity. Bands
 
 Pairs are verified with exact similarities of whole texts. Each band bucket first links its members to its
 smallest id; where verified links leave a bucket in several parts, its members are compared in blocks across
-those parts, so no link is lost to the first step and a tight group of n copies costs n comparisons.
+those parts, first each with its likeliest partner and the block's best hub with all, then every pair that is
+left. So no link is lost to the first steps, and a tight group of n copies costs n comparisons.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import components, groups, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 8
+BANDS, ROWS = 32, 7
 #: Members of a bucket that are compared in one block; larger buckets are cut into blocks.
 BLOCK = 256
-#: Share of equal coordinates from which a pair is verified: over four standard deviations below SIMILARITY.
-LIKELY = 0.7
+#: Share of equal coordinates from which a pair is verified: three standard deviations below SIMILARITY.
+LIKELY = 0.72
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -38,9 +39,21 @@ _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-mixed 64-bit hash of each number."""
     x = x + _C1
-    x = (x ^ (x >> _U(30))) * _C2
-    x = (x ^ (x >> _U(27))) * _C3
-    return x ^ (x >> _U(31))
+    x ^= x >> _U(30)
+    x *= _C2
+    x ^= x >> _U(27)
+    x *= _C3
+    x ^= x >> _U(31)
+    return x
+
+
+def _draw(seed: np.ndarray, turn: int) -> np.ndarray:
+    """The turn-th draw of well-mixed seeds."""
+    x = seed + _U(turn * 0xBF58476D1CE4E5B9 % 2**64)
+    x ^= x >> _U(32)
+    x *= _C3
+    x ^= x >> _U(29)
+    return x
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -64,48 +77,73 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / high) if high else 0.0
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The identity of the earliest dart of each of k coordinates, for elements of positive weight."""
+def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: int, k: int) -> np.ndarray:
+    """The identity of the earliest dart of each of k coordinates, for each of several sets (sets, k).
+
+    Element i, of positive weight, belongs to set owner[i]; no set is empty. Sets are worked together but do not
+    touch each other. Where a coordinate got no dart, the set's time is doubled and its darts are thrown again.
+    """
     whole = np.ceil(weights).astype(np.int64)
-    units = np.repeat(elements, whole)
-    first = np.concatenate([[0], np.cumsum(whole)[:-1]])
-    layer = (np.arange(len(units)) - np.repeat(first, whole)).astype(_U)
+    units, of = np.repeat(elements, whole), np.repeat(owner, whole)
+    layer = np.arange(len(units)) - np.repeat(np.cumsum(whole) - whole, whole)
     room = np.repeat(weights, whole) - layer
-    unit = mix(units ^ mix(layer))
-    best, when = np.zeros(k, dtype=_U), np.full(k, np.inf)
-    until = k * (np.log(k) + 2) / max(float(np.sum(weights)), 1e-9)
-    while True:
-        seed, space, clock, turn = unit, room, np.zeros(len(unit)), 0
-        found_id, found_at, found_when = [], [], []
+    unit = mix(units ^ mix(layer.astype(_U)))
+    parts = bool((room < 1).any())
+    until = k * (np.log(k) + 2.5) / np.maximum(np.bincount(owner, weights=weights, minlength=sets), 1e-9)
+    best = np.empty((sets, k), _U)
+    open_ = np.arange(sets)
+    while len(open_):
+        place = np.full(sets, -1)
+        place[open_] = np.arange(len(open_))
+        at = place[of]
+        some = at >= 0
+        seed, space, at = unit[some], room[some] if parts else None, at[some]
+        limit = until[open_][at]
+        clock, turn = np.zeros(len(seed)), 0
+        slots, times, names = [], [], []
         while len(seed):
             turn += 1
-            draw = mix(seed + _U((turn * 0xBF58476D1CE4E5B9) % 2**64))
-            clock = clock - np.log(((draw >> _U(11)).astype(np.float64) + 0.5) / 2**53)
-            near = clock <= until
-            seed, space, clock, draw = seed[near], space[near], clock[near], draw[near]
-            inside = (mix(draw ^ _C3) >> _U(11)).astype(np.float64) / 2**53 < space
-            found_id.append(draw[inside])
-            found_at.append((mix(draw ^ _C1) % _U(k)).astype(np.int64)[inside])
-            found_when.append(clock[inside])
-        ids, at, time = np.concatenate(found_id), np.concatenate(found_at), np.concatenate(found_when)
-        order = np.lexsort((ids, -time))
-        best[at[order]] = ids[order]
-        when[at[order]] = time[order]
-        if np.isfinite(when).all():
-            return best
-        until *= 2
-
-
-def signature(text: str | None) -> tuple[list[int] | None, bytes]:
-    """(one hash a band, one byte a coordinate); None and nothing for a text without words."""
-    e, c = shingles(text)
-    if not len(e):
-        return None, b""
-    best = darts(e, c.astype(np.float64), BANDS * ROWS)
-    bands = np.arange(BANDS, dtype=_U)
-    for column in best.reshape(BANDS, ROWS).T:
+            draw = _draw(seed, turn)
+            clock -= np.log(((draw >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
+            near = np.flatnonzero(clock <= limit)
+            seed, at, limit, clock, draw = seed[near], at[near], limit[near], clock[near], draw[near]
+            slot, name, time = at * k + ((draw * _C2 >> _U(32)) * _U(k) >> _U(32)).view(np.int64), draw, clock.copy()
+            if parts:  # the dart's height decides on parts of a unit
+                space = space[near]
+                inside = (mix(draw ^ _C3) >> _U(11)).astype(np.float64) * 2.0**-53 < space
+                slot, name, time = slot[inside], name[inside], time[inside]
+            slots.append(slot)
+            times.append(time)
+            names.append(name)
+        slot, time, name = np.concatenate(slots), np.concatenate(times), np.concatenate(names)
+        first = np.full(len(open_) * k, np.inf)
+        np.minimum.at(first, slot, time)
+        won = time == first[slot]
+        found = np.full(len(first), np.iinfo(np.uint64).max, _U)
+        np.minimum.at(found, slot[won], name[won])
+        full = np.isfinite(first).reshape(-1, k).all(axis=1)
+        best[open_[full]] = found.reshape(-1, k)[full]
+        until[open_[~full]] *= 2
+        open_ = open_[~full]
+    return best
+
+
+def sign(texts: list[str | None]) -> list[tuple[list[int] | None, bytes]]:
+    """For each text one hash a band and one byte a coordinate; None and nothing for a text without words."""
+    sets = [shingles(t) for t in texts]
+    full = [i for i, (e, _) in enumerate(sets) if len(e)]
+    out: list[tuple[list[int] | None, bytes]] = [(None, b"")] * len(texts)
+    if not full:
+        return out
+    owner = np.repeat(np.arange(len(full)), [len(sets[i][0]) for i in full])
+    best = darts(np.concatenate([sets[i][0] for i in full]), np.concatenate([sets[i][1] for i in full]).astype(np.float64), owner, len(full), BANDS * ROWS)
+    bands = np.tile(np.arange(BANDS, dtype=_U), (len(full), 1))
+    for column in np.moveaxis(best.reshape(-1, BANDS, ROWS), 2, 0):
         bands = mix(bands ^ column)
-    return bands.view(np.int64).tolist(), (mix(best) & _U(255)).astype(np.uint8).tobytes()
+    coords = (mix(best) & _U(255)).astype(np.uint8)
+    for n, i in enumerate(full):
+        out[i] = bands[n].view(np.int64).tolist(), coords[n].tobytes()
+    return out
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,7 +154,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
                 texts = b.column("text").to_pylist()
-                rows = [signature(t) for t in texts]
+                # texts of like length together: the shorter, the more turns of darts a set takes
+                order = sorted(range(len(texts)), key=lambda k: len(texts[k] or ""))
+                rows: list = [None] * len(texts)
+                for k in range(0, len(order), 48):
+                    for n, row in zip(order[k : k + 48], sign([texts[n] for n in order[k : k + 48]]), strict=True):
+                        rows[n] = row
                 sha = [hashlib.sha256(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())).digest()[:20] for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sha, pa.binary()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], ["id", "words_sha", "bands", "coords"])
 
@@ -146,21 +189,32 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(judged, "a long, b long")
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different parts within a block pair whose coordinates mostly agree."""
-    for t in groups(batches, ["bucket", "low", "high"]):
-        ids = t.column("id").to_numpy()
-        part, block = t.column("part").to_numpy(), t.column("block").to_numpy()
-        coords = np.frombuffer(b"".join(t.column("coords").to_pylist()), np.uint8).reshape(len(ids), -1)
-        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        for i in one:
-            other = two[(part[two] != part[i]) & ((ids[two] > ids[i]) | (low != high))]
-            if len(other):
-                other = other[(coords[other] == coords[i]).mean(axis=1) >= LIKELY]
-                x, y = np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+def _likely(every: bool):
+    """Pairs of different parts within a block pair whose coordinates mostly agree.
+
+    Unless ``every`` is set, only those of the member with most such pairs, and the likeliest of every member.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["bucket", "low", "high"]):
+            ids = t.column("id").to_numpy()
+            part, block = t.column("part").to_numpy(), t.column("block").to_numpy()
+            coords = np.frombuffer(b"".join(t.column("coords").to_pylist()), np.uint8).reshape(len(ids), -1)
+            low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+            one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            share = np.stack([(coords[two] == coords[i]).mean(axis=1) for i in one])
+            share[part[one][:, None] == part[two][None, :]] = 0
+            i, j = np.nonzero(share >= LIKELY)
+            if not every and len(i):
+                hub = np.bincount(i).argmax()
+                best = share.argmax(axis=1)
+                keep = (i == hub) | (j == best[i])
+                i, j = i[keep], j[keep]
+            if len(i):
+                x, y = ids[one[i]], ids[two[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return found
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,20 +236,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     near = written(verified(tried, texts), "links")
     part = components(near)
 
-    parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("part"))
-    parted = written(parted.join(shared.select("bucket"), "bucket", "left_semi"), "parts")
-    split = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q")
-    dealt = parted.join(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(reps.select("id", "coords"), "id")
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    more = dealt.mapInArrow(_likely, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    late = written(verified(written(more, "pairs"), texts), "links")
-    reach = components(near.unionByName(late)) if late.limit(1).count() else part
+    links = near
+    for every in (False, True):
+        parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("part"))
+        parted = written(parted.join(shared.select("bucket"), "bucket", "left_semi"), "parts")
+        split = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q")
+        dealt = parted.join(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(reps.select("id", "coords"), "id")
+        dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        more = written(dealt.mapInArrow(_likely(every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(more)
+        late = written(verified(more, texts), "links")
+        if late.limit(1).count():
+            links = links.unionByName(late)
+            part = components(links)
 
     rep_of = worded.join(same, "words_sha").select("id", "rep")
-    found = rep_of.join(reach.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+    found = rep_of.join(part.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     rows = docs.select(F.col(id_col).alias("row_id"))
     return rows.join(found, F.col("row_id").cast("long") == F.col("id"), "left").select(F.col("row_id").alias(id_col), F.coalesce("class_id", F.col("row_id").cast("long")).alias("class_id"))
 

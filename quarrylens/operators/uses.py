@@ -168,8 +168,8 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     listed = listed.join(_targets(rows), _KEY).where("what in ('INSERT', 'MERGE')").select(*_KEY, "pos", "line", "slot", F.element_at(F.split("word", r"\."), -1).alias("name"), F.col("target").alias("table"))
     without = _targets(rows).where("what = 'INSERT'").join(lists.select(*_KEY), _KEY, "left_anti")
     expanded = without.join(known.select(F.col("table").alias("target"), "name", "seq"), "target", "left")
-    no_list = expanded.where("name is null").select(*_KEY, "line", F.lit("INSERT-NO-COLUMNS").alias("kind"), F.col("target").alias("detail"))
-    positional = expanded.where("name is not null").select(*_KEY, F.col("target_pos").alias("pos"), "line", F.col("seq").alias("slot"), "name", F.col("target").alias("table"))
+    no_list = expanded.where("name is null").select(*_KEY, F.col("target_line").alias("line"), F.lit("INSERT-NO-COLUMNS").alias("kind"), F.col("target").alias("detail"))
+    positional = expanded.where("name is not null").select(*_KEY, F.col("target_pos").alias("pos"), F.col("target_line").alias("line"), F.col("seq").alias("slot"), "name", F.col("target").alias("table"))
     opened = rows.where((F.col("tok") == "(") & (F.col("p1") == "VALUES")).groupBy(*_KEY).agg(F.min("grp").alias("grp"))
     values = hosts.join(opened, [*_KEY, "grp"]).groupBy(*_KEY, "slot").agg(F.min_by("word", "pos").alias("host"))
     inserted = listed.unionByName(positional).join(values, [*_KEY, "slot"], "left")
@@ -192,12 +192,12 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     out.append(_use(fields.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
     out.append(_use(fields.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
     bare = _targets(rows).where("what in ('LOAD INTO TABLE', 'UNLOAD FROM TABLE')").join(after.select(*_KEY, "target_pos"), [*_KEY, "target_pos"], "left_anti")
-    filled = bare.join(known.select(F.col("table").alias("target"), "name"), "target", "left").withColumn("pos", F.col("target_pos")).withColumn("table", F.col("target"))
+    filled = bare.join(known.select(F.col("table").alias("target"), "name"), "target", "left").withColumn("pos", F.col("target_pos")).withColumn("line", F.col("target_line")).withColumn("table", F.col("target"))
     blank = filled.where("name is null").select(*_KEY, "line", F.lit("NO-COLUMN-LIST").alias("kind"), F.col("target").alias("detail"))
     full = filled.where("name is not null")
     out.append(_use(full.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
     out.append(_use(full.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
-    notes = full.select("path", F.col("target").alias("table"), F.lower("verb").alias("verb")).distinct()
+    notes = full.select("path", F.col("target").alias("table"), F.lower("target_verb").alias("verb")).distinct()
 
     uses = reduce(DataFrame.unionByName, out).join(labels(rows), _KEY)
     holes = reduce(DataFrame.unionByName, [ambiguous, blind, no_list, blank]).distinct()
@@ -205,8 +205,8 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def _targets(rows: DataFrame) -> DataFrame:
-    """(key, target, target_pos, after, what, line): the table that a statement writes, indexes, loads or unloads."""
+    """(key, target, target_pos, after, what, target_line, target_verb): the table that a statement writes, indexes, loads or unloads."""
     found = table_tokens(rows).where((F.col("access") == "WRITE") | F.col("what").isin("CREATE INDEX", "UNLOAD FROM TABLE"))
     # after: the place of the token that follows the table's name
     follow = rows.select(*_KEY, F.lead("pos").over(Window.partitionBy(*_KEY).orderBy("pos")).alias("after"), "pos")
-    return found.join(follow, [*_KEY, "pos"]).select(*_KEY, F.col("table").alias("target"), F.col("pos").alias("target_pos"), "after", "what", F.col("line"), F.col("verb"))
+    return found.join(follow, [*_KEY, "pos"]).select(*_KEY, F.col("table").alias("target"), F.col("pos").alias("target_pos"), "after", "what", F.col("line").alias("target_line"), F.col("verb").alias("target_verb"))

@@ -37,7 +37,7 @@ def expanded_targets(index: Index, spec: str, depth: int = 8) -> DataFrame:
 def direct_references(index: Index, targets: DataFrame, spec: str) -> DataFrame:
     """Reference rows of the targets, and of the table space that holds the table."""
     schema, table = split_spec(spec)
-    match = lambda rows, t: (rows.table_name == t.t) & ((rows.schema == t.s) | (rows.schema == "") | (t.s == ""))
+    match = lambda rows, t: (rows["table_name"] == t["t"]) & ((rows["schema"] == t["s"]) | (rows["schema"] == "") | (t["s"] == ""))
     refs = index.table_refs
     plain, spaces = refs.where("via = ''"), refs.where("via = 'tablespace'")
     named = targets.select(F.col("schema").alias("s"), F.col("table").alias("t")).distinct()

@@ -43,7 +43,7 @@ def test_darts_estimate_weighted_jaccard():
         a, b = rng.random(300) * 3, np.zeros(300)
         b = np.abs(a + rng.normal(0, shift, 300)) + 1e-6
         want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-        x, y = nd.darts(e, a, 2000), nd.darts(e, b, 2000)
+        x, y = nd.darts(np.concatenate([e, e]), np.concatenate([a, b]), np.repeat([0, 1], 300), 2, 2000)
         assert abs((x == y).mean() - want) < 0.04
 
 
