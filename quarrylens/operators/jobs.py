@@ -78,14 +78,14 @@ def deck_references(dds: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     """
     members = dds.where(F.col("is_member"))
     decks = files.where(F.col("kind").isin("CONTROL", "SORT", "SQL", "BIND", "UNKNOWN")).select(F.col("path").alias("deck_path"), "library", "member", F.col("kind").alias("deck_kind"))
-    wired = members.join(decks, (members.base == decks.library) & (members.tail == decks.member))
+    wired = members.join(decks, (members["base"] == decks["library"]) & (members["tail"] == decks["member"]))
     found = wired.select("path", "job", "step", "seq", "dd", "dsn", "deck_kind", "deck_path")
-    missing = members.where(F.col("dd").isin("SYSIN", "SYSTSIN", "SORTCNTL", "TOOLIN")).join(decks, (members.base == decks.library) & (members.tail == decks.member), "left_anti").select("path", "dsn", "tail")
+    missing = members.where(F.col("dd").isin("SYSIN", "SYSTSIN", "SORTCNTL", "TOOLIN")).join(decks, (members["base"] == decks["library"]) & (members["tail"] == decks["member"]), "left_anti").select("path", "dsn", "tail")
     near = decks.select(F.col("member").alias("tail"), "library").groupBy("tail").agg(F.sort_array(F.collect_set("library")).alias("elsewhere"))
     lost = missing.distinct().join(near, "tail", "left").select("path", F.concat(F.col("dsn"), F.lit(" is not in the index"), F.when(F.col("elsewhere").isNotNull(), F.concat(F.lit("; same member in "), F.array_join("elsewhere", ", "))).otherwise("")).alias("detail"))
     # decks that no step names, though some step names their member in another library
     named = found.select("deck_path").distinct()
     taken = members.select("tail", "base").distinct()
-    apart = decks.where("deck_kind = 'CONTROL'").join(named, "deck_path", "left_anti").join(taken, (decks.member == taken.tail) & (decks.library != taken.base))
+    apart = decks.where("deck_kind = 'CONTROL'").join(named, "deck_path", "left_anti").join(taken, (decks["member"] == taken["tail"]) & (decks["library"] != taken["base"]))
     orphan = apart.select(F.col("deck_path").alias("path"), F.concat(F.lit("no step names "), "library", F.lit("("), "member", F.lit("); steps name "), "base", F.lit("("), "member", F.lit(")")).alias("detail"))
     return found, lost.unionByName(orphan)

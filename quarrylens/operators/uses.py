@@ -114,6 +114,8 @@ def select_items(rows: DataFrame, columns: DataFrame, known: DataFrame) -> tuple
 def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(uses, blind spots, notes) of structured and placed tokens, given the known columns."""
     columns, ambiguous = column_tokens(rows, known)
+    # read by many branches below: kept so that each is worked out once
+    columns, targets = columns.persist(), _targets(rows).persist()
     p1, n1, n2 = (F.coalesce(c, F.lit("")) for c in ("p1", "n1", "n2"))
     strict = F.col("defined") | (F.col("qualifier") != "")
     hosts = rows.where("kind = 'host'")
@@ -122,6 +124,7 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
 
     # select lists, INTO and expressions
     items, blind = select_items(rows, columns, known)
+    items = items.persist()
     into = hosts.where((F.col("clause") == "INTO") & (F.col("verb") != "FETCH") & (F.col("p1").isin("INTO", ","))).select(*_KEY, F.col("grp").alias("owner"), F.col("slot").alias("ordinal"), F.col("word").alias("host"))
     paired = items.join(into.dropDuplicates([*_KEY, "owner", "ordinal"]), [*_KEY, "owner", "ordinal"], "left")
     out.append(_use(paired, "READ", "SELECT", F.coalesce("host", F.lit(""))))
@@ -149,9 +152,9 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     sets = rows.where((F.col("own_clause") == "SET"))
     slot = [*_KEY, "owner", "own_part", "own_slot"]
     heads = sets.where((F.col("kind") == "name") & (F.coalesce("kw", F.lit("")) != "SET") & (p1.isin("SET", ",")) & (n1 == "="))
-    target = rows.join(_targets(rows), _KEY)
+    target = rows.join(targets, _KEY)
     first_host = hosts.where("own_clause = 'SET'").groupBy(*slot).agg(F.min_by("word", "pos").alias("host"))
-    written = heads.join(_targets(rows), _KEY).join(first_host, slot, "left").withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
+    written = heads.join(targets, _KEY).join(first_host, slot, "left").withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
     out.append(_use(written, "WRITE", "SET", F.coalesce("host", F.lit(""))))
     read = columns.where("own_clause = 'SET'").where("defined").join(heads.select(*_KEY, "pos"), [*_KEY, "pos"], "left_anti")
     out.append(_use(read, "READ", "SET-EXPR"))
@@ -164,9 +167,9 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     inserts = target.where((F.col("tok") == "(") & (F.col("pos") == F.col("after")) & (F.col("n1") != "SELECT")).select(*_KEY, F.col("grp").alias("list"))
     merge_list = rows.where((F.col("tok") == "(") & (F.col("p1") == "INSERT") & (F.col("verb") == "MERGE")).select(*_KEY, F.col("grp").alias("list"))
     lists = inserts.unionByName(merge_list)
-    listed = rows.where("kind = 'name'").join(lists, (rows.path == lists.path) & (rows.unit == lists.unit) & (rows.stmt == lists.stmt) & (rows.grp == lists.list)).select(*[rows[c] for c in (*_KEY, "pos", "line", "slot", "word")])
-    listed = listed.join(_targets(rows), _KEY).where("what in ('INSERT', 'MERGE')").select(*_KEY, "pos", "line", "slot", F.element_at(F.split("word", r"\."), -1).alias("name"), F.col("target").alias("table"))
-    without = _targets(rows).where("what = 'INSERT'").join(lists.select(*_KEY), _KEY, "left_anti")
+    listed = rows.where("kind = 'name'").join(lists.select(*_KEY, F.col("list").alias("grp")), [*_KEY, "grp"]).select(*_KEY, "pos", "line", "slot", "word")
+    listed = listed.join(targets, _KEY).where("what in ('INSERT', 'MERGE')").select(*_KEY, "pos", "line", "slot", F.element_at(F.split("word", r"\."), -1).alias("name"), F.col("target").alias("table"))
+    without = targets.where("what = 'INSERT'").join(lists.select(*_KEY), _KEY, "left_anti")
     expanded = without.join(known.select(F.col("table").alias("target"), "name", "seq"), "target", "left")
     no_list = expanded.where("name is null").select(*_KEY, F.col("target_line").alias("line"), F.lit("INSERT-NO-COLUMNS").alias("kind"), F.col("target").alias("detail"))
     positional = expanded.where("name is not null").select(*_KEY, F.col("target_pos").alias("pos"), F.col("target_line").alias("line"), F.col("seq").alias("slot"), "name", F.col("target").alias("table"))
@@ -191,7 +194,7 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     out.append(_use(fields.where("what = 'CREATE INDEX'"), "READ", "INDEX"))
     out.append(_use(fields.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
     out.append(_use(fields.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
-    bare = _targets(rows).where("what in ('LOAD INTO TABLE', 'UNLOAD FROM TABLE')").join(after.select(*_KEY, "target_pos"), [*_KEY, "target_pos"], "left_anti")
+    bare = targets.where("what in ('LOAD INTO TABLE', 'UNLOAD FROM TABLE')").join(after.select(*_KEY, "target_pos"), [*_KEY, "target_pos"], "left_anti")
     filled = bare.join(known.select(F.col("table").alias("target"), "name"), "target", "left").withColumn("pos", F.col("target_pos")).withColumn("line", F.col("target_line")).withColumn("table", F.col("target"))
     blank = filled.where("name is null").select(*_KEY, "line", F.lit("NO-COLUMN-LIST").alias("kind"), F.col("target").alias("detail"))
     full = filled.where("name is not null")
