@@ -137,10 +137,12 @@ def sign(texts: list[str | None]) -> list[tuple[list[int] | None, bytes]]:
         return out
     owner = np.repeat(np.arange(len(full)), [len(sets[i][0]) for i in full])
     best = darts(np.concatenate([sets[i][0] for i in full]), np.concatenate([sets[i][1] for i in full]).astype(np.float64), owner, len(full), BANDS * ROWS)
-    bands = np.tile(np.arange(BANDS, dtype=_U), (len(full), 1))
-    for column in np.moveaxis(best.reshape(-1, BANDS, ROWS), 2, 0):
-        bands = mix(bands ^ column)
     coords = (mix(best) & _U(255)).astype(np.uint8)
+    # a bucket is its band's number and seven bytes, told apart exactly by the 64 bits; mixing only spreads them
+    bands = np.tile(np.arange(BANDS, dtype=_U), (len(full), 1))
+    for column in np.moveaxis(coords.reshape(-1, BANDS, ROWS), 2, 0):
+        bands = bands << _U(8) | column.astype(_U)
+    bands = mix(bands)
     for n, i in enumerate(full):
         out[i] = bands[n].view(np.int64).tolist(), coords[n].tobytes()
     return out
@@ -192,7 +194,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 def _likely(every: bool):
     """Pairs of different parts within a block pair whose coordinates mostly agree.
 
-    Unless ``every`` is set, only those of the member with most such pairs, and the likeliest of every member.
+    Unless ``every`` is set, only those of the member with most such pairs, and the likeliest of every member. A pair
+    that shares several bands is told in the first of them alone: equal bytes in a band mean a shared bucket.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,12 @@ def _likely(every: bool):
             coords = np.frombuffer(b"".join(t.column("coords").to_pylist()), np.uint8).reshape(len(ids), -1)
             low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
             one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            share = np.stack([(coords[two] == coords[i]).mean(axis=1) for i in one])
+            band = t.column("band")[0].as_py()
+            share = np.empty((len(one), len(two)))
+            for n, i in enumerate(one):
+                equal = coords[two] == coords[i]
+                first = equal.reshape(len(two), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                share[n] = equal.mean(axis=1) * first
             share[part[one][:, None] == part[two][None, :]] = 0
             i, j = np.nonzero(share >= LIKELY)
             if not every and len(i):
@@ -230,7 +238,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     worded = signed.where("bands is not null")
     same = written(worded.groupBy("words_sha").agg(F.min("id").alias("rep")), "representatives")
     reps = worded.join(same, (worded.words_sha == same.words_sha) & (worded.id == same.rep), "left_semi").dropDuplicates(["id"])
-    members = written(reps.select("id", F.explode("bands").alias("bucket")), "bands")
+    members = written(reps.select("id", F.posexplode("bands").alias("band", "bucket")), "bands")
     shared = members.groupBy("bucket").agg(F.min("id").alias("star"), F.count("*").alias("n")).where("n > 1")
     tried = written(members.join(shared.select("bucket", "star"), "bucket").where("id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     near = written(verified(tried, texts), "links")
@@ -238,13 +246,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     links = near
     for every in (False, True):
-        parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("part"))
+        parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "band", "id", F.coalesce("c", "id").alias("part"))
         parted = written(parted.join(shared.select("bucket"), "bucket", "left_semi"), "parts")
         split = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q")
         dealt = parted.join(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(reps.select("id", "coords"), "id")
+        dealt = dealt.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(reps.select("id", "coords"), "id")
         dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
         more = written(dealt.mapInArrow(_likely(every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(more)
