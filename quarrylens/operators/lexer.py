@@ -99,6 +99,7 @@ def group_owners(rows: DataFrame) -> DataFrame:
     ups = ["owner", "up_clause", "up_part", "up_branch", "up_slot"]
     found = found.withColumn("owner", F.when(F.col("own"), F.col("grp")).otherwise(F.col("owner")))
     for _ in range(3):
+        found = found.persist()  # read twice a round
         above = found.select(*key, F.col("grp").alias("owner"), F.col("own").alias("x_own"), *[F.col(c).alias(f"x_{c}") for c in ups])
         jump = F.col("x_own").isNotNull() & ~F.col("x_own")
         found = found.join(above, [*key, "owner"], "left")
