@@ -248,10 +248,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     for every in (False, True):
         parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "band", "id", F.coalesce("c", "id").alias("part"))
         parted = written(parted.join(shared.select("bucket"), "bucket", "left_semi"), "parts")
-        split = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q")
-        dealt = parted.join(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # only pairs of different parts matter: blocks of the bucket's largest part (numbered below 0) meet the blocks
+        # of all other members, which also meet each other; a large part that is linked already costs a row a member
+        sizes = parted.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+        split = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+        split = split.select("bucket", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("rests"))
+        inside = F.col("part") == F.col("main")
+        dealt = parted.join(split, "bucket").withColumn("block", F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rests"))).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("mains")), F.col("rests") - 1)))
         dealt = dealt.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(reps.select("id", "coords"), "id")
         dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
         more = written(dealt.mapInArrow(_likely(every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
