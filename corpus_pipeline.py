@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: No SQL: trained models, signatures and tokenisers decide. tests/llm/test_pipeline.py holds it against brute force.
+#: No SQL: trained models, signatures and tokenisers decide.
 ORACLE_SQL = None
 
 
