@@ -1,13 +1,15 @@
-"""Scoring texts by prediction by partial matching: a byte-context trie over the words of the training documents.
+"""Scoring texts by prediction by partial matching: a byte-context trie over the training documents.
 
-Each word is coded byte by byte, from its start mark to its end mark, in contexts of up to ``ORDER`` preceding bytes
-of the word. A byte unseen in a context escapes to the next shorter one (method C: d distinct symbols in n escape
+A text is its lower-cased words, each with a mark before and after, coded byte by byte in contexts of up to ``ORDER``
+preceding bytes, across word marks (or, for comparison, within the word alone). A byte unseen in a context escapes to the next shorter one (method C: d distinct symbols in n escape
 with probability d / (n + d)); symbols of the longer context are excluded there. Below order 0 all symbols left are
 equally likely. Counts are of all training documents, so the trie and the word table grow with the corpus.
 
-A word's code length does not depend on its neighbours, so every distinct word is coded once. Scan partitions are
-cut into blocks of text; each block keeps its own dictionary, and a document is a list of places in it. Only
-dictionaries meet the word table, by joins on the word; only contexts that a group of words needs meet that group.
+Only a word's first ``HEAD`` bytes have contexts that reach into the words before it. So a token is coded in two
+parts: its head after the last ``HEAD`` bytes before its start mark, once for every distinct pair of both, and its
+other bytes, once for every distinct word. Scan partitions are cut into blocks of text; each block keeps its own
+dictionaries of words and pairs, and a document is a list of places in each. Only dictionaries meet the tables, by
+joins on word or pair; only contexts that a group of words and pairs needs meet that group.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 from .common import groups, written
 
 ORDER = 5
+#: Bytes of a token, and before its start mark, that a pair holds; both fit into 64 bits.
+HEAD = ORDER - 1
 #: Bytes of text in a block, and words in a group that is coded together.
 BLOCK_BYTES, GROUP_WORDS = 8 << 20, 1 << 17
 #: The mark before and after a word, and the end of a text; no word holds either byte.
 MARK, END = b" ", b"\n"
 SYMBOLS = 256
-_TOKENS = "block long, word binary, at int, n long, doc_id {kind}, held_out boolean, ids binary"
+_TOKENS = "block long, word binary, pair long, at int, n long, doc_id {kind}, held_out boolean, ids binary, links binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,12 +41,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def pairs_of(words: list[bytes], across: bool) -> np.ndarray:
+    """For every word and the end of the text: the ``HEAD`` bytes before its start mark and its first ``HEAD``, as a number.
+
+    END fills up in front where the text has fewer bytes, and everywhere unless contexts run ``across`` word marks;
+    MARK fills up behind.
+    """
+    data = np.frombuffer(END * HEAD + MARK + b"".join([w + MARK for w in words]) + END + MARK * HEAD, np.uint8).astype(np.uint64)
+    at = np.flatnonzero(data == MARK[0])[: len(words) + 1] + 1
+    key, ended = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
+    for i in range(HEAD):
+        key = key << np.uint64(8) | (data[at - 1 - HEAD + i] if across else np.uint64(END[0]))
+    for i in range(HEAD):
+        byte = np.where(ended, np.uint64(MARK[0]), data[at + i])
+        key = key << np.uint64(8) | byte
+        ended |= byte == MARK[0]
+    return key.view(np.int64)
+
+
 class _Block:
-    def __init__(self) -> None:
+    def __init__(self, across: bool) -> None:
         self.place: dict[bytes, int] = {END: 0}
-        self.counts: list[np.ndarray] = []
         self.docs: list[tuple] = []
-        self.bytes = 0
+        self.pairs: list[np.ndarray] = []
+        self.bytes, self.across = 0, across
 
     def add(self, doc_id: object, held_out: bool, text: str | None) -> None:
         place, words = self.place, words_of(text)
@@ -50,50 +72,74 @@ class _Block:
             if w not in place:
                 place[w] = len(place)
         ids = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
-        self.docs.append((doc_id, held_out, np.append(ids, np.uint32(0)).tobytes()))
+        self.docs.append((doc_id, held_out, np.append(ids, np.uint32(0))))
+        self.pairs.append(pairs_of(words, self.across))
         self.bytes += len(text or "")
 
     def rows(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(self.place), np.int64)
-        for _, held_out, ids in self.docs:
-            if not held_out:
-                counts += np.bincount(np.frombuffer(ids, np.uint32), minlength=len(counts)) if len(ids) > len(counts) else 0
-                if len(ids) <= len(counts):
-                    np.add.at(counts, np.frombuffer(ids, np.uint32), 1)
-        n, m = len(counts), len(self.docs)
-        none = lambda kind, k: pa.nulls(k, kind)
-        types = schema.types
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(list(self.place), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts), none(types[4], n), none(pa.bool_(), n), none(pa.binary(), n)], schema=schema)
-        ids, held, data = zip(*self.docs, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), none(pa.binary(), m), none(pa.int32(), m), none(pa.int64(), m), pa.array(ids, types[4]), pa.array(held, pa.bool_()), pa.array(data, pa.binary())], schema=schema)
-
-
-def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, block, schema = TaskContext.get().partitionId() << 32, _Block(), None
-    for b in batches:
-        kind = b.schema.field("id").type
-        schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("at", pa.int32()), ("n", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary())])
-        for i, (doc_id, text) in enumerate(zip(b.column("id").to_pylist(), b.column("text"), strict=True)):
-            held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
-            block.add(doc_id, held, text.as_py())
-            if block.bytes >= BLOCK_BYTES:
-                yield from block.rows(first, schema)
-                first, block = first + 1, _Block()
-    if block.docs and schema is not None:
-        yield from block.rows(first, schema)
+        doc_ids, held, ids = zip(*self.docs, strict=True)
+        sizes = np.array([len(i) for i in ids])
+        trains = np.repeat(~np.array(held, bool), sizes)
+        pairs, links = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        links = links.astype(np.uint32)
+        types = dict(zip(schema.names, schema.types, strict=True))
+
+        def batch(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            columns["block"] = pa.array(np.full(n, block))
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c]) for c in schema.names], schema=schema)
+
+        for name, keys, places in (("word", pa.array(list(self.place), pa.binary()), np.concatenate(ids)), ("pair", pa.array(pairs), links)):
+            counts = np.bincount(places[trains], minlength=len(keys)).astype(np.int64)
+            yield batch(**{name: keys}, at=pa.array(np.arange(len(keys), dtype=np.int32)), n=pa.array(counts))
+        cut = np.split(links, np.cumsum(sizes)[:-1])
+        binary = lambda parts: pa.array([p.tobytes() for p in parts], pa.binary())
+        yield batch(doc_id=pa.array(doc_ids, types["doc_id"]), held_out=pa.array(held, pa.bool_()), ids=binary(ids), links=binary(cut))
+
+
+def _tokenised(across: bool):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, block, schema = TaskContext.get().partitionId() << 32, _Block(across), None
+        for b in batches:
+            kind = b.schema.field("id").type
+            schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("pair", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary()), ("links", pa.binary())])
+            for i, (doc_id, text) in enumerate(zip(b.column("id").to_pylist(), b.column("text"), strict=True)):
+                held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
+                block.add(doc_id, held, text.as_py())
+                if block.bytes >= BLOCK_BYTES:
+                    yield from block.rows(first, schema)
+                    first, block = first + 1, _Block(across)
+        if block.docs and schema is not None:
+            yield from block.rows(first, schema)
+
+    return made
+
+
+def coded_bytes(words: list[bytes | None], pairs: list[int | None]) -> tuple[list[bytes], np.ndarray]:
+    """For every word (or pair, where the word is None): its bytes with those before them, and how many are not coded with it."""
+    coded, skips = [], np.full(len(words), ORDER)
+    for i, (w, p) in enumerate(zip(words, pairs, strict=True)):
+        if w is not None:
+            coded.append(MARK + (w if w == END else w + MARK))
+            continue
+        key = p.to_bytes(2 * HEAD, "big", signed=True)
+        before, head = key[:HEAD].lstrip(END) + MARK, key[HEAD:]
+        end = head.find(END if head[:1] == END else MARK)
+        coded.append(before + (head if end < 0 else head[: end + 1]))
+        skips[i] = len(before)
+    return coded, skips
 
 
-def contexts_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every coded byte: the word's number, the symbol, contexts by order (ORDER + 1 columns, -1 where too long), and 0.
+def contexts_of(coded: list[bytes], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every coded byte: the number of its word or pair, the symbol, contexts by order (ORDER + 1 columns, -1 where too long).
 
     A context is its bytes as a number, with its length above them.
     """
-    coded = [MARK + (w if w == END else w + MARK) for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(coded)), sizes)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(inside > 0)
+    at = np.flatnonzero(inside >= skips[owner])
     table = np.full((len(at), ORDER + 1), -1, np.int64)
     code = np.zeros(len(at), np.int64)
     table[:, 0] = 0
@@ -101,12 +147,16 @@ def contexts_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         fits = inside[at] >= k
         code[fits] |= data[at[fits] - k] << (8 * (k - 1))
         table[fits, k] = code[fits] | (k << 48)
-    return owner[at], data[at], table, sizes
+    return owner[at], data[at], table
+
+
+def _coded_of(rows: pa.RecordBatch | pa.Table) -> tuple[list[bytes], np.ndarray]:
+    return coded_bytes(rows.column("word").to_pylist(), rows.column("pair").to_pylist())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        owner, symbol, table, _ = contexts_of(b.column("word").to_pylist())
+        owner, symbol, table = contexts_of(*_coded_of(b))
         weight = b.column("c").to_numpy()[owner]
         for k in range(ORDER + 1):
             fits = table[:, k] >= 0
@@ -117,17 +167,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for g in groups(batches, ["part"]):
-        _, _, table, _ = contexts_of(g.column("word").to_pylist())
+        _, _, table = contexts_of(*_coded_of(g))
         ctx = np.unique(table[table >= 0])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ctx), g.column("part")[0].as_py(), np.int32)), pa.array(ctx)], ["part", "ctx"])
 
 
-def code_lengths(words: list[bytes], ctx: np.ndarray, n: np.ndarray, d: np.ndarray, mass: np.ndarray, begin: np.ndarray, sym: np.ndarray, cnt: np.ndarray) -> np.ndarray:
-    """log10 probability of each word. ctx is sorted; its symbols are sym[begin[i]:begin[i + 1]], sorted, with counts cnt.
+def code_lengths(coded: list[bytes], skips: np.ndarray, ctx: np.ndarray, n: np.ndarray, d: np.ndarray, mass: np.ndarray, begin: np.ndarray, sym: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+    """log10 probability of the coded bytes of each word or pair. ctx is sorted; its symbols are sym[begin[i]:begin[i + 1]], sorted, with counts cnt.
 
     mass is what the symbols of a context count for in the next shorter context.
     """
-    owner, symbol, table, _ = contexts_of(words)
+    owner, symbol, table = contexts_of(coded, skips)
     keys = np.repeat(np.arange(len(ctx)), np.diff(begin)) * 256 + sym
     logp, done = np.zeros(len(symbol)), np.zeros(len(symbol), bool)
     gone, kinds = np.zeros(len(symbol)), np.zeros(len(symbol))
@@ -149,7 +199,7 @@ def code_lengths(words: list[bytes], ctx: np.ndarray, n: np.ndarray, d: np.ndarr
         gone[open_], kinds[open_] = mass[i], d[i]
     rest = ~done
     logp[rest] -= np.log10(SYMBOLS - kinds[rest])
-    return np.bincount(owner, weights=logp, minlength=len(words))
+    return np.bincount(owner, weights=logp, minlength=len(coded))
 
 
 def _coded(words: pa.Table, answers: pa.Table) -> pa.Table:
@@ -158,12 +208,12 @@ def _coded(words: pa.Table, answers: pa.Table) -> pa.Table:
     flat = syms.flatten()
     begin = np.concatenate([[0], np.cumsum(syms.value_lengths().to_numpy(zero_copy_only=False))]) if len(syms) else np.zeros(1, np.int64)
     column = lambda name: answers.column(name).to_numpy().astype(np.float64)
-    score = code_lengths(words.column("word").to_pylist(), answers.column("ctx").to_numpy(), column("n"), column("d"), column("mass"), begin, flat.field("sym").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.float64))
-    return pa.table({"word": words.column("word"), "c": words.column("c"), "score": pa.array(score)})
+    score = code_lengths(*_coded_of(words), answers.column("ctx").to_numpy(), column("n"), column("d"), column("mass"), begin, flat.field("sym").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.float64))
+    return pa.table({"word": words.column("word"), "pair": words.column("pair"), "c": words.column("c"), "score": pa.array(score)})
 
 
 def train(words: DataFrame) -> DataFrame:
-    """The trie of words (word, c): one row a context with its symbols, their counts and sums."""
+    """The trie of words and pairs (word, pair, c): one row a context with its symbols, their counts and sums."""
     seen = written(words.where("c > 0").mapInArrow(_counted, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "trie")
     order = F.expr("cast(shiftright(ctx, 48) as int)")
     shorter = F.expr("shiftleft(shiftright(ctx, 48) - 1, 48) + (ctx & (shiftleft(1L, 8 * cast(shiftright(ctx, 48) - 1 as int)) - 1))")
@@ -174,43 +224,52 @@ def train(words: DataFrame) -> DataFrame:
     return sets.join(mass, "ctx", "left").select("ctx", "n", "d", F.coalesce("mass", F.lit(0).cast("long")).alias("mass"), "syms")
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of the id as text is 0 modulo 10 are held out of training; a null id trains. Null and
     empty texts are the end of text alone; repeated rows count each; an empty table gives an empty result; only the
     two named columns are read. base_score is that of smoothed word counts; score is the log10 probability by PPM.
+    With ``across`` contexts run across word marks; without, a token's score does not depend on those before it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tokens = written(rows.mapInArrow(_tokenised, _TOKENS.format(kind=kind)), "tokens")
-    entries = tokens.where("word is not null").select("block", "word", "at", "n")
-    counts = written(entries.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.count("*").alias("words")).first()
+    tokens = written(rows.mapInArrow(_tokenised(across), _TOKENS.format(kind=kind)), "tokens")
+    words, pairs = tokens.where("word is not null"), tokens.where("pair is not null")
+    word_counts = words.groupBy("word").agg(F.sum("n").alias("c")).select("word", F.lit(None).cast("long").alias("pair"), "c")
+    pair_counts = pairs.groupBy("pair").agg(F.sum("n").alias("c")).select(F.lit(None).cast("binary").alias("word"), "pair", "c")
+    counts = written(word_counts.unionByName(pair_counts), "words")
+    is_word = F.col("word").isNotNull()
+    total = counts.agg(F.coalesce(F.sum(F.when(is_word, F.col("c"))), F.lit(0)).alias("N"), F.count_if(is_word & (F.col("c") > 0)).alias("V"), F.count("*").alias("words")).first()
     parts = max(1, -(-total["words"] // GROUP_WORDS))
 
     trie = written(train(counts), "contexts")
-    grouped = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
+    grouped = counts.withColumn("part", F.pmod(F.xxhash64("word", "pair"), F.lit(parts)).cast("int"))
     needed = grouped.repartition("part").sortWithinPartitions("part").mapInArrow(_needed, "part int, ctx long")
     answers = needed.join(trie, "ctx")
-    coded = written(grouped.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_coded, "word binary, c long, score double"), "coded")
+    coded = written(grouped.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_coded, "word binary, pair long, c long, score double"), "coded")
 
     known, floor = int(total["N"]), float(total["N"] + 0.1 * (total["V"] + 1))
 
     def summed(texts: pa.Table, places: pa.Table) -> pa.Table:
-        at = places.column("at").to_numpy()
-        count, word_score = np.zeros(len(at)), np.zeros(len(at))
-        count[at], word_score[at] = places.column("c").to_numpy(), places.column("score").to_numpy()
+        at, c, score = (places.column(n).to_numpy() for n in ("at", "c", "score"))
+        of_pair = places.column("of_pair").to_numpy()
+        count, word_score, pair_score = np.zeros((~of_pair).sum()), np.zeros((~of_pair).sum()), np.zeros(of_pair.sum())
+        count[at[~of_pair]], word_score[at[~of_pair]], pair_score[at[of_pair]] = c[~of_pair], score[~of_pair], score[of_pair]
         base = np.log10((count + 0.1) / floor)
         seen = (count > 0).astype(np.int64)
         out = []
-        for data in texts.column("ids"):
-            ids = np.frombuffer(data.as_py(), np.uint32)
-            out.append((len(ids), int(seen[ids].sum()), float(base[ids].sum()), float(word_score[ids].sum())))
+        for data, heads in zip(texts.column("ids"), texts.column("links"), strict=True):
+            ids, links = np.frombuffer(data.as_py(), np.uint32), np.frombuffer(heads.as_py(), np.uint32)
+            out.append((len(ids), int(seen[ids].sum()), float(base[ids].sum()), float(word_score[ids].sum() + pair_score[links].sum())))
         n, hits, bases, scores = zip(*out, strict=True) if out else ([], [], [], [])
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([known] * len(out), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
 
-    placed = entries.select("block", "word", "at").join(coded, "word").select("block", "at", "c", "score")
-    texts = tokens.where("ids is not null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "ids")
+    placed = None
+    for name, entries in (("word", words), ("pair", pairs)):
+        own = coded.where(F.col(name).isNotNull()).select(name, "c", "score")
+        own = entries.select("block", name, "at").join(own, name).select("block", F.lit(name == "pair").alias("of_pair"), "at", "c", "score")
+        placed = own if placed is None else placed.unionByName(own)
+    texts = tokens.where("ids is not null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "ids", "links")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("text_block").cogroup(placed.groupBy("block")).applyInArrow(summed, schema).withColumnRenamed("doc_id", id_col)

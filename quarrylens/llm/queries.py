@@ -41,7 +41,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_texts(table(spark, sf_dir, "documents"))
+    return ppm.score_texts(table(spark, sf_dir, "documents"), across=True)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
