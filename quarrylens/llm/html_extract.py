@@ -22,10 +22,17 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*>?", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button".split())
+#: Elements whose content is raw text up to their own end tag.
+RAW = frozenset("script style textarea title iframe".split())
+#: Parts of forms: their text is never content, also outside a form.
+CONTROLS = frozenset("select datalist optgroup option button".split())
+#: Elements that end with their parent, whose own end tag ends all that is open inside, and that keep p and li outside open.
+SCOPES = frozenset("select datalist button object math svg noscript template".split())
 BLOCKS = frozenset("html body div section article main nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption details summary address center dialog menu head hr".split())
+#: Elements that are variables of their own.
+NODES = BLOCKS | {"noscript", "template"}
 CLOSES_P = BLOCKS - {"head", "html", "body"}
-SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"})}
 TAGS = ("html", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "fieldset", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "details", "dialog", "address", "head")
 NAMES = (
     r"(?:^|[-_ ])(?:article|post|entry|story|content|text|prose|body|main|page|blog)(?:$|[-_ ])|(?:article|post|entry|story|main)[-_]?(?:body|content|text)|content",
@@ -58,7 +65,7 @@ class Page:
     def _parse(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # every open element and the block it belongs to
         run: list[str] = []
-        links, at = 0, 0
+        links, controls, at = 0, 0, 0
 
         def flush() -> None:
             text = " ".join("".join(run).split())
@@ -70,14 +77,15 @@ class Page:
             run.clear()
 
         def pop_to(k: int) -> None:
-            nonlocal links
-            if any(t in BLOCKS for t, _ in stack[k:]):
+            nonlocal links, controls
+            if any(t in NODES for t, _ in stack[k:]):
                 flush()
             links -= sum(t == "a" for t, _ in stack[k:])
+            controls -= sum(t in CONTROLS for t, _ in stack[k:])
             del stack[k:]
 
         def text(raw: str) -> None:
-            if raw:
+            if raw and not controls:
                 plain = html.unescape(raw) if "&" in raw else raw
                 run.append(plain)
                 if links:
@@ -92,7 +100,7 @@ class Page:
             if m[1]:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
                 if k:
-                    if name not in BLOCKS and any(t in BLOCKS for t, _ in stack[k:]):
+                    if name not in NODES | SCOPES and any(t in NODES for t, _ in stack[k:]):
                         if name == "a":
                             stack[k] = ("span", stack[k][1])
                             links -= 1
@@ -105,17 +113,27 @@ class Page:
                     at = end.end() if end else len(s)
                 run.append(" ")
                 continue
+            foreign = any(t == "svg" or t == "math" for t, _ in stack)
+            if name in SCOPES or name in CONTROLS or foreign:
+                if name != "math" and not foreign:
+                    run.append(" ")
+                if m[3].rstrip().endswith("/"):
+                    continue
             if name == "br" or name == "wbr":
                 run.append(" " if name == "br" else "")
                 continue
+            if controls and name in BLOCKS and name not in ("div", "hr"):
+                # a control holds no text blocks: its end tag is missing, what is open inside it stays
+                stack[:] = [("span", node) if t in CONTROLS else (t, node) for t, node in stack]
+                controls = 0
             if name in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in NODES or stack[k][0] in SCOPES), 0)
                 if stack[k][0] == "p":
                     pop_to(k)
             if name in SIBLING_ENDS:
                 ends, bounds = SIBLING_ENDS[name]
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in bounds:
+                    if stack[k][0] in bounds or stack[k][0] in SCOPES:
                         break
                     if stack[k][0] in ends:
                         pop_to(k)
@@ -123,7 +141,7 @@ class Page:
             if name == "html" or name == "hr":
                 flush()
                 continue
-            if name in BLOCKS:
+            if name in NODES:
                 flush()
                 self.parent.append(stack[-1][1])
                 self.depth.append(self.depth[stack[-1][1]] + 1)
@@ -134,6 +152,7 @@ class Page:
                 stack.append((name, len(self.tag) - 1))
             elif name not in VOID:
                 links += name == "a"
+                controls += name in CONTROLS
                 stack.append((name, stack[-1][1]))
         text(s[at:])
         flush()
