@@ -84,27 +84,24 @@ def group_owners(rows: DataFrame) -> DataFrame:
     """(path, unit, stmt, grp, owner, up_clause, up_part, up_branch, up_slot) of every parenthesis group.
 
     A group whose first token is SELECT or WITH is its own owner; others belong to the nearest such group around
-    them, or to the statement (-1), at the clause and slot where their outermost parenthesis stands. Owners are
-    found by pointer jumping: three rounds reach over eight levels of plain parentheses.
+    them, or to the statement (-1), at the clause and slot where their outermost parenthesis stands. Parentheses of
+    such groups alone give a second nesting, with levels as in ``structured``; so owners are found at any depth.
     """
     key = [*_U, "stmt"]
-    order = Window.partitionBy(*key).orderBy("pos")
-    # the state of the enclosing group just before the parenthesis opens: that of the last token of the level outside
-    outer = rows.where(F.col("tok") == "(").select(*key, F.col("pos").alias("grp"), (F.col("level") - 1).alias("level"), F.col("n1").isin("SELECT", "WITH").alias("own"), F.lit(1).alias("mark"), F.col("pos").alias("pos"))
-    states = rows.select(*key, "pos", "level", F.struct("grp", "clause", "part", "branch", "slot").alias("state"))
-    merged = outer.select(*key, "pos", "level", F.lit(None).cast(states.schema["state"].dataType).alias("state"), "grp", "own").unionByName(states.withColumn("grp", F.lit(None).cast("int")).withColumn("own", F.lit(None).cast("boolean")))
-    along = Window.partitionBy(*key, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    at = merged.withColumn("up", F.last("state", ignorenulls=True).over(along)).where("grp is not null")
-    found = at.select(*key, "grp", "own", F.coalesce("up.grp", F.lit(-1)).alias("owner"), F.col("up.clause").alias("up_clause"), F.col("up.part").alias("up_part"), F.coalesce("up.branch", F.lit(0)).alias("up_branch"), F.col("up.slot").alias("up_slot"))
-    ups = ["owner", "up_clause", "up_part", "up_branch", "up_slot"]
-    found = found.withColumn("owner", F.when(F.col("own"), F.col("grp")).otherwise(F.col("owner")))
-    for _ in range(3):
-        found = found.persist()  # read twice a round
-        above = found.select(*key, F.col("grp").alias("owner"), F.col("own").alias("x_own"), *[F.col(c).alias(f"x_{c}") for c in ups])
-        jump = F.col("x_own").isNotNull() & ~F.col("x_own")
-        found = found.join(above, [*key, "owner"], "left")
-        found = found.select(*key, "grp", "own", *[F.when(jump, F.col(f"x_{c}")).otherwise(F.col(c)).alias(c) for c in ups])
-    return found
+    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    in_group = Window.partitionBy(*key, "grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.struct("grp", "clause", "part", "branch", "slot")
+    opens = F.col("tok") == "("
+    query = F.coalesce(F.first(F.when(opens, F.col("n1").isin("SELECT", "WITH"))).over(in_group), F.lit(False)) & (F.col("grp") >= 0)
+    at = rows.select(*key, "pos", "tok", "grp", F.col("level").cast("int").alias("level"), state.alias("state"), query.alias("query"))
+    height = F.sum(F.when(F.col("query") & opens, 1).when(F.col("query") & (F.col("tok") == ")"), -1).otherwise(0)).over(order)
+    at = at.withColumn("height", height).withColumn("depth", F.col("height") - F.least(F.lit(0), F.min("height").over(order)))
+    at = at.withColumn("around", F.when(F.col("query") & (F.col("tok") == ")"), F.col("depth") + 1).otherwise(F.col("depth")))
+    along = Window.partitionBy(*key, "around").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("owner", F.when(F.col("around") == 0, -1).otherwise(F.coalesce(F.last(F.when(opens & F.col("query"), F.col("pos")), ignorenulls=True).over(along), F.lit(-1))))
+    # the owner's state just before the outermost parenthesis: that of the owner's last token so far
+    at = at.withColumn("up", F.last(F.when(F.col("grp") == F.col("owner"), F.col("state")), ignorenulls=True).over(along))
+    return at.where(opens).select(*key, "grp", F.col("query").alias("own"), "owner", F.col("up.clause").alias("up_clause"), F.col("up.part").alias("up_part"), F.coalesce("up.branch", F.lit(0)).alias("up_branch"), F.col("up.slot").alias("up_slot"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
