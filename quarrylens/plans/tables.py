@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.vendor import classified
+from quarrylens.llm.common import written
 from quarrylens.operators.jobs import deck_references
 
 from .index import Index, StageTimer, split_spec
@@ -18,20 +20,33 @@ _NO_DATA = ["STEPLIB", "JOBLIB", "JCLLIB", "SYSPRINT", "SYSOUT", "SYSUDUMP", "SY
 _STEP = ["path", "job", "step", "seq"]
 
 
-def expanded_targets(index: Index, spec: str, depth: int = 8) -> DataFrame:
+def closure(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: list[str], max_rounds: int = 1000) -> DataFrame:
+    """``start`` and all rows that ``step`` (the last round's rows, the round) reaches, one row per ``keys``.
+
+    Every round starts from the last round's new rows only; a cycle ends by the anti join. Rounds are written to the
+    shared folder, so lineage stays short. More than ``max_rounds`` rounds raise, they are never cut off.
+    """
+    found = frontier = written(start, "closure")
+    for turn in range(1, max_rounds + 1):
+        new = step(frontier, turn).join(found.select(*keys), keys, "left_anti").dropDuplicates(keys).select(*start.columns)
+        frontier = written(new, "frontier")
+        if not frontier.limit(1).count():
+            return found
+        found = written(found.unionByName(frontier), "closure")
+    raise RuntimeError(f"a closure did not end in {max_rounds} rounds")
+
+
+def expanded_targets(index: Index, spec: str) -> DataFrame:
     """(schema, table, why) of the table, and of views and synonyms over it, views over those and so on."""
     schema, table = split_spec(spec)
     found = index.spark.createDataFrame([(schema, table, "the table itself")], "schema string, table string, why string")
     objects = index.objects.where(~F.col("why").startswith("in tablespace"))
-    frontier = found
-    for _ in range(depth):
+
+    def over(frontier: DataFrame, _: int) -> DataFrame:
         base = frontier.select(F.col("schema").alias("s"), F.col("table").alias("t"))
-        new = objects.join(base, (objects.base_name == base.t) & ((objects.base_schema == base.s) | (objects.base_schema == "") | (base.s == ""))).select("schema", F.col("name").alias("table"), "why")
-        new = new.join(found.select("schema", "table"), ["schema", "table"], "left_anti").dropDuplicates(["schema", "table"]).persist()
-        if not new.limit(1).count():
-            break
-        found, frontier = found.unionByName(new), new
-    return found
+        return objects.join(base, (objects.base_name == base.t) & ((objects.base_schema == base.s) | (objects.base_schema == "") | (base.s == ""))).select("schema", F.col("name").alias("table"), "why")
+
+    return closure(found, over, ["schema", "table"])
 
 
 def direct_references(index: Index, targets: DataFrame, spec: str) -> DataFrame:
@@ -67,26 +82,22 @@ def program_names(index: Index) -> DataFrame:
     return ids.unionByName(rest)
 
 
-def call_closure(calls: DataFrame, start: DataFrame, limit: int = 50) -> DataFrame:
+def call_closure(calls: DataFrame, start: DataFrame) -> DataFrame:
     """(name, depth) of the programs in ``start`` (name) and of all that call them, at their least distance.
 
-    calls has caller and callee. Every round joins the last round's programs only; a cycle ends by the anti join.
+    calls has caller and callee.
     """
-    found = start.select("name", F.lit(0).alias("depth")).distinct().persist()
-    frontier = found
     edges = calls.select("caller", "callee").distinct()
-    for depth in range(1, limit + 1):
-        new = edges.join(frontier.select(F.col("name").alias("callee")), "callee").select(F.col("caller").alias("name")).distinct()
-        new = new.join(found.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if not new.limit(1).count():
-            break
-        found, frontier = found.unionByName(new).persist(), new
-    return found
+
+    def callers(frontier: DataFrame, depth: int) -> DataFrame:
+        return edges.join(frontier.select(F.col("name").alias("callee")), "callee").select(F.col("caller").alias("name"), F.lit(depth).alias("depth"))
+
+    return closure(start.select("name", F.lit(0).alias("depth")).distinct(), callers, ["name"])
 
 
 def dependent_steps(index: Index, refs: DataFrame, programs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(steps, decks): steps that run a dependent program, hold a reference in their instream data, read a deck that
-    holds one, or call a procedure with such a step, through any nesting of procedures up to five."""
+    holds one, or call a procedure with such a step, through any nesting of procedures."""
     steps = index.steps
     decks, _ = deck_references(index.dds, index.files)
     by_program = steps.join(programs.select(F.col("name").alias("resolved_pgm")).distinct(), "resolved_pgm", "left_semi")
@@ -96,9 +107,7 @@ def dependent_steps(index: Index, refs: DataFrame, programs: DataFrame) -> tuple
     by_stream = steps.join(last, ["path", "seq"], "left_semi")
     by_deck = steps.join(decks.join(refs.select(F.col("path").alias("deck_path")).distinct(), "deck_path", "left_semi").select("path", "seq").distinct(), ["path", "seq"], "left_semi")
     found = by_program.unionByName(by_stream).unionByName(by_deck).distinct()
-    for _ in range(5):
-        procs = found.select(F.col("job").alias("proc")).distinct()
-        found = found.unionByName(steps.where("proc <> ''").join(procs, "proc", "left_semi").select(*steps.columns)).distinct()
+    found = closure(found, lambda last, _: steps.where("proc <> ''").join(last.select(F.col("job").alias("proc")).distinct(), "proc", "left_semi").select(*steps.columns), ["path", "seq"])
     return found, decks
 
 
