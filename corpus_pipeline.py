@@ -18,12 +18,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id."""
-    return exact_dedup.without_copies(docs)
+    """Of equal texts, one row of the smallest id."""
+    return exact_dedup.without_copies(docs, repeats=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the row with the smallest id."""
+    """Of each class of near copies, one row of the smallest id."""
     return near_dedup.first_of_each_class(docs)
 
 

@@ -68,7 +68,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return found.select(F.col("row_id").alias(id_col), "keep_id", "group_size", F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which no earlier equal text exists."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(id_col)
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns, of which no earlier equal text exists.
+
+    Rows that repeat the id and the text that stay are all kept if ``repeats`` is set, else the first of them by all
+    their columns that have an order; so are rows of a text that only null ids have.
+    """
+    index, _ = build_index(docs, id_col, text_col)
+    key = lambda row_id: [F.coalesce(row_id.cast("string"), F.lit("")).alias("x_id"), row_id.isNull().alias("x_null")]
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(normalised(F.col(text_col)), 256).alias("x_sha"), *key(F.col(id_col)))
+    if not repeats:
+        ordered = [F.col("row").getField(f.name) for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        first = F.row_number().over(Window.partitionBy("x_sha", "x_id", "x_null").orderBy(*ordered))
+        rows = rows.withColumn("x_first", first).where("x_first = 1")
+    kept = index.select(F.col("sha").alias("x_sha"), *key(F.col("keep_id")))
+    return rows.join(kept, ["x_sha", "x_id", "x_null"], "left_semi").select("row.*")

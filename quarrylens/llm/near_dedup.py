@@ -230,11 +230,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Texts are linked from a weighted Jaccard similarity of 0.8 of their shingles of five words; texts of the same
     words are one. Texts without words (null, empty) and null ids are classes of their own. Rows that repeat an id
-    share its class, and the id stands for any one of their texts. An empty table gives an empty result; only the
+    share its class, and the id stands for all of their texts. An empty table gives an empty result; only the
     two named columns are read.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, id_col, text_col), "signatures")
+    if signed.groupBy("id").agg(F.min("words_sha").alias("low"), F.max("words_sha").alias("high")).where("low <> high").limit(1).count():
+        return _classes_of_ids(docs, id_col, text_col)
     worded = signed.where("bands is not null")
     same = written(worded.groupBy("words_sha").agg(F.min("id").alias("rep")), "representatives")
     reps = worded.join(same, (worded.words_sha == same.words_sha) & (worded.id == same.rep), "left_semi").dropDuplicates(["id"])
@@ -271,7 +273,28 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.join(found, F.col("row_id").cast("long") == F.col("id"), "left").select(F.col("row_id").alias(id_col), F.coalesce("class_id", F.col("row_id").cast("long")).alias("class_id"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, n): all columns of the rows, and a number of each."""
+    return written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "rows")
+
+
+def _classes_of_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As near_duplicate_classes, for ids with several texts: rows get classes, and ids of one class are linked."""
+    rows = _numbered(docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))).select("n", F.col("row.row_id").alias("row_id"), F.col("row.text").alias("text"))
+    known = rows.where("row_id is not null")
+    ids = written(near_duplicate_classes(known, "n").join(known.select("n", F.col("row_id").cast("long").alias("id")), "n").select("id", "class_id"), "ids")
+    part = components(ids.join(ids.groupBy("class_id").agg(F.min("id").alias("least")), "class_id").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    found = rows.select("row_id").join(part, F.col("row_id").cast("long") == F.col("id"), "left")
+    return found.select(F.col("row_id").alias(id_col), F.coalesce("component", F.col("row_id").cast("long")).alias("class_id"))
+
+
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their class; rows with a null id stay."""
-    gone = near_duplicate_classes(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of each class of rows, all columns: that of the smallest id (null is the largest), then text.
+
+    Rows count each, also those that repeat an id. Rows of texts without words all stay.
+    """
+    rows = _numbered(docs)
+    texts = rows.select("n", F.col("row").getField(id_col).cast("long").alias("id"), F.col("row").getField(text_col).alias("text"))
+    ranked = near_duplicate_classes(texts, "n").join(texts.select("n", "id", F.sha2("text", 256).alias("sha")), "n")
+    stay = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "sha", "n")).alias("first")).select(F.col("first.n").alias("n"))
+    return rows.join(stay, "n", "left_semi").select("row.*")
