@@ -35,7 +35,7 @@ GENERATORS = (
     ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])")),
     ("phone", re.compile(r"(?<![\w.+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![\w.])")),
 )
-_QUICK = (re.compile(r"(?i)[([{ ](?:at)[)\]} ]"), re.compile("@"), re.compile(r"[0-9a-fA-F]:[0-9a-fA-F:]"))
+_QUICK = (re.compile(r"(?i)[\s([{]at[\s)\]}]"), re.compile("@"), re.compile(r"[0-9a-fA-F]:[0-9a-fA-F:]"))
 _CONTEXT = (
     ("email", re.compile(r"(?i)e-?mail|mail|contact|write|reach|correo|courriel|@")),
     ("phone", re.compile(r"(?i)phone|tel|call|mobile|cell|fax|whatsapp|sms|dial|telefon|appel|llam")),
