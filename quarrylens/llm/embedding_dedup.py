@@ -2,9 +2,9 @@
 
 Each of ``TABLES`` tables projects a unit vector at random onto eight-dimensional blocks and takes the nearest E8
 point of every block; together they name the vector's cell. Besides, each vector visits the few neighbouring
-cells that it lies closest to. Two vectors meet in a table if one's cell is among the other's cells. Every pair
-that meets is verified by its cosine in double precision, in the first table where it meets only, so that each
-link counts once; what leaves a task are counts and a spanning forest, not pairs. Cells with many vectors are
+cells that it lies closest to. Two vectors meet in a cell that both visit and that is some vector's own. Every pair
+that meets is verified by its cosine in double precision, and counted in one of the cells where it meets only, so
+that each link counts once; what leaves a task are counts and a spanning forest, not pairs. Cells with many vectors are
 dealt into blocks, and blocks are compared two by two.
 """
 
@@ -134,22 +134,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = [g.column("unit")[int(i)].as_py() for i in order]
         x = np.frombuffer(b"".join(units), np.float64).reshape(len(ids), -1)
         low, high = g.column("low")[0].as_py(), g.column("high")[0].as_py()
-        cell, t = np.int64(g.column("cell")[0].as_py()), g.column("t")[0].as_py()
+        cell = np.int64(g.column("cell")[0].as_py())
         close = np.triu(x @ x.T >= COSINE, 1)
         if low != high:
             close &= block[:, None] != block[None, :]
         i, j = np.nonzero(close)
         if not len(i):
             continue
-        flat = lambda name: np.array(g.column(name).to_pylist(), np.int64)[order]
-        own, probed = flat("own"), flat("probed").reshape(len(ids), TABLES, PROBES)
+        # by table, the cells in which a vector can meet others; 0 stands for cells that are nobody's own
+        visited = np.array(g.column("meets").to_pylist(), np.int64)[order]
+        visited = np.concatenate([visited[:, :TABLES, None], visited[:, TABLES:].reshape(len(ids), TABLES, PROBES)], axis=2)
         links = np.zeros(len(ids), np.int64)
-        for c in range(0, len(i), 50_000):
-            a, b = i[c : c + 50_000], j[c : c + 50_000]
-            a_in_b = (own[a] == own[b]) | (probed[b] == own[a][:, :, None]).any(axis=2)
-            meet = a_in_b | (probed[a] == own[b][:, :, None]).any(axis=2)
-            here = np.where(a_in_b[:, t], own[a, t], own[b, t]) == cell
-            counted = meet[:, t] & here & (meet.argmax(axis=1) == t)
+        for c in range(0, len(i), 20_000):
+            a, b = i[c : c + 20_000], j[c : c + 20_000]
+            shared = (visited[a][:, :, :, None] == visited[b][:, :, None, :]).any(axis=3) & (visited[a] != 0)
+            # the pair is in the group of every cell that it shares; it counts in the smallest
+            counted = np.where(shared, visited[a], np.iinfo(np.int64).max).min(axis=(1, 2)) == cell
             np.add.at(links, a[counted], copies[b[counted]])
             np.add.at(links, b[counted], copies[a[counted]])
         root = _roots(close | close.T)
@@ -178,9 +178,14 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     visits = written(own.unionByName(probed), "visits")
     busy = visits.groupBy("cell").agg(F.sum("home").alias("homes"), F.count("*").alias("n")).where("homes > 0 and n > 1")
     met = visits.join(busy.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cell")
+    met = written(met.select("rep", "cell", "blocks"), "met")
+    # at most TABLES * (PROBES + 1) cells a vector
+    live = met.groupBy("rep").agg(F.collect_set("cell").alias("live"))
+    meets = F.transform(F.concat("own", "probed"), lambda c: F.when(F.array_contains("live", c), c).otherwise(F.lit(0).cast("long")))
+    live = written(coded.join(live, "rep").select("rep", "copies", "unit", meets.alias("meets")), "live")
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cell", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep").join(coded, "rep")
+    met = met.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep").join(live, "rep")
     met = met.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
     found = written(met.mapInArrow(_verified, "rep long, links long, root long"), "links")
 
