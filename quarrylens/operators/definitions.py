@@ -27,8 +27,9 @@ def defined_columns(rows: DataFrame) -> DataFrame:
     heads = heads.select(*_KEY, name.alias("table"), F.when(p1 == "DECLARE", "DECLARE TABLE").otherwise("CREATE TABLE").alias("origin"), F.col("pos").alias("head"))
     opened = rows.where((F.col("tok") == "(") & (F.col("level") == 1)).join(heads, _KEY).where("pos > head").groupBy(*_KEY, "table", "origin").agg(F.min("grp").alias("list"))
     inside = rows.join(opened, _KEY).where((F.col("pos") > F.col("list")) & (F.col("level") >= 1))
+    # a list that is never closed runs to the end of its statement
     last = rows.where((F.col("tok") == ")") & (F.col("level") == 1)).select(*_KEY, F.col("grp").alias("list"), F.col("pos").alias("end"))
-    inside = inside.join(last, [*_KEY, "list"]).where("pos < end")
+    inside = inside.join(last, [*_KEY, "list"], "left").where("(end is null or pos < end) and tok <> ';'")
     item = Window.partitionBy(*_KEY, "list").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("item", F.sum(((F.col("tok") == ",") & (F.col("level") == 1)).cast("int")).over(item)).where(~((F.col("tok") == ",") & (F.col("level") == 1)))
     items = inside.groupBy(*_KEY, "table", "origin", "item").agg(_texts(), F.min_by(name, "pos").alias("name"), F.min_by("kind", "pos").alias("first_kind"), F.min("line").alias("line"))

@@ -15,8 +15,6 @@ from quarrylens.functions.text import NAME, newlines, plain_name
 _TOKEN = rf"(?s)('(?:[^']|'')*+'?|--[^\n]*|/\*/|/\*.*?(?:\*/|\z)|:[ ]*[A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z][A-Za-z0-9-]*)?|{NAME}(?:\s*\.\s*{NAME}){{0,2}}(?:\s*\.\s*\*)?|\d+(?:\.\d+)?|<=|>=|<>|!=|\|\||[^\S\n]+|.)"
 CLAUSES = ["SELECT", "INTO", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "FETCH", "FOR", "OPTIMIZE", "WITH", "UNION", "EXCEPT", "INTERSECT", "SET", "VALUES", "ON", "USING", "WHEN", "UPDATE", "INSERT", "DELETE", "MERGE", "JOIN"]
 VERBS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "ALTER", "DROP", "DECLARE", "LOCK", "FETCH", "OPEN", "CLOSE", "LOAD", "UNLOAD", "WITH"]
-#: Embedded statements that neither read nor write a table's columns.
-SKIPPED = ["INCLUDE", "WHENEVER", "COMMIT", "ROLLBACK", "OPEN", "CLOSE", "CONNECT", "SET", "BEGIN", "END", "PREPARE", "EXECUTE", "DESCRIBE"]
 _U = ["path", "unit"]
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import newlines
 
 COBOL_KINDS = ["COBOL", "COPYBOOK", "DCLGEN"]
+#: Embedded statements that neither read nor write a table's columns.
+SKIPPED = ["INCLUDE", "WHENEVER", "COMMIT", "ROLLBACK", "OPEN", "CLOSE", "CONNECT", "SET", "BEGIN", "END", "PREPARE", "EXECUTE", "DESCRIBE"]
 
 
 def is_free_format(lines: Column) -> Column:
@@ -44,7 +46,13 @@ def cobol_blobs(files: DataFrame) -> DataFrame:
 
 
 def embedded_sql(blobs: DataFrame) -> DataFrame:
-    """Units (path, unit, first, origin, text) of EXEC SQL bodies; ``first`` is the logical line the body starts on."""
-    parts = blobs.select("path", "origin", F.posexplode(F.split("blob", r"(?i)\bEXEC\s+SQL\b")).alias("unit", "part"), "blob")
-    before = F.array_join(F.slice(F.split("blob", r"(?i)\bEXEC\s+SQL\b"), F.lit(1), F.col("unit")), "")
-    return parts.where("unit > 0").select("path", "unit", (newlines(before) + 1).alias("first"), "origin", F.regexp_extract("part", r"(?is)^(.*?)(?:\bEND-EXEC\b|\z)", 1).alias("text"))
+    """Units (path, unit, first, origin, text) of EXEC SQL bodies; ``first`` is the logical line the body starts on.
+
+    Statements whose first word is one of SKIPPED give no unit. A host variable's value in SET is no column use.
+    """
+    parts = blobs.select("path", "origin", F.posexplode(F.split("blob", r"(?i)\bEXEC\s+SQL\b")).alias("unit", "part"))
+    run = Window.partitionBy("path").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum(newlines(F.col("part"))).over(run), F.lit(0))).where("unit > 0")
+    parts = parts.withColumn("text", F.regexp_extract("part", r"(?is)^(.*?)(?:\bEND-EXEC\b|\z)", 1))
+    head = F.upper(F.regexp_extract("text", "([A-Za-z]+)", 1))
+    return parts.where(~head.isin(*SKIPPED)).select("path", "unit", (F.col("before") + 1).alias("first"), "origin", "text")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import written
 from quarrylens.functions.text import NOT_COLUMNS
 
 from .references import table_tokens
@@ -46,7 +47,7 @@ def block_tables(rows: DataFrame) -> DataFrame:
     return names.join(counted.select(*_BLOCK, "first", "multi"), _BLOCK)
 
 
-def column_tokens(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def column_tokens(rows: DataFrame, known: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved, ambiguous): name tokens that can be columns, with the table each belongs to.
 
     A qualified name belongs to the table of its correlation name; a plain one to the block's only table, or to the
@@ -61,7 +62,6 @@ def column_tokens(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFra
     can = can.withColumn("qualifier", qualifier).withColumn("name", name).where(~((F.col("qualifier") == "") & F.col("name").isin(*NOT_COLUMNS, "FULL", "TRUE", "FALSE", "UNKNOWN", "COLUMN")))
     # an alias without AS follows its expression: a name after a name or a closing parenthesis in a select list
     can = can.where(~((clause == "SELECT") & (p1.rlike(r"^[A-Z@#$][A-Z0-9@#$_]*$") & ~p1.isin(*NOT_COLUMNS) | (p1 == ")"))))
-    tables = block_tables(rows)
     bound = can.join(tables.select(*_BLOCK, F.col("alias").alias("qualifier"), F.col("table").alias("by_alias")), [*_BLOCK, "qualifier"], "left")
     only = tables.select(*_BLOCK, "first", "multi").distinct()
     bound = bound.join(only, _BLOCK, "left")
@@ -83,7 +83,7 @@ def _use(rows: DataFrame, access: str, context: Column | str, host: Column | str
     return rows.select(*_KEY, "pos", "line", F.col("name").alias("column"), "table", F.lit(access).alias("access"), as_column(context).alias("context"), as_column(host).alias("host_var"))
 
 
-def select_items(rows: DataFrame, columns: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def select_items(rows: DataFrame, columns: DataFrame, known: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, stars): bare items of select lists with their ordinals, stars expanded; and stars no definition expands."""
     lists = rows.where((F.col("own_clause") == "SELECT") & (F.coalesce("kw", F.lit("")) != "SELECT") & ~F.coalesce(F.col("kw").isin("DISTINCT", "ALL"), F.lit(False)) & (F.col("tok") != ","))
     lists = lists.where(~((F.col("grp") == F.col("owner")) & F.col("tok").isin("(", ")")))
@@ -92,7 +92,6 @@ def select_items(rows: DataFrame, columns: DataFrame, known: DataFrame) -> tuple
     star = (F.col("kind") == "star") | ((F.col("tok") == "*") & (F.col("n") == 1))
     bare = (F.col("kind") == "name") & ((F.col("n") == 1) | ((F.col("n") == 3) & (F.col("after") == "AS")) | ((F.col("n") == 2) & (F.col("after") != "(")))
     shape = shape.withColumn("star", star).withColumn("bare", bare & ~star)
-    tables = block_tables(rows)
     q = F.when(F.col("kind") == "star", F.element_at(F.split("word", r"\."), -1))
     stars = shape.where("star").withColumn("alias", q)
     with_alias = stars.where("alias is not null").join(tables.select(*_BLOCK, "alias", "table"), [*_BLOCK, "alias"])
@@ -113,9 +112,10 @@ def select_items(rows: DataFrame, columns: DataFrame, known: DataFrame) -> tuple
 
 def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(uses, blind spots, notes) of structured and placed tokens, given the known columns."""
-    columns, ambiguous = column_tokens(rows, known)
-    # read by many branches below: kept so that each is worked out once
-    columns, targets = columns.persist(), _targets(rows).persist()
+    tables = written(block_tables(rows), "block_tables")
+    columns, ambiguous = column_tokens(rows, known, tables)
+    # read by many branches below: written, so that each is worked out once and plans stay small
+    columns, ambiguous, targets = written(columns, "columns"), written(ambiguous, "ambiguous"), written(_targets(rows), "targets")
     p1, n1, n2 = (F.coalesce(c, F.lit("")) for c in ("p1", "n1", "n2"))
     strict = F.col("defined") | (F.col("qualifier") != "")
     hosts = rows.where("kind = 'host'")
@@ -123,8 +123,8 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     out: list[DataFrame] = []
 
     # select lists, INTO and expressions
-    items, blind = select_items(rows, columns, known)
-    items = items.persist()
+    items, blind = select_items(rows, columns, known, tables)
+    items = written(items, "items")
     into = hosts.where((F.col("clause") == "INTO") & (F.col("verb") != "FETCH") & (F.col("p1").isin("INTO", ","))).select(*_KEY, F.col("grp").alias("owner"), F.col("slot").alias("ordinal"), F.col("word").alias("host"))
     paired = items.join(into.dropDuplicates([*_KEY, "owner", "ordinal"]), [*_KEY, "owner", "ordinal"], "left")
     out.append(_use(paired, "READ", "SELECT", F.coalesce("host", F.lit(""))))
@@ -154,8 +154,8 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     heads = sets.where((F.col("kind") == "name") & (F.coalesce("kw", F.lit("")) != "SET") & (p1.isin("SET", ",")) & (n1 == "="))
     target = rows.join(targets, _KEY)
     first_host = hosts.where("own_clause = 'SET'").groupBy(*slot).agg(F.min_by("word", "pos").alias("host"))
-    written = heads.join(targets, _KEY).join(first_host, slot, "left").withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
-    out.append(_use(written, "WRITE", "SET", F.coalesce("host", F.lit(""))))
+    assigned = heads.join(targets, _KEY).join(first_host, slot, "left").withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
+    out.append(_use(assigned, "WRITE", "SET", F.coalesce("host", F.lit(""))))
     read = columns.where("own_clause = 'SET'").where("defined").join(heads.select(*_KEY, "pos"), [*_KEY, "pos"], "left_anti")
     out.append(_use(read, "READ", "SET-EXPR"))
 

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import written
 from quarrylens.operators import definitions
 from quarrylens.operators.uses import column_uses
 
@@ -27,7 +28,7 @@ def copybook_closure(index: Index, paths: DataFrame, hops: int = 3) -> DataFrame
     level = paths.select("path", F.col("path").alias("def_path"), F.lit(0).alias("hop"), F.lit(0).alias("seq"))
     found = level
     for hop in range(1, hops + 1):
-        level = level.join(edges.withColumnRenamed("seq", "next"), F.col("def_path") == F.col("from_path")).select("path", F.col("book").alias("def_path"), F.lit(hop).alias("hop"), F.col("next").alias("seq")).distinct()
+        level = written(level.join(edges.withColumnRenamed("seq", "next"), F.col("def_path") == F.col("from_path")).select("path", F.col("book").alias("def_path"), F.lit(hop).alias("hop"), F.col("next").alias("seq")).distinct(), "copies")
         found = found.unionByName(level)
     return found.groupBy("path", "def_path").agg(F.min(F.struct("hop", "seq")).alias("order")).select("path", "def_path", "order.hop", "order.seq")
 
@@ -91,15 +92,16 @@ class FieldResult:
 
 def _assembled(index: Index, spec: str, paths: DataFrame, tables: DataFrame, include_read: bool) -> dict[str, DataFrame]:
     """Uses of the tables within the files; only those files' tokens are read."""
-    known = index.known().persist()
-    tokens = index.tokens.join(paths, "path", "left_semi").where("unit >= 0")
-    uses, holes, filled = column_uses(tokens, known)
+    known = written(index.known(), "known")
+    tokens = written(index.tokens.join(paths, "path", "left_semi").where("unit >= 0"), "tokens")
+    uses, holes, filled = (written(x, "uses") for x in column_uses(tokens, known))
     uses = uses.join(tables.select("table").distinct(), "table", "left_semi")
     if not include_read:
         uses = uses.where("access = 'WRITE'")
     uses = host_definitions(index, finished(uses, index.files)).select("column", "table", "access", "context", F.col("what").alias("stmt"), "host_var", "member", "path", "line", "host_def_path", "host_def_line", "host_def_pic")
-    bindings, unbound = definitions.host_bindings(index.items, index.columns, index.files)
-    bindings = bindings.join(tables.select("table").distinct(), "table", "left_semi").select("column", "host_field", "pic", "member", "path", "line", "table").persist()
+    uses = written(uses, "uses")
+    bindings, unbound = (written(x, "bindings") for x in definitions.host_bindings(index.items, index.columns, index.files))
+    bindings = bindings.join(tables.select("table").distinct(), "table", "left_semi").select("column", "host_field", "pic", "member", "path", "line", "table")
     members = bindings.select("path", F.col("member").alias("copied")).distinct()
     users = index.copy_refs.join(members.select("copied").distinct(), "copied").join(index.files.select("path", "member"), "path").join(members.select("path"), "path", "left_anti")
     layout = users.groupBy("member").agg(F.concat(F.lit("COPY "), F.min("copied")).alias("why"))
@@ -113,7 +115,7 @@ def _assembled(index: Index, spec: str, paths: DataFrame, tables: DataFrame, inc
 def field_dependencies(index: Index, spec: str, include_read: bool = True) -> FieldResult:
     """Columns of the table, their uses in all statements, host bindings, layout dependents, blind spots and notes."""
     result = table_dependencies(index, spec, data_hops=0)
-    refs, targets = result.frames["refs"], expanded_targets(index, spec)
+    refs, targets = result.frames["refs"], result.frames["targets"]
     paths = refs.where(F.col("confidence") >= CERTAIN).select("path").distinct()
     frames = _assembled(index, spec, paths, targets, include_read)
     dynamic = refs.where(F.col("confidence") < CERTAIN).select(F.concat("member", F.lit(": dynamic SQL, its columns are not known")).alias("note")).distinct()
@@ -128,7 +130,8 @@ def field_dependencies(index: Index, spec: str, include_read: bool = True) -> Fi
 def program_field_dependencies(index: Index, program: str, include_read: bool = True) -> FieldResult:
     """The same seen from one program: all tables it touches. An unknown program raises LookupError."""
     name = program.upper()
-    named = index.programs.where(F.col("name") == name).select("path").unionByName(index.files.where((F.col("member") == name) & F.col("kind").isin("COBOL", "UNKNOWN", "SQL")).select("path")).distinct().persist()
+    named = index.programs.where(F.col("name") == name).select("path").unionByName(index.files.where((F.col("member") == name) & F.col("kind").isin("COBOL", "UNKNOWN", "SQL")).select("path")).distinct()
+    named = written(named, "named")
     if not named.limit(1).count():
         raise LookupError(f"no program {name} in the index")
     refs = index.table_refs.join(named, "path", "left_semi")

@@ -13,6 +13,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import written
 from quarrylens.functions.text import dsn_parts, library_of, masked, member_of
 from quarrylens.functions.vendor import classified
 from quarrylens.operators import definitions, jobs, lexer, lines, references
@@ -34,7 +35,9 @@ def fixed(code: list[Column | str]) -> Column:
     for i, line in enumerate(code, 1):
         mark = {"*": "*", "~": "-"}.get(line[:1], " ") if isinstance(line, str) else " "
         body = F.lit(line[1:] if mark != " " else line) if isinstance(line, str) else line
-        rows.append(F.concat(F.lit(f"{i * 100:06d}{mark}"), F.rpad(body, 65, " "), F.lit("GHOSTTAB")))
+        # code that would run beyond column 72 is an error of the rendering, not a shorter line
+        body = F.when(F.char_length(body) <= 65, F.rpad(body, 65, " ")).otherwise(F.raise_error(F.concat(F.lit("beyond column 72: "), body)))
+        rows.append(F.concat(F.lit(f"{i * 100:06d}{mark}"), body, F.lit("GHOSTTAB")))
     return F.concat_ws("\r\n", *rows)
 
 
@@ -54,17 +57,17 @@ def _script(spark: SparkSession, text: str) -> DataFrame:
 
 
 def _tokens(files: DataFrame, embedded: bool = False) -> DataFrame:
-    """Placed tokens of SQL scripts and decks, or of the statements embedded in COBOL; kept, as groups are found from the same rows."""
+    """Placed tokens of SQL scripts and decks, or of the statements embedded in COBOL, written, as groups are found from the same rows."""
     if embedded:
         units = lines.embedded_sql(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
     else:
         units = files.select("path", F.lit(0).alias("unit"), F.lit(1).cast("long").alias("first"), F.lit(None).cast("array<int>").alias("origin"), "text")
-    return lexer.placed(lexer.structured(lexer.tokens(units)).persist()).persist()
+    return written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
 
 
 def _uses(spark: SparkSession, files: DataFrame, embedded: bool = False) -> DataFrame:
     script = _script(spark, DDL)
-    known = definitions.known_columns(definitions.defined_columns(_tokens(script)), script).persist()
+    known = written(definitions.known_columns(definitions.defined_columns(_tokens(script)), script), "known")
     uses, _, _ = column_uses(_tokens(files, embedded), known)
     return uses.withColumn("member", member_of(F.col("path"))).select("member", "column", "table", "access", "context", "host_var", "line")
 
@@ -149,7 +152,7 @@ def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dclgen_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
-    code = [_text("    EXEC SQL DECLARE SHOP.S", F.col("s_suppkey"), " TABLE"), "    ( SUPP_ID CHAR(8) NOT NULL, S_NAME VARCHAR(40), BAL DECIMAL(9,2)", "    ) END-EXEC.", "01  DCLSUPP.", "    10 SUPP-ID   PIC X(8).", "    10 S-NAME.", "       49 S-NAME-LEN  PIC S9(4) COMP.", "       49 S-NAME-TEXT PIC X(40).", "    10 BALANCE-X  PIC S9(7)V99 COMP-3."]
+    code = [_text("    EXEC SQL DECLARE SHOP.S", F.col("s_suppkey"), " TABLE"), "    ( SUPP_ID CHAR(8) NOT NULL, S_NAME VARCHAR(40),", "      BAL DECIMAL(9,2) ) END-EXEC.", "01  DCLSUPP.", "    10 SUPP-ID   PIC X(8).", "    10 S-NAME.", "       49 S-NAME-LEN  PIC S9(4) COMP.", "       49 S-NAME-TEXT PIC X(40).", "    10 BALANCE-X  PIC S9(7)V99 COMP-3."]
     files = artifacts(rows, "L", _text("DCL", F.col("s_suppkey")), fixed(code))
     items = definitions.data_items(lines.cobol_blobs(files))
     found, _ = definitions.host_bindings(items, definitions.defined_columns(_tokens(files, embedded=True)), files)
@@ -165,7 +168,8 @@ def call_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )]
     blobs = lines.cobol_blobs(reduce(DataFrame.unionByName, parts))
     names = definitions.programs(blobs)
-    edges = definitions.calls(blobs).join(names.withColumnRenamed("name", "caller"), "path").select("caller", "callee").persist()
+    edges = definitions.calls(blobs).join(names.withColumnRenamed("name", "caller"), "path").select("caller", "callee")
+    edges = written(edges, "edges")
     return call_closure(edges, spark.createDataFrame([("R1",)], "name string"))
 
 
@@ -180,7 +184,7 @@ def _event_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     rows = _table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     text = F.concat_ws("\n", _text("//J", F.col("event_id"), " JOB (ACCT),'X'"), F.lit("//* EXEC PGM=GHOST"), _text("//S1 EXEC PGM=", F.upper("event_type")), _text("//IN DD DSN=DATA.U", F.col("user_id"), "(+1),"), F.lit("//      DISP=(NEW,CATLG)"), F.lit("//SYSPRINT DD SYSOUT=*"))
     files = artifacts(rows, "L", _text("J", F.col("event_id")), text)
-    steps, dds, _ = jobs.steps_and_dds(jobs.jcl_lines(files).persist(), files)
+    steps, dds, _ = jobs.steps_and_dds(written(jobs.jcl_lines(files), "jcl"), files)
     return steps, dds
 
 
@@ -190,7 +194,7 @@ def job_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps, dds = (x.persist() for x in _event_jobs(spark, sf_dir))
+    steps, dds = (written(x, "jobs") for x in _event_jobs(spark, sf_dir))
     empty = spark.createDataFrame([], "path string, seq long, dd string, dsn string, deck_kind string, deck_path string")
     found = data_links(SimpleNamespace(dds=dds), steps.where("resolved_pgm = 'ERROR'"), empty, 1)
     return found.select("job", "step", "dataset", "hop")
@@ -199,7 +203,7 @@ def dataset_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def view_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
     files = artifacts(rows, "L", _text("V", F.col("n_nationkey"), ".sql"), _text("CREATE VIEW SHOP.V", F.col("n_nationkey"), " AS SELECT A FROM SHOP.R", F.col("n_regionkey"), " WHERE B = 'SHOP.R1';\nCREATE SYNONYM Y", F.col("n_nationkey"), " FOR SHOP.V", F.col("n_nationkey"), ";"))
-    return expanded_targets(SimpleNamespace(spark=spark, objects=references.objects(_tokens(files)).persist()), "SHOP.R1")
+    return expanded_targets(SimpleNamespace(spark=spark, objects=written(references.objects(_tokens(files)), "objects")), "SHOP.R1")
 
 
 def data_set_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import written
 from quarrylens.functions.vendor import classified
-from quarrylens.llm.common import written
 from quarrylens.operators.jobs import deck_references
 
 from .index import Index, StageTimer, split_spec
@@ -69,7 +69,7 @@ def copy_fan_out(index: Index, members: DataFrame, hops: int = 3) -> DataFrame:
     found = None
     wanted = members.select(F.col("member").alias("copied")).distinct()
     for _ in range(hops):
-        users = copies.join(wanted, "copied").select("path", "member", "kind").distinct()
+        users = written(copies.join(wanted, "copied").select("path", "member", "kind").distinct(), "users")
         found = users if found is None else found.unionByName(users)
         wanted = users.where(F.col("kind").isin("COPYBOOK", "DCLGEN")).select(F.col("member").alias("copied")).distinct()
     return found.select("path").distinct()
@@ -114,14 +114,21 @@ def dependent_steps(index: Index, refs: DataFrame, programs: DataFrame) -> tuple
 def data_links(index: Index, steps: DataFrame, decks: DataFrame, hops: int) -> DataFrame:
     """(job, step, dataset, via_job, hop, decks): steps that share a data set with a dependent step, then with those."""
     data = index.dds.where(~F.col("is_member") & ~F.col("dd").isin(*_NO_DATA) & ~F.col("dsn").startswith("&&")).select(*_STEP, F.col("base").alias("dataset")).distinct()
-    frontier, seen, out = steps.select(*_STEP), steps.select(*_STEP), None
+    data = written(data, "data")
+    frontier = seen = written(steps.select(*_STEP), "seen")
+    out = None
+    via = F.struct(F.col("job").alias("v_job"), F.col("step").alias("v_step"))
     for hop in range(1, hops + 1):
-        held = data.join(frontier, _STEP, "left_semi").select("dataset", F.col("job").alias("v_job"), F.col("step").alias("v_step"))
-        near = data.join(held, "dataset").join(seen, _STEP, "left_anti")
-        near = near.groupBy(*_STEP, "dataset").agg(F.min_by(F.concat_ws("/", "v_job", "v_step"), F.struct(F.col("v_job") != F.col("job"), "v_job", "v_step")).alias("via_job")).withColumn("hop", F.lit(hop)).persist()
+        # of the frontier's steps at a data set, its least and the least of each job stand for all: a row names its
+        # own job's if there is one, else the least; so a data set that many steps share costs a row a step
+        held = data.join(frontier, _STEP, "left_semi")
+        least = held.groupBy("dataset").agg(F.min(via).alias("any"))
+        own = held.groupBy("dataset", "job").agg(F.min(via).alias("own"))
+        near = data.join(seen, _STEP, "left_anti").join(least, "dataset").join(own, ["dataset", "job"], "left").withColumn("via", F.coalesce("own", "any"))
+        near = written(near.select(*_STEP, "dataset", F.concat_ws("/", "via.v_job", "via.v_step").alias("via_job"), F.lit(hop).alias("hop")), "links")
         out = near if out is None else out.unionByName(near)
         frontier = near.select(*_STEP).distinct()
-        seen = seen.unionByName(frontier)
+        seen = written(seen.unionByName(frontier), "seen")
     used = decks.groupBy("path", "seq").agg(F.sort_array(F.collect_set(F.struct("dd", "dsn", F.col("deck_kind").alias("kind"), F.col("deck_path").alias("path")))).alias("decks"))
     return out.join(used, ["path", "seq"], "left").select("job", "step", "dataset", "via_job", "hop", "decks")
 
@@ -214,7 +221,7 @@ def table_dependencies(index: Index, spec: str, include_read: bool = True, data_
         refs = direct_references(index, targets, spec)
         if not include_read:
             refs = refs.where("access <> 'READ'")
-        refs = refs.persist()
+        refs = written(refs, "refs")
     with timer.stage("closure"):
         names = program_names(index)
         copied = copy_fan_out(index, refs.where(F.col("kind").isin("DCLGEN", "COPYBOOK")).select("member"))
@@ -224,19 +231,20 @@ def table_dependencies(index: Index, spec: str, include_read: bool = True, data_
         programs = call_closure(calls, start)
     with timer.stage("jobs"):
         steps, decks = dependent_steps(index, refs, programs)
-        detailed = with_details(index, steps, decks)
+        decks = written(decks, "decks")
+        detailed = written(with_details(index, steps, decks), "steps")
     frames = {"targets": targets, "refs": refs, "programs": programs, "steps": detailed}
     with timer.stage("data-trace"):
         if data_hops:
-            frames["data_links"] = data_links(index, steps, decks, data_hops)
+            frames["data_links"] = written(data_links(index, steps, decks, data_hops), "data_links")
     with timer.stage("unresolved-calls"):
-        missing, vendor = unresolved_calls(index, programs, overrides)
+        missing, vendor = (written(x, "calls") for x in unresolved_calls(index, programs, overrides))
     with timer.stage("blind-spots"):
         _, lost = deck_references(index.dds, index.files)
         reach = refs.select("path").unionByName(steps.select("path")).distinct()
         lost = lost.join(reach, "path", "left_semi").select("path", F.lit(0).alias("line"), F.lit("UNRESOLVED-DECK-REF").alias("kind"), "detail")
         own = index.blind_spots.join(refs.select("path").distinct(), "path", "left_semi").select("path", F.col("line").cast("int").alias("line"), "kind", "detail")
-        frames["blind_spots"] = own.unionByName(lost).unionByName(missing.withColumn("line", F.col("line").cast("int"))).distinct()
+        frames["blind_spots"] = written(own.unionByName(lost).unionByName(missing.withColumn("line", F.col("line").cast("int"))).distinct(), "blind_spots")
     notes = vendor.select(F.concat(F.col("calls"), F.lit(" calls of "), "label", F.lit(" modules: "), F.array_join("modules", ", ")).alias("note"))
     return Result(spec, frames, [notes], timer.timings())
 
