@@ -66,8 +66,8 @@ def steps_and_dds(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 def stream_units(streams: DataFrame, steps: DataFrame) -> DataFrame:
     """Units (path, unit, first, origin, text) of instream SQL and utility statements: only under programs that read them."""
     readers = steps.where(F.col("resolved_pgm").isin(*SQL_RUNNERS) | F.col("pgm").isin(*UTILITY_RUNNERS, *SQL_RUNNERS))
-    found = streams.where("dd in ('SYSIN', 'SYSPUNCH')").join(readers.select("path", "seq"), ["path", "seq"])
-    return found.select("path", (F.lit(100_000) + F.col("stmt")).cast("int").alias("unit"), F.lit(1).cast("long").alias("first"), F.transform(F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1), lambda i: (i + F.col("first")).cast("int")).alias("origin"), "text")
+    found = streams.where("dd in ('SYSIN', 'SYSPUNCH')").join(readers.select("path", "seq"), ["path", "seq"]).withColumnRenamed("first", "begin")
+    return found.select("path", (F.lit(100_000) + F.col("stmt")).cast("int").alias("unit"), F.lit(1).cast("long").alias("first"), F.transform(F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1), lambda i: (i + F.col("begin")).cast("int")).alias("origin"), "text")
 
 
 def deck_references(dds: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ def table_tokens(rows: DataFrame) -> DataFrame:
     index_on = (p1 == "ON") & (F.col("verb") == "CREATE") & p3.isin("INDEX")
     rule = (
         F.when(F.col("kw").isin("SET", "WHERE", "TABLE", "SELECT", "VALUES", "LATERAL", "FINAL", "OLD", "NEW", "DISTINCT"), None)
-        .when((p1 == "UPDATE") & (p2 != "FOR") & (p2 != "THEN"), _use("WRITE", "UPDATE"))
+        .when((p1 == "UPDATE") & (p2 != "FOR"), _use("WRITE", "UPDATE"))
         .when((p1 == "INTO") & p2.isin("INSERT"), _use("WRITE", "INSERT"))
         .when((p1 == "INTO") & p2.isin("MERGE"), _use("WRITE", "MERGE"))
         .when((p1 == "FROM") & (p2 == "DELETE"), _use("WRITE", "DELETE"))
