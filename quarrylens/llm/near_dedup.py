@@ -8,8 +8,9 @@ on a coordinate with the probability of their weighted Jaccard similarity. Bands
 
 Pairs are verified with exact similarities of whole texts. Each band bucket first links its members to its
 smallest id; where verified links leave a bucket in several parts, its members are compared in blocks across
-those parts, first each with its likeliest partner and the block's best hub with all, then every pair that is
-left. So no link is lost to the first steps, and a tight group of n copies costs n comparisons.
+those parts, with their weighted sets at hand, and a forest of the links leaves each block. So every pair that
+shares a band is linked exactly as its similarity says, and a tight group of n copies costs n comparisons.
+A pair at a similarity of 0.8 shares no band with a probability of (1 - 0.8**7)**32 = 0.0006.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 #: Members of a bucket that are compared in one block; larger buckets are cut into blocks.
 BLOCK = 256
-#: Share of equal coordinates from which a pair is verified: three standard deviations below SIMILARITY.
-LIKELY = 0.72
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -191,38 +190,55 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(judged, "a long, b long")
 
 
-def _likely(every: bool):
-    """Pairs of different parts within a block pair whose coordinates mostly agree.
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the links within each block pair: at most one pair a member leaves the task, however many are similar.
 
-    Unless ``every`` is set, only those of the member with most such pairs, and the likeliest of every member. A pair
-    that shares several bands is told in the first of them alone: equal bytes in a band mean a shared bucket.
+    Only members of different parts are compared, and a pair that shares several bands in the first of them alone:
+    equal bytes in a band mean a shared bucket. Two parts that are joined within the task are not compared further.
+    A similarity is at most the smaller weight over the larger, so pairs of unlike sizes are passed over exactly.
     """
+    for t in groups(batches, ["bucket", "low", "high"]):
+        ids, part, block = (t.column(n).to_numpy() for n in ("id", "part", "block"))
+        band = t.column("band")[0].as_py()
+        coords = np.frombuffer(b"".join(t.column("coords").to_pylist()), np.uint8).reshape(len(ids), -1)
+        elements = [np.frombuffer(x, _U) for x in t.column("elements").to_pylist()]
+        weights = [np.frombuffer(x, np.int64) for x in t.column("weights").to_pylist()]
+        total = np.array([w.sum() for w in weights])
+        _, label = np.unique(part, return_inverse=True)
+        one, two = np.flatnonzero(block == t.column("low")[0].as_py()), np.flatnonzero(block == t.column("high")[0].as_py())
+        a, b = [], []
+        for i in one:
+            fits = (label[two] != label[i]) & (np.minimum(total[two], total[i]) >= SIMILARITY * np.maximum(total[two], total[i]))
+            rest = two[fits]
+            if not len(rest):
+                continue
+            equal = (coords[rest] == coords[i]).reshape(len(rest), BANDS, ROWS).all(axis=2)
+            rest = rest[equal.argmax(axis=1) == band]
+            if not len(rest):
+                continue
+            sizes = np.array([len(elements[j]) for j in rest])
+            others = np.concatenate([elements[j] for j in rest])
+            at = np.minimum(np.searchsorted(elements[i], others), len(elements[i]) - 1)
+            low = np.where(elements[i][at] == others, np.minimum(weights[i][at], np.concatenate([weights[j] for j in rest])), 0)
+            low = np.add.reduceat(low, np.cumsum(sizes) - sizes)
+            for j in rest[low >= SIMILARITY * (total[i] + total[rest] - low)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """(id, coords, elements, weights) of rows (id, coords, text): the weighted shingles as binaries of 64-bit numbers."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("coords"), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array([w.astype(np.int64).tobytes() for _, w in sets], pa.binary())], ["id", "coords", "elements", "weights"])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["bucket", "low", "high"]):
-            ids = t.column("id").to_numpy()
-            part, block = t.column("part").to_numpy(), t.column("block").to_numpy()
-            coords = np.frombuffer(b"".join(t.column("coords").to_pylist()), np.uint8).reshape(len(ids), -1)
-            low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-            one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            band = t.column("band")[0].as_py()
-            share = np.empty((len(one), len(two)))
-            for n, i in enumerate(one):
-                equal = coords[two] == coords[i]
-                first = equal.reshape(len(two), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                share[n] = equal.mean(axis=1) * first
-            share[part[one][:, None] == part[two][None, :]] = 0
-            i, j = np.nonzero(share >= LIKELY)
-            if not every and len(i):
-                hub = np.bincount(i).argmax()
-                best = share.argmax(axis=1)
-                keep = (i == hub) | (j == best[i])
-                i, j = i[keep], j[keep]
-            if len(i):
-                x, y = ids[one[i]], ids[two[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return found
+    return rows.select("id", "coords", "text").mapInArrow(made, "id long, coords binary, elements binary, weights binary")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,26 +262,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     near = written(verified(tried, texts), "links")
     part = components(near)
 
-    links = near
-    for every in (False, True):
-        parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "band", "id", F.coalesce("c", "id").alias("part"))
-        parted = written(parted.join(shared.select("bucket"), "bucket", "left_semi"), "parts")
-        # only pairs of different parts matter: blocks of the bucket's largest part (numbered below 0) meet the blocks
-        # of all other members, which also meet each other; a large part that is linked already costs a row a member
-        sizes = parted.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-        split = split.select("bucket", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("rests"))
-        inside = F.col("part") == F.col("main")
-        dealt = parted.join(split, "bucket").withColumn("block", F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rests"))).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("mains")), F.col("rests") - 1)))
-        dealt = dealt.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(reps.select("id", "coords"), "id")
-        dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-        more = written(dealt.mapInArrow(_likely(every), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(more)
-        late = written(verified(more, texts), "links")
-        if late.limit(1).count():
-            links = links.unionByName(late)
-            part = components(links)
+    parted = members.join(part.withColumnRenamed("component", "c"), "id", "left").select("bucket", "band", "id", F.coalesce("c", "id").alias("part"))
+    parted = written(parted.join(shared.select("bucket"), "bucket", "left_semi"), "parts")
+    # only pairs of different parts matter: blocks of the bucket's largest part (numbered below 0) meet the blocks
+    # of all other members, which also meet each other; a large part that is linked already costs a row a member
+    sizes = parted.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    split = split.select("bucket", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("rests"))
+    inside = F.col("part") == F.col("main")
+    dealt = parted.join(split, "bucket").withColumn("block", F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rests"))).cast("int"))
+    dealt = written(dealt.select("bucket", "band", "id", "part", "block", "mains", "rests", inside.alias("inside")), "dealt")
+    # the sets of those members alone whose buckets are in several parts
+    needed = reps.select("id", "coords").join(dealt.select("id").distinct(), "id", "left_semi").join(texts, "id").dropDuplicates(["id"])
+    sets = written(_with_sets(needed), "sets")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), 0).otherwise(-F.col("mains")), F.col("rests") - 1)))
+    dealt = dealt.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "part").join(sets, "id")
+    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    late = written(dealt.mapInArrow(_linked, "a long, b long"), "links")
+    if late.limit(1).count():
+        part = components(near.unionByName(late))
 
     rep_of = worded.join(same, "words_sha").select("id", "rep")
     found = rep_of.join(part.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
