@@ -29,7 +29,8 @@ BLOCK = 1 << 20
 _UNSAFE = re.compile(r"\s \s")
 #: How byte-level vocabularies write a line feed.
 _NEWLINE = "\u010a"
-_CACHE_MAX = 1_200_000
+#: Bytes of pieces and ids that a worker remembers, about; then it starts anew.
+_CACHE_BYTES = 300 << 20
 
 
 class WordTokenizer:
@@ -46,6 +47,7 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.bytes_of, self.ending = np.zeros(size, np.int64), np.zeros(size, bool)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():  # byte-level tokens: one character a byte
@@ -55,6 +57,7 @@ class WordTokenizer:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
+        self.held += 200 * len(pieces) + 4 * sum(map(len, pieces))
         joined = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[1].isspace()]
         for i in range(0, len(joined), 4000):
             part = joined[i : i + 4000]
@@ -68,16 +71,17 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        if len(self.known) > _CACHE_MAX:
-            self.known = {}
-        get = self.known.get
+        if self.held > _CACHE_BYTES:
+            self.known, self.held = {}, 0
         cut = [[t] if "\0" in t or _UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        data = [list(map(get, c)) if len(c) > 1 else [None] for c in cut]
-        gaps = [k for k, d in enumerate(data) if len(d) > 1 and None in d]
-        self._learn(list({p for k in gaps for p, d in zip(cut[k], data[k], strict=True) if d is None}))
-        for k in gaps:
-            data[k] = list(map(get, cut[k]))
-        return [b"".join(d) if len(d) > 1 else self._encode(c)[0] for c, d in zip(cut, data, strict=True)]
+        met: set[str] = set()
+        for c in cut:
+            if len(c) > 1:
+                met.update(c)
+        known = self.known
+        self._learn([p for p in met if p not in known])
+        get = known.__getitem__
+        return [b"".join(map(get, c)) if len(c) > 1 else self._encode(c)[0] for c in cut]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
