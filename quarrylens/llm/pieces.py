@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 MARKER = "▁"
 _SEGMENT = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 _CACHE_MAX = 1_000_000
+#: Bytes of words, ids and decoded words that a worker remembers, about; then it starts anew.
+_CACHE_BYTES = 400 << 20
 _UNKNOWN = -1
 
 
@@ -38,7 +42,9 @@ class Pieces:
         self.text_of |= {i: bytes([b]) for b, i in enumerate(byte_ids or [])}
         self.floor = min((s for _, s in scores.values()), default=0.0) - 10
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str, kind: str = "bpe") -> Pieces:
@@ -64,30 +70,43 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _apart(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if key not in self.apart:
-            if len(self.apart) > _CACHE_MAX:
-                self.apart.clear()
-            self.apart[key] = self.merged(a + b) == [a, b]
-        return self.apart[key]
-
-    def _bpe_entry(self, word: str, end: int, last: list[str | None], start: list[int]) -> None:
-        scores = self.scores
-        for begin in range(max(0, end - self.longest), end):
-            piece = word[begin:end]
-            if piece in scores and (begin == 0 or last[begin] is None or self._apart(last[begin], piece)):
-                # a piece that merging its own characters does not give can't be a last piece
-                if end - begin == 1 or self._apart_self(piece):
-                    last[end], start[end] = piece, begin
-                    return
-        last[end], start[end] = None, end - 1
-
-    def _apart_self(self, piece: str) -> bool:
-        key = (piece, "")
-        if key not in self.apart:
-            self.apart[key] = self.merged(piece) == [piece]
-        return self.apart[key]
+    def _stay_apart(self, a: str, b: str) -> bool:
+        """Whether two pieces, merged alone, give the two again; remembered."""
+        if len(self.apart) > _CACHE_MAX:
+            self.apart.clear()
+        self.apart[a, b] = same = self.merged(a + b) == [a, b]
+        return same
+
+    @cached_property
+    def endings(self) -> dict[str, bool]:
+        """Every end of a piece, with whether it is a piece that merging its own characters gives: only such can be a last piece."""
+        out = {p[i:]: False for p in self.scores for i in range(1, len(p))}
+        out.update((p, len(p) == 1 or self.merged(p) == [p]) for p in self.scores)
+        return out
+
+    def _bpe_entries(self, word: str, same: int, last: list[str | None], start: list[int]) -> None:
+        """Fills the table beyond the first ``same`` characters."""
+        endings, apart = self.endings, self.apart
+        for end in range(same + 1, len(word) + 1):
+            last[end], start[end] = None, end - 1
+            # ends of pieces that end here, shorter ones first; of those that can be last, the longest one holds
+            begin, fits = end - 1, []
+            while begin >= 0:
+                piece = word[begin:end]
+                found = endings.get(piece)
+                if found is None:
+                    break
+                if found:
+                    fits.append((begin, piece))
+                begin -= 1
+            for begin, piece in reversed(fits):
+                before = last[begin]
+                if before is not None:
+                    stay = apart.get((before, piece))
+                    if not (self._stay_apart(before, piece) if stay is None else stay):
+                        continue
+                last[end], start[end] = piece, begin
+                break
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """The ids of each word; words must be sorted."""
@@ -102,10 +121,10 @@ class Pieces:
             for held in (table, start, best):
                 del held[same + 1 :]
                 held.extend([None if held is table else 0] * (len(word) - same))
-            for end in range(same + 1, len(word) + 1):
-                if self.kind == "bpe":
-                    self._bpe_entry(word, end, table, start)
-                else:
+            if self.kind == "bpe":
+                self._bpe_entries(word, same, table, start)
+            else:
+                for end in range(same + 1, len(word) + 1):
                     top, table[end], start[end] = best[end - 1] + self.floor, None, end - 1
                     for begin in range(max(0, end - self.longest), end):
                         got = self.scores.get(word[begin:end])
@@ -125,17 +144,41 @@ class Pieces:
             before = word
             yield word, out[::-1]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > _CACHE_MAX:
-            self.known = {}
+    def _cut(self, texts: list[str | None]) -> list[list[str]]:
+        """The marked words of each text; those not met before are segmented."""
+        if self.held > _CACHE_BYTES:
+            self.known, self.back, self.held = {}, {}, 0
         cut = [_SEGMENT.findall(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
-        new = sorted({w for c in cut for w in c if w not in self.known})
-        self.known.update((w, np.array(ids, "<i4").tobytes()) for w, ids in self.segment(new))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<i4") for c in cut]
+        new = set()
+        for c in cut:
+            new.update(c)
+        for word, ids in self.segment(sorted(new.difference(self.known))):
+            self.known[word] = array("i", ids).tobytes()
+            self.back[word] = self._bytes_of(ids)
+            self.held += 200 + 10 * len(word)
+        return cut
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<i4") for c in self._cut(texts)]
+
+    def encode_and_back(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str]]:
+        """The ids of each text and what they decode to; decoding is by piece, so a word's ids are decoded once."""
+        cut = self._cut(texts)
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<i4") for c in cut]
+        return ids, [_plain(b"".join(map(self.back.__getitem__, c))) for c in cut]
+
+    def _bytes_of(self, ids: list[int]) -> bytes:
+        get = self.text_of.get
+        return b"".join([get(i, b" \xe2\x81\x87 ") for i in ids])
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(self.text_of.get(i, b" \xe2\x81\x87 ") for i in ids).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return _plain(self._bytes_of(ids))
+
+
+def _plain(data: bytes) -> str:
+    """The text of decoded bytes, without the blank of the first mark."""
+    text = data.decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 _LOADED: dict[tuple[str, str], Pieces] = {}
@@ -162,10 +205,10 @@ def encode(docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "d
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
                 texts = b.column("text").to_pylist()
-                ids = model.encode(texts)
+                ids, texts_back = model.encode_and_back(texts)
                 offsets = np.cumsum([0, *map(len, ids)])
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<i4")]).astype(np.int32)))
-                same = [model.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                same = [back == (t or "") for back, t in zip(texts_back, texts, strict=True)]
                 crc = [zlib.crc32(x.tobytes()) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column("id"), values, pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["id", "ids", "n_ids", "ids_crc32", "round_trip"])
 
