@@ -1,39 +1,38 @@
 """Scoring texts by prediction by partial matching: a byte-context trie over the training documents.
 
-A text is its lower-cased words, each with a mark before and after, coded byte by byte in contexts of up to ``ORDER``
-preceding bytes, across word marks (or, for comparison, within the word alone). A byte unseen in a context escapes to the next shorter one (method C: d distinct symbols in n escape
-with probability d / (n + d)); symbols of the longer context are excluded there. Below order 0 all symbols left are
-equally likely. Counts are of all training documents, so the trie and the word table grow with the corpus.
-
-Only a word's first ``HEAD`` bytes have contexts that reach into the words before it. So a token is coded in two
-parts: its head after the last ``HEAD`` bytes before its start mark, once for every distinct pair of both, and its
-other bytes, once for every distinct word. Scan partitions are cut into blocks of text; each block keeps its own
-dictionaries of words and pairs, and a document is a list of places in each. Only dictionaries meet the tables, by
-joins on word or pair; only contexts that a group of words and pairs needs meet that group.
+A text is its lower-cased words with a mark before, between and after them, then an end, coded byte by byte in
+contexts of up to ``ORDER`` preceding bytes, across word marks (or, for comparison, within the word alone). A byte
+unseen in a context escapes to the next shorter one (method C: d distinct symbols in n escape with probability
+d / (n + d)); symbols of the longer context are excluded there. Below order 0 all symbols left are equally likely.
+
+With that order a byte's probability depends on its ``ORDER`` bytes of context alone. So the trie is a table of
+(context, symbol) with counts, grown from all training documents, and every (context, symbol) that occurs anywhere
+is coded once, order by order, with joins and sums over that table. Texts are held in blocks, compressed; a block
+sends in the distinct contexts and words it holds with their counts, and gets their code lengths back.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, written
+from .common import written
 
 ORDER = 5
-#: Bytes of a token, and before its start mark, that a pair holds; both fit into 64 bits.
-HEAD = ORDER - 1
-#: Bytes of text in a block, and words in a group that is coded together.
-BLOCK_BYTES, GROUP_WORDS = 8 << 20, 1 << 17
+#: Bytes of text in a block, whose contexts are looked up together, and in a row of it.
+BLOCK_BYTES, ROW_BYTES = 48 << 20, 4 << 20
 #: The mark before and after a word, and the end of a text; no word holds either byte.
 MARK, END = b" ", b"\n"
 SYMBOLS = 256
-_TOKENS = "block long, word binary, pair long, at int, n long, doc_id {kind}, held_out boolean, ids binary, links binary"
+_DOCS = "block long, gram long, word binary, n long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, packed binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,235 +40,214 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pairs_of(words: list[bytes], across: bool) -> np.ndarray:
-    """For every word and the end of the text: the ``HEAD`` bytes before its start mark and its first ``HEAD``, as a number.
+def stream_of(text: str | None) -> bytes:
+    """The text as it is coded, from its first mark to its end; the first mark is context only."""
+    words = words_of(text)
+    return MARK + MARK.join([*words, END]) if words else MARK + END
 
-    END fills up in front where the text has fewer bytes, and everywhere unless contexts run ``across`` word marks;
-    MARK fills up behind.
+
+def grams_of(data: np.ndarray, across: bool) -> np.ndarray:
+    """For every byte of streams laid end to end: its context's length, its context and itself as a number; -1 for first marks.
+
+    Contexts reach back to the stream's first mark, or, unless ``across`` is set, to the mark before the word.
     """
-    data = np.frombuffer(END * HEAD + MARK + b"".join([w + MARK for w in words]) + END + MARK * HEAD, np.uint8).astype(np.uint64)
-    at = np.flatnonzero(data == MARK[0])[: len(words) + 1] + 1
-    key, ended = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
-    for i in range(HEAD):
-        key = key << np.uint64(8) | (data[at - 1 - HEAD + i] if across else np.uint64(END[0]))
-    for i in range(HEAD):
-        byte = np.where(ended, np.uint64(MARK[0]), data[at + i])
-        key = key << np.uint64(8) | byte
-        ended |= byte == MARK[0]
-    return key.view(np.int64)
+    n = len(data)
+    place = np.arange(n)
+    end, mark = data == END[0], data == MARK[0]
+    first = np.zeros(n, bool)
+    first[0] = True
+    first[1:] = end[:-1]
+    # the byte that a context reaches back to: a mark belongs to the word before it
+    begins = first if across else first | mark
+    reach = np.maximum.accumulate(np.where(begins, place, 0))
+    if not across:
+        before = np.concatenate([[0], reach[:-1]])
+        reach = np.where(mark & ~first, before, reach)
+    length = np.minimum(place - reach, ORDER)
+    gram = data.astype(np.int64)
+    for k in range(1, ORDER + 1):
+        fits = length >= k
+        gram[k:] |= np.where(fits[k:], data[:-k].astype(np.int64) << (8 * k), 0)
+    gram |= length << 48
+    gram[first] = -1
+    return gram
+
+
+def _counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(values, return_inverse=True)
+    return distinct, np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64)
 
 
 class _Block:
+    """Documents of a block: rows of compressed streams, counts of words and of contexts with their symbols."""
+
     def __init__(self, across: bool) -> None:
-        self.place: dict[bytes, int] = {END: 0}
-        self.docs: list[tuple] = []
-        self.pairs: list[np.ndarray] = []
-        self.bytes, self.across = 0, across
-
-    def add(self, doc_id: object, held_out: bool, text: str | None) -> None:
-        place, words = self.place, words_of(text)
-        for w in words:
-            if w not in place:
-                place[w] = len(place)
-        ids = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
-        self.docs.append((doc_id, held_out, np.append(ids, np.uint32(0))))
-        self.pairs.append(pairs_of(words, self.across))
-        self.bytes += len(text or "")
-
-    def rows(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        doc_ids, held, ids = zip(*self.docs, strict=True)
-        sizes = np.array([len(i) for i in ids])
-        trains = np.repeat(~np.array(held, bool), sizes)
-        pairs, links = np.unique(np.concatenate(self.pairs), return_inverse=True)
-        links = links.astype(np.uint32)
-        types = dict(zip(schema.names, schema.types, strict=True))
+        self.across, self.bytes = across, 0
+        self.words: Counter[bytes] = Counter()
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows: list[tuple] = []
+        self.ids: list = []
+        self.held: list[bool] = []
+        self.streams: list[bytes] = []
+        self.open = 0
+
+    def add(self, doc_id: object, held: bool, text: str | None) -> None:
+        stream = stream_of(text)
+        if held:
+            for w in {*stream.split(), END}:
+                self.words.setdefault(w, 0)
+        else:
+            self.words.update(stream.split())
+            self.words[END] += 1
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.streams.append(stream)
+        self.open += len(stream)
+        self.bytes += len(stream)
+        if self.open >= ROW_BYTES:
+            self.close()
+
+    def close(self) -> None:
+        if not self.ids:
+            return
+        joined = b"".join(self.streams)
+        sizes = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
+        grams = grams_of(np.frombuffer(joined, np.uint8), self.across)
+        trains = np.repeat(~np.array(self.held), sizes)
+        some = grams >= 0
+        self.grams.append(_counted(grams[some], trains[some]))
+        self.rows.append((self.ids, self.held, sizes, pa.compress(joined, codec="zstd", asbytes=True)))
+        self.ids, self.held, self.streams, self.open = [], [], [], 0
+
+    def batches(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        self.close()
 
         def batch(**columns: pa.Array) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
             columns["block"] = pa.array(np.full(n, block))
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c]) for c in schema.names], schema=schema)
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        for name, keys, places in (("word", pa.array(list(self.place), pa.binary()), np.concatenate(ids)), ("pair", pa.array(pairs), links)):
-            counts = np.bincount(places[trains], minlength=len(keys)).astype(np.int64)
-            yield batch(**{name: keys}, at=pa.array(np.arange(len(keys), dtype=np.int32)), n=pa.array(counts))
-        cut = np.split(links, np.cumsum(sizes)[:-1])
-        binary = lambda parts: pa.array([p.tobytes() for p in parts], pa.binary())
-        yield batch(doc_id=pa.array(doc_ids, types["doc_id"]), held_out=pa.array(held, pa.bool_()), ids=binary(ids), links=binary(cut))
+        grams, n = _counted(np.concatenate([g for g, _ in self.grams]), np.concatenate([c for _, c in self.grams]))
+        yield batch(gram=pa.array(grams), n=pa.array(n))
+        yield batch(word=pa.array(list(self.words), pa.binary()), n=pa.array(list(self.words.values()), pa.int64()))
+        for ids, held, sizes, packed in self.rows:
+            yield batch(doc_ids=pa.array([ids], schema.field("doc_ids").type), held=pa.array([held], pa.list_(pa.bool_())), sizes=pa.array([sizes], pa.list_(pa.int64())), packed=pa.array([packed], pa.binary()))
 
 
-def _tokenised(across: bool):
+def _blocks(across: bool, block_bytes: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, block, schema = TaskContext.get().partitionId() << 32, _Block(across), None
+        number, block, schema = TaskContext.get().partitionId() << 32, _Block(across), None
         for b in batches:
             kind = b.schema.field("id").type
-            schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("pair", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary()), ("links", pa.binary())])
-            for i, (doc_id, text) in enumerate(zip(b.column("id").to_pylist(), b.column("text"), strict=True)):
-                held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
-                block.add(doc_id, held, text.as_py())
-                if block.bytes >= BLOCK_BYTES:
-                    yield from block.rows(first, schema)
-                    first, block = first + 1, _Block(across)
-        if block.docs and schema is not None:
-            yield from block.rows(first, schema)
+            schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())])
+            for doc_id, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                block.add(doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0, text.as_py())
+                if block.bytes >= block_bytes:
+                    yield from block.batches(number, schema)
+                    number, block = number + 1, _Block(across)
+        if block.bytes and schema is not None:
+            yield from block.batches(number, schema)
 
     return made
 
 
-def coded_bytes(words: list[bytes | None], pairs: list[int | None]) -> tuple[list[bytes], np.ndarray]:
-    """For every word (or pair, where the word is None): its bytes with those before them, and how many are not coded with it."""
-    coded, skips = [], np.full(len(words), ORDER)
-    for i, (w, p) in enumerate(zip(words, pairs, strict=True)):
-        if w is not None:
-            coded.append(MARK + (w if w == END else w + MARK))
-            continue
-        key = p.to_bytes(2 * HEAD, "big", signed=True)
-        before, head = key[:HEAD].lstrip(END) + MARK, key[HEAD:]
-        end = head.find(END if head[:1] == END else MARK)
-        coded.append(before + (head if end < 0 else head[: end + 1]))
-        skips[i] = len(before)
-    return coded, skips
-
-
-def contexts_of(coded: list[bytes], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every coded byte: the number of its word or pair, the symbol, contexts by order (ORDER + 1 columns, -1 where too long).
-
-    A context is its bytes as a number, with its length above them.
-    """
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(coded)), sizes)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(inside >= skips[owner])
-    table = np.full((len(at), ORDER + 1), -1, np.int64)
-    code = np.zeros(len(at), np.int64)
-    table[:, 0] = 0
-    for k in range(1, ORDER + 1):
-        fits = inside[at] >= k
-        code[fits] |= data[at[fits] - k] << (8 * (k - 1))
-        table[fits, k] = code[fits] | (k << 48)
-    return owner[at], data[at], table
-
-
-def _coded_of(rows: pa.RecordBatch | pa.Table) -> tuple[list[bytes], np.ndarray]:
-    return coded_bytes(rows.column("word").to_pylist(), rows.column("pair").to_pylist())
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        owner, symbol, table = contexts_of(*_coded_of(b))
-        weight = b.column("c").to_numpy()[owner]
-        for k in range(ORDER + 1):
-            fits = table[:, k] >= 0
-            code, place = np.unique((table[fits, k] << 8) | symbol[fits], return_inverse=True)
-            n = np.bincount(place, weights=weight[fits], minlength=len(code)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(code >> 8), pa.array((code & 255).astype(np.int32)), pa.array(n)], ["ctx", "sym", "n"])
+def coded(grams: DataFrame) -> DataFrame:
+    """(gram, logp) of every (context, symbol) in grams (gram, n), n being its count in training.
 
-
-def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for g in groups(batches, ["part"]):
-        _, _, table = contexts_of(*_coded_of(g))
-        ctx = np.unique(table[table >= 0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ctx), g.column("part")[0].as_py(), np.int32)), pa.array(ctx)], ["part", "ctx"])
-
-
-def code_lengths(coded: list[bytes], skips: np.ndarray, ctx: np.ndarray, n: np.ndarray, d: np.ndarray, mass: np.ndarray, begin: np.ndarray, sym: np.ndarray, cnt: np.ndarray) -> np.ndarray:
-    """log10 probability of the coded bytes of each word or pair. ctx is sorted; its symbols are sym[begin[i]:begin[i + 1]], sorted, with counts cnt.
-
-    mass is what the symbols of a context count for in the next shorter context.
+    Orders are worked from 0 upward. ``fresh`` is the log10 probability of the symbol in this context if no longer
+    one is known; ``after`` that of the symbol one order down once this context has been escaped from, its symbols
+    excluded there. Contexts of order k count all bytes that have k bytes or more before them.
     """
-    owner, symbol, table = contexts_of(coded, skips)
-    keys = np.repeat(np.arange(len(ctx)), np.diff(begin)) * 256 + sym
-    logp, done = np.zeros(len(symbol)), np.zeros(len(symbol), bool)
-    gone, kinds = np.zeros(len(symbol)), np.zeros(len(symbol))
-    for k in range(ORDER, -1, -1):
-        open_ = np.flatnonzero(~done & (table[:, k] >= 0))
-        if not len(ctx) or not len(open_):
-            continue
-        i = np.minimum(np.searchsorted(ctx, table[open_, k]), len(ctx) - 1)
-        seen = ctx[i] == table[open_, k]
-        open_, i = open_[seen], i[seen]
-        left, distinct = n[i] - gone[open_], d[i] - kinds[open_]
-        key = i * 256 + symbol[open_]
-        j = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[j] == key
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.log10(np.where(hit, cnt[j], distinct) / (left + distinct))
-        logp[open_] += np.where(~hit & (distinct == 0), 0.0, gain)
-        done[open_[hit]] = True
-        gone[open_], kinds[open_] = mass[i], d[i]
-    rest = ~done
-    logp[rest] -= np.log10(SYMBOLS - kinds[rest])
-    return np.bincount(owner, weights=logp, minlength=len(coded))
-
-
-def _coded(words: pa.Table, answers: pa.Table) -> pa.Table:
-    answers = answers.sort_by("ctx")
-    syms = answers.column("syms").combine_chunks()
-    flat = syms.flatten()
-    begin = np.concatenate([[0], np.cumsum(syms.value_lengths().to_numpy(zero_copy_only=False))]) if len(syms) else np.zeros(1, np.int64)
-    column = lambda name: answers.column(name).to_numpy().astype(np.float64)
-    score = code_lengths(*_coded_of(words), answers.column("ctx").to_numpy(), column("n"), column("d"), column("mass"), begin, flat.field("sym").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.float64))
-    return pa.table({"word": words.column("word"), "pair": words.column("pair"), "c": words.column("c"), "score": pa.array(score)})
-
-
-def train(words: DataFrame) -> DataFrame:
-    """The trie of words and pairs (word, pair, c): one row a context with its symbols, their counts and sums."""
-    seen = written(words.where("c > 0").mapInArrow(_counted, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "trie")
-    order = F.expr("cast(shiftright(ctx, 48) as int)")
-    shorter = F.expr("shiftleft(shiftright(ctx, 48) - 1, 48) + (ctx & (shiftleft(1L, 8 * cast(shiftright(ctx, 48) - 1 as int)) - 1))")
-    longer = seen.where(order > 0).select(F.col("ctx").alias("long_ctx"), shorter.alias("ctx"), "sym")
-    mass = longer.join(seen, ["ctx", "sym"]).groupBy("long_ctx").agg(F.sum("n").alias("mass")).withColumnRenamed("long_ctx", "ctx")
-    # at most 256 symbols a context
-    sets = seen.groupBy("ctx").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.array_sort(F.collect_list(F.struct("sym", "n"))).alias("syms"))
-    return sets.join(mass, "ctx", "left").select("ctx", "n", "d", F.coalesce("mass", F.lit(0).cast("long")).alias("mass"), "syms")
+    order = F.shiftright("gram", 48).cast("int")
+    mask = lambda k: (1 << 8 * (k + 1)) - 1
+    pairs = {ORDER: grams.where(order == ORDER).select("gram", "n", F.lit(True).alias("own"))}
+    for k in range(ORDER - 1, -1, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit(mask(k))).bitwiseOR(F.lit(k << 48))
+        own = grams.where(order == k).select("gram", "n", F.lit(True).alias("own"))
+        shorter = pairs[k + 1].select(suffix.alias("gram"), "n", F.lit(False).alias("own"))
+        pairs[k] = written(own.unionByName(shorter).groupBy("gram").agg(F.sum("n").alias("n"), F.max("own").alias("own")), "pairs")
+    context = F.shiftright("gram", 8)
+    log = lambda x, y: F.log10(x) - F.log10(y)
+    below, out = None, None
+    for k in range(ORDER + 1):
+        rows = pairs[k].withColumn("ctx", context)
+        sums = [F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds")]
+        if k == 0:
+            # one context of at most 256 symbols
+            rows = rows.join(F.broadcast(rows.groupBy("ctx").agg(*sums)), "ctx").withColumn("after", -F.log10(F.lit(float(SYMBOLS)) - F.col("kinds"))).withColumn("low_fresh", -F.log10(F.lit(float(SYMBOLS))))
+        else:
+            rows = rows.withColumn("low", F.col("gram").bitwiseAND(F.lit(mask(k - 1))).bitwiseOR(F.lit((k - 1) << 48)))
+            rows = rows.join(below, "low")
+            stats = rows.groupBy("ctx").agg(*sums, F.sum(F.when(F.col("n") > 0, F.col("low_n"))).alias("mass"))
+            rows = rows.join(stats, "ctx")
+            free = F.col("low_kinds") - F.col("kinds")
+            size = F.col("low_total") - F.col("mass") + free
+            escape = F.when(free > 0, log(free, size)).otherwise(0.0) + F.col("low_after")
+            rows = rows.withColumn("after", F.when(F.col("total") > 0, F.when(F.col("low_n") > 0, log(F.col("low_n"), size)).otherwise(escape)))
+        size = F.col("total") + F.col("kinds")
+        fresh = F.when(F.col("total") == 0, F.col("low_fresh")).when(F.col("n") > 0, log(F.col("n"), size)).otherwise(log(F.col("kinds"), size) + F.col("after"))
+        rows = written(rows.select("gram", "n", "own", "total", "kinds", "after", fresh.alias("fresh")), "orders")
+        below = rows.select(F.col("gram").alias("low"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"), F.col("after").alias("low_after"), F.col("fresh").alias("low_fresh"))
+        own = rows.where("own").select("gram", F.col("fresh").alias("logp"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of the id as text is 0 modulo 10 are held out of training; a null id trains. Null and
-    empty texts are the end of text alone; repeated rows count each; an empty table gives an empty result; only the
-    two named columns are read. base_score is that of smoothed word counts; score is the log10 probability by PPM.
-    With ``across`` contexts run across word marks; without, a token's score does not depend on those before it.
+    empty texts are the end of text alone; very long texts are a block of their own; repeated rows count each; an
+    empty table gives an empty result; only the two named columns are read. base_score is that of smoothed word
+    counts; score is the log10 probability by PPM. With ``across`` contexts run across word marks; without, a
+    token's score does not depend on those before it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tokens = written(rows.mapInArrow(_tokenised(across), _TOKENS.format(kind=kind)), "tokens")
-    words, pairs = tokens.where("word is not null"), tokens.where("pair is not null")
-    word_counts = words.groupBy("word").agg(F.sum("n").alias("c")).select("word", F.lit(None).cast("long").alias("pair"), "c")
-    pair_counts = pairs.groupBy("pair").agg(F.sum("n").alias("c")).select(F.lit(None).cast("binary").alias("word"), "pair", "c")
-    counts = written(word_counts.unionByName(pair_counts), "words")
-    is_word = F.col("word").isNotNull()
-    total = counts.agg(F.coalesce(F.sum(F.when(is_word, F.col("c"))), F.lit(0)).alias("N"), F.count_if(is_word & (F.col("c") > 0)).alias("V"), F.count("*").alias("words")).first()
-    parts = max(1, -(-total["words"] // GROUP_WORDS))
-
-    trie = written(train(counts), "contexts")
-    grouped = counts.withColumn("part", F.pmod(F.xxhash64("word", "pair"), F.lit(parts)).cast("int"))
-    needed = grouped.repartition("part").sortWithinPartitions("part").mapInArrow(_needed, "part int, ctx long")
-    answers = needed.join(trie, "ctx")
-    coded = written(grouped.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_coded, "word binary, pair long, c long, score double"), "coded")
-
+    blocks = written(rows.mapInArrow(_blocks(across, BLOCK_BYTES), _DOCS.format(kind=kind)), "blocks")
+    grams, words = blocks.where("gram is not null").select("block", "gram", "n"), blocks.where("word is not null").select("block", "word", "n")
+    # a word has a row a block, so its window is small even for the commonest; one of its rows stands for the word
+    of_word = Window.partitionBy("word")
+    counted = words.select("block", "word", "n", F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first"))
+    counted = written(counted, "words")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("V")).first()
     known, floor = int(total["N"]), float(total["N"] + 0.1 * (total["V"] + 1))
 
-    def summed(texts: pa.Table, places: pa.Table) -> pa.Table:
-        at, c, score = (places.column(n).to_numpy() for n in ("at", "c", "score"))
-        of_pair = places.column("of_pair").to_numpy()
-        count, word_score, pair_score = np.zeros((~of_pair).sum()), np.zeros((~of_pair).sum()), np.zeros(of_pair.sum())
-        count[at[~of_pair]], word_score[at[~of_pair]], pair_score[at[of_pair]] = c[~of_pair], score[~of_pair], score[of_pair]
-        base = np.log10((count + 0.1) / floor)
-        seen = (count > 0).astype(np.int64)
-        out = []
-        for data, heads in zip(texts.column("ids"), texts.column("links"), strict=True):
-            ids, links = np.frombuffer(data.as_py(), np.uint32), np.frombuffer(heads.as_py(), np.uint32)
-            out.append((len(ids), int(seen[ids].sum()), float(base[ids].sum()), float(word_score[ids].sum() + pair_score[links].sum())))
-        n, hits, bases, scores = zip(*out, strict=True) if out else ([], [], [], [])
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(hits, pa.int64()), "train_tokens": pa.array([known] * len(out), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
-
-    placed = None
-    for name, entries in (("word", words), ("pair", pairs)):
-        own = coded.where(F.col(name).isNotNull()).select(name, "c", "score")
-        own = entries.select("block", name, "at").join(own, name).select("block", F.lit(name == "pair").alias("of_pair"), "at", "c", "score")
-        placed = own if placed is None else placed.unionByName(own)
-    texts = tokens.where("ids is not null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "ids", "links")
+    counts = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    lengths = written(coded(counts), "lengths")
+    no_word, no_gram = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("gram")
+    answers = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", no_word, F.col("logp").alias("value"))
+    answers = answers.unionByName(counted.select("block", no_gram, "word", F.col("c").cast("double").alias("value")))
+
+    def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
+        of_word = found.column("word").is_valid()
+        own = found.filter(of_word)
+        count = dict(zip(own.column("word").to_pylist(), own.column("value").to_pylist(), strict=True))
+        base = {w: float(np.log10((c + 0.1) / floor)) for w, c in count.items()}
+        own = found.filter(pa.compute.invert(of_word)).sort_by("gram")
+        gram, logp = own.column("gram").to_numpy(), own.column("value").to_numpy()
+        out: list[tuple] = []
+        for ids, held, sizes, packed in zip(*(texts.column(c) for c in ("doc_ids", "held", "sizes", "packed")), strict=True):
+            sizes = np.array(sizes.as_py(), np.int64)
+            data = pa.decompress(packed.as_py(), int(sizes.sum()), codec="zstd", asbytes=True)
+            codes = grams_of(np.frombuffer(data, np.uint8), across)
+            some = codes >= 0
+            value = np.zeros(len(codes))
+            value[some] = logp[np.searchsorted(gram, codes[some])]
+            scores = np.add.reduceat(value, np.cumsum(sizes) - sizes)
+            at = 0
+            for doc_id, h, size, score in zip(ids.as_py(), held.as_py(), sizes.tolist(), scores.tolist(), strict=True):
+                tokens = data[at : at + size].split()
+                tokens.append(END)
+                at += size
+                out.append((doc_id, h, len(tokens), sum(map(bool, map(count.__getitem__, tokens))), known, sum(map(base.__getitem__, tokens)), score))
+        types = [found_kind(texts), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, types, strict=True)], names)
+
+    def found_kind(texts: pa.Table) -> pa.DataType:
+        return texts.schema.field("doc_ids").type.value_type
+
+    texts = blocks.where("packed is not null").select(F.col("block").alias("text_block"), "doc_ids", "held", "sizes", "packed")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("text_block").cogroup(placed.groupBy("block")).applyInArrow(summed, schema).withColumnRenamed("doc_id", id_col)
+    return texts.groupBy("text_block").cogroup(answers.groupBy("block")).applyInArrow(summed, schema).withColumnRenamed("doc_id", id_col)

@@ -46,7 +46,6 @@ def brute(rows):
 
 def test_scores_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ppm, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(ppm, "GROUP_WORDS", 300)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows += [(90_001, None), (90_002, ""), (90_003, " \t "), (90_004, "THE the Ä \x1c x"), (90_005, "word " * 30_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, block int").repartition(3)

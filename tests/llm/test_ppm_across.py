@@ -36,7 +36,6 @@ def brute(rows):
 
 def test_contexts_run_across_word_marks(spark, monkeypatch):
     monkeypatch.setattr(ppm, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(ppm, "GROUP_WORDS", 300)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()]
     rows += [(90_001, None), (90_002, ""), (90_003, " \t "), (90_004, "THE the Ä \x1c x"), (90_005, "a b c d e f g"), (90_006, "\x00 \x00\x00 ab\x00 abc abcd abcde")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
