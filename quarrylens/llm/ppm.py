@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -28,7 +29,7 @@ from .common import written
 
 ORDER = 5
 #: Bytes of text in a block, whose contexts are looked up together, and in a row of it.
-BLOCK_BYTES, ROW_BYTES = 48 << 20, 4 << 20
+BLOCK_BYTES, ROW_BYTES = 48 << 20, 1 << 20
 #: The mark before and after a word, and the end of a text; no word holds either byte.
 MARK, END = b" ", b"\n"
 SYMBOLS = 256
@@ -51,29 +52,32 @@ def grams_of(data: np.ndarray, across: bool) -> np.ndarray:
 
     Contexts reach back to the stream's first mark, or, unless ``across`` is set, to the mark before the word.
     """
-    n = len(data)
-    place = np.arange(n)
-    end, mark = data == END[0], data == MARK[0]
-    first = np.zeros(n, bool)
-    first[0] = True
-    first[1:] = end[:-1]
-    # the byte that a context reaches back to: a mark belongs to the word before it
-    begins = first if across else first | mark
-    reach = np.maximum.accumulate(np.where(begins, place, 0))
-    if not across:
-        before = np.concatenate([[0], reach[:-1]])
-        reach = np.where(mark & ~first, before, reach)
-    length = np.minimum(place - reach, ORDER)
-    gram = data.astype(np.int64)
+    end = data == END[0]
+    starts = np.concatenate([[0], np.flatnonzero(end[:-1]) + 1])
+    wide = data.astype(np.int64)
+    gram = wide.copy()
     for k in range(1, ORDER + 1):
-        fits = length >= k
-        gram[k:] |= np.where(fits[k:], data[:-k].astype(np.int64) << (8 * k), 0)
+        gram[k:] |= wide[:-k] << (8 * k)
+    if across:
+        length = np.full(len(data), ORDER)
+        for k in range(ORDER - 1, -1, -1):  # a stream that is shorter is set right by the one after it
+            at = starts + k
+            length[at[at < len(data)]] = k
+    else:
+        # a mark belongs to the word before it, unless it is the stream's first
+        place, mark = np.arange(len(data)), data == MARK[0]
+        reach = np.maximum.accumulate(np.where(mark, place, 0))
+        reach = np.where(mark, np.concatenate([[0], reach[:-1]]), reach)
+        reach[starts] = starts
+        length = np.minimum(place - reach, ORDER)
+    short = np.flatnonzero(length < ORDER)
+    gram[short] &= (np.int64(1) << (8 * (length[short] + 1))) - 1
     gram |= length << 48
-    gram[first] = -1
+    gram[starts] = -1
     return gram
 
 
-def _counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _summed(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, at = np.unique(values, return_inverse=True)
     return distinct, np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64)
 
@@ -115,10 +119,17 @@ class _Block:
         grams = grams_of(np.frombuffer(joined, np.uint8), self.across)
         trains = np.repeat(~np.array(self.held), sizes)
         some = grams >= 0
-        self.grams.append(_counted(grams[some], trains[some]))
+        self.grams.append(np.unique(grams[some & trains], return_counts=True))
+        held = np.unique(grams[some & ~trains])
+        self.grams.append((held, np.zeros(len(held), np.int64)))
+        if len(self.grams) > 24:
+            self.grams = [self.merged()]
         self.rows.append((self.ids, self.held, sizes, pa.compress(joined, codec="zstd", asbytes=True)))
         self.ids, self.held, self.streams, self.open = [], [], [], 0
 
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([g for g, _ in self.grams]), np.concatenate([c for _, c in self.grams]))
+
     def batches(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         self.close()
 
@@ -127,7 +138,7 @@ class _Block:
             columns["block"] = pa.array(np.full(n, block))
             return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        grams, n = _counted(np.concatenate([g for g, _ in self.grams]), np.concatenate([c for _, c in self.grams]))
+        grams, n = self.merged()
         yield batch(gram=pa.array(grams), n=pa.array(n))
         yield batch(word=pa.array(list(self.words), pa.binary()), n=pa.array(list(self.words.values()), pa.int64()))
         for ids, held, sizes, packed in self.rows:
@@ -221,11 +232,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
         of_word = found.column("word").is_valid()
-        own = found.filter(of_word)
-        count = dict(zip(own.column("word").to_pylist(), own.column("value").to_pylist(), strict=True))
-        base = {w: float(np.log10((c + 0.1) / floor)) for w, c in count.items()}
-        own = found.filter(pa.compute.invert(of_word)).sort_by("gram")
-        gram, logp = own.column("gram").to_numpy(), own.column("value").to_numpy()
+        own = found.filter(of_word).select(["word", "value"])
+        place = dict(zip(own.column("word").to_pylist(), range(own.num_rows), strict=True))
+        count = own.column("value").to_numpy()
+        base, seen = np.log10((count + 0.1) / floor), count > 0
+        own = found.filter(pa.compute.invert(of_word)).select(["gram", "value"])
+        del found
+        gram, logp = pd.Index(own.column("gram").to_numpy()), own.column("value").to_numpy()
         out: list[tuple] = []
         for ids, held, sizes, packed in zip(*(texts.column(c) for c in ("doc_ids", "held", "sizes", "packed")), strict=True):
             sizes = np.array(sizes.as_py(), np.int64)
@@ -233,14 +246,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             codes = grams_of(np.frombuffer(data, np.uint8), across)
             some = codes >= 0
             value = np.zeros(len(codes))
-            value[some] = logp[np.searchsorted(gram, codes[some])]
+            value[some] = logp[gram.get_indexer(codes[some])]
             scores = np.add.reduceat(value, np.cumsum(sizes) - sizes)
             at = 0
             for doc_id, h, size, score in zip(ids.as_py(), held.as_py(), sizes.tolist(), scores.tolist(), strict=True):
                 tokens = data[at : at + size].split()
                 tokens.append(END)
                 at += size
-                out.append((doc_id, h, len(tokens), sum(map(bool, map(count.__getitem__, tokens))), known, sum(map(base.__getitem__, tokens)), score))
+                where = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
+                out.append((doc_id, h, len(tokens), int(seen[where].sum()), known, float(base[where].sum()), score))
         types = [found_kind(texts), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, types, strict=True)], names)
