@@ -11,7 +11,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*>?", re.S)
+#: Possessive throughout, so a tag that is never closed costs its length once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*+>?", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is raw text up to their own end tag.
@@ -64,6 +66,8 @@ class Page:
 
     def _parse(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # every open element and the block it belongs to
+        places: dict[str, list[int]] = defaultdict(list, html=[0])  # where in the stack elements of a name are
+        bounds, nodes = [0], [0]  # where in the stack nodes and scopes are, and nodes alone
         run: list[str] = []
         links, controls, at = 0, 0, 0
 
@@ -76,14 +80,43 @@ class Page:
                 self.marks[node] += sum(text.count(c) for c in ".,;:!?")
             run.clear()
 
+        def push(name: str, node: int) -> None:
+            places[name].append(len(stack))
+            if name in NODES or name in SCOPES:
+                bounds.append(len(stack))
+            if name in NODES:
+                nodes.append(len(stack))
+            stack.append((name, node))
+
+        def renamed(k: int) -> None:
+            at = places[stack[k][0]]
+            if at[-1] == k:
+                at.pop()
+            else:
+                at.remove(k)
+            stack[k] = ("", stack[k][1])
+
+        def last(names: Iterable[str]) -> int:
+            return max((places[n][-1] for n in names if places[n]), default=-1)
+
         def pop_to(k: int) -> None:
             nonlocal links, controls
-            if any(t in NODES for t, _ in stack[k:]):
+            if nodes[-1] >= k:
                 flush()
-            links -= sum(t == "a" for t, _ in stack[k:])
-            controls -= sum(t in CONTROLS for t, _ in stack[k:])
+            for t, _ in stack[k:]:
+                links -= t == "a"
+                controls -= t in CONTROLS
+                if t:
+                    places[t].pop()
+            for held in (bounds, nodes):
+                while held[-1] >= k:
+                    held.pop()
             del stack[k:]
 
+        def last_node(k: int) -> bool:
+            """Whether a node is open inside the k-th element."""
+            return bool(nodes) and nodes[-1] > k
+
         def text(raw: str) -> None:
             if raw and not controls:
                 plain = html.unescape(raw) if "&" in raw else raw
@@ -98,11 +131,11 @@ class Page:
             if not name:
                 continue
             if m[1]:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if k:
-                    if name not in NODES | SCOPES and any(t in NODES for t, _ in stack[k:]):
+                k = last((name,))
+                if k > 0:
+                    if name not in NODES and name not in SCOPES and last_node(k):
                         if name == "a":
-                            stack[k] = ("span", stack[k][1])
+                            renamed(k)
                             links -= 1
                         continue
                     pop_to(k)
@@ -113,7 +146,7 @@ class Page:
                     at = end.end() if end else len(s)
                 run.append(" ")
                 continue
-            foreign = any(t == "svg" or t == "math" for t, _ in stack)
+            foreign = bool(places["svg"] or places["math"])
             if name in SCOPES or name in CONTROLS or foreign:
                 if name != "math" and not foreign:
                     run.append(" ")
@@ -124,20 +157,18 @@ class Page:
                 continue
             if controls and name in BLOCKS and name not in ("div", "hr"):
                 # a control holds no text blocks: its end tag is missing, what is open inside it stays
-                stack[:] = [("span", node) if t in CONTROLS else (t, node) for t, node in stack]
+                for k in [k for t in CONTROLS for k in list(places[t])]:
+                    renamed(k)
+                    bounds[:] = [b for b in bounds if b != k]
                 controls = 0
             if name in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in NODES or stack[k][0] in SCOPES), 0)
-                if stack[k][0] == "p":
-                    pop_to(k)
+                if bounds[-1] and stack[bounds[-1]][0] == "p":
+                    pop_to(bounds[-1])
             if name in SIBLING_ENDS:
-                ends, bounds = SIBLING_ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in bounds or stack[k][0] in SCOPES:
-                        break
-                    if stack[k][0] in ends:
-                        pop_to(k)
-                        break
+                ends, keeps = SIBLING_ENDS[name]
+                k = last(ends)
+                if k > max(0, last(keeps), last(SCOPES)):
+                    pop_to(k)
             if name == "html" or name == "hr":
                 flush()
                 continue
@@ -149,11 +180,11 @@ class Page:
                 self.attrs.append(m[3])
                 for column in (self.own, self.linked, self.marks):
                     column.append(0)
-                stack.append((name, len(self.tag) - 1))
+                push(name, len(self.tag) - 1)
             elif name not in VOID:
                 links += name == "a"
                 controls += name in CONTROLS
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
         text(s[at:])
         flush()
 
@@ -214,7 +245,8 @@ class Forest:
         self.parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + s) for p, s in zip(pages, starts, strict=False)])
         self.kind = np.concatenate([[0 if t in _LEAF else 1 if t in _MARKED else 2 for t in p.tag] for p in pages])
         depth = np.concatenate([p.depth for p in pages])
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1)))[1:]
 
     def beliefs(self, w: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of every node; joint P(parent's, own) of every node but roots (0 for those)."""

@@ -46,3 +46,12 @@ def test_fallbacks_and_formulas_are_text():
 def test_raw_text_is_skipped():
     text = text_of("<script>if (a < b) document.write('<p>no</p>')</script><style>p{}</style><textarea><p>no</textarea><iframe><p>no</iframe>")
     assert text.split("\n\n") == ["The storm at sea", FIRST, LAST]
+
+
+@pytest.mark.parametrize("source", ["<a " + "x" * 1_000_000, "<b and a sentence " * 55_000, "<div>" * 100_000 + "x", "<!" * 500_000, "<div><li>" * 60_000, "<b>" + "<div>" * 60_000 + "</b>" * 100_000, "<button><p>x" * 50_000, '<a "' * 250_000, "<a>" * 60_000 + "<div>" * 30_000 + "</a>" * 60_000])
+def test_a_long_page_is_read_once(source):
+    import time
+
+    began = time.perf_counter()
+    H.Forest([H.Page(source)])
+    assert time.perf_counter() - began < 8
