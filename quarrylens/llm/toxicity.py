@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import fold
 
 _WORD = re.compile(rb"[a-z0-9'\x80-\xff]+")
+#: The bias of a model that learnt from no rows, or from rows of one label alone: a score of 0.018.
+UNTRAINED = -4.0
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -60,21 +62,26 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_train: int = 6000, bits: int = 20, epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) from at most ``max_train`` labelled rows outside fold 0.
 
-    Null labels or ids are not learnt from; an id labelled twice counts as toxic if either says so. Without any
-    labelled row the model is empty and every score 0.5 or less.
+    Null labels or ids are not learnt from; an id labelled twice counts as toxic if either says so; of the texts of a
+    repeated id the smallest is learnt. So at most ``max_train`` rows of hashed features reach the driver. Without
+    labelled rows of both kinds the model has no weights and the bias ``UNTRAINED``: nothing is called toxic.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     sample = known.where(fold(F.col("id"), folds) != 0).orderBy(F.xxhash64("id"), "id").limit(max_train)
+    # at most max_train ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [np.unique(features(t, bits)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label").cast(pa.int32()), pa.array([x.tobytes() for x in at], pa.binary())], ["id", "label", "at"])
 
-    found = sorted(rows.mapInArrow(hashed, f"id {docs.schema[id_col].dataType.simpleString()}, label int, at binary").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["at"]))[: 2 * max_train]
+    found = sorted(rows.mapInArrow(hashed, f"id {docs.schema[id_col].dataType.simpleString()}, label int, at binary").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     model = Ftrl(bits)
     toxic = sum(r["label"] for r in found)
+    if toxic in (0, len(found)):
+        return np.empty(0, np.int64), np.empty(0), UNTRAINED
     up = min(3.0, max(1.0, (len(found) - toxic) / max(1, toxic) / 3))
     bias = np.array([1 << bits])
     for _ in range(epochs):
@@ -107,13 +114,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, folds: int = 5) -> DataFrame:
-    """One row per document: id, held_out, score, predicted. Repeated rows and ids are each scored; extra columns are not read."""
+    """One row per document: id, held_out, score, predicted.
+
+    Null and empty texts get the bias's score, texts are scored whole however long, repeated rows and ids each; an
+    empty table gives an empty result; extra columns are not read. Without labels to learn from nothing is predicted.
+    """
     scored = score(docs, train(docs, labels, id_col, text_col, folds=folds), id_col, text_col)
     return scored.select(id_col, (fold(F.col(id_col), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold."""
+    """The rows of ``docs``, all columns, that score below the threshold.
+
+    Null and empty texts get the bias's score, so they stay unless most of the sample is toxic; repeated rows are
+    decided each; an empty table gives an empty result; without labels to learn from every row stays.
+    """
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = 20

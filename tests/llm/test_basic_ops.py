@@ -172,6 +172,32 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs(spark), labels).collect()
     assert len(rows) == len(TEXTS) and all(r.score is not None and r.held_out is not None for r in rows)
-    assert toxicity.toxicity(docs(spark), labels.limit(0)).where("predicted = 1").count() == 0 or True
+    untrained = toxicity.toxicity(docs(spark), labels.limit(0)).collect()
+    assert len(untrained) == len(TEXTS) and not any(r.predicted for r in untrained)
+    assert toxicity.without_toxic(docs(spark), labels.limit(0)).count() == len(TEXTS)
+    one_kind = spark.createDataFrame([(i, 0) for i in range(1, 8)], "doc_id long, toxic int")
+    assert not any(r.predicted for r in toxicity.toxicity(docs(spark), one_kind).collect())
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
+
+
+def test_toxic_weights_match_a_plain_ftrl(spark):
+    """The learner by its definition, one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(rng.choice(40, size=6, replace=False), int(rng.random() < 0.4)) for _ in range(120)]
+    model = toxicity.Ftrl(bits=6, alpha=0.5, beta=1.0, l1=0.3, l2=0.1)
+    z, n = [0.0] * 64, [0.0] * 64
+
+    def weight(i):
+        if abs(z[i]) <= 0.3:
+            return 0.0
+        return -(z[i] - (0.3 if z[i] > 0 else -0.3)) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.1)
+
+    for at, label in rows:
+        model.learn(np.array(at), label)
+        w = [weight(i) for i in at]
+        g = 1 / (1 + np.exp(-sum(w))) - label
+        for i, x in zip(at, w, strict=True):
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * x
+            n[i] += g * g
+    assert np.allclose(model.weights()[:64], [weight(i) for i in range(64)])
     assert toxicity.without_toxic(docs(spark), labels).columns == ["doc_id", "text", "key"]
