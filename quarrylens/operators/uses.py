@@ -36,7 +36,8 @@ def labels(rows: DataFrame) -> DataFrame:
 
 def block_tables(rows: DataFrame) -> DataFrame:
     """(block, alias, table, first, tables): the tables of each query block by alias and by name."""
-    found = table_tokens(rows).where(F.col("access").isin("READ", "WRITE"))
+    # an INSERT's own table is known from its list; the columns of its SELECT belong to the SELECT's tables
+    found = table_tokens(rows).where(F.col("access").isin("READ", "WRITE") & (F.col("what") != "INSERT"))
     # the statement's target is seen from every block of the statement's own level
     counted = found.groupBy(*_BLOCK).agg(F.countDistinct("table").alias("tables"), F.min_by("table", "pos").alias("first"))
     opaque = rows.where((F.col("tok") == "(") & (F.col("p1").isin("FROM", "JOIN", ",", "USING")) & (F.col("n1") == "SELECT")).groupBy(*_KEY).agg(F.lit(True).alias("derived"))

@@ -20,7 +20,8 @@ from quarrylens.operators import definitions, jobs, lexer, lines, references
 from quarrylens.operators.uses import column_uses
 from quarrylens.sources.artifacts import with_text
 
-from .tables import call_closure, data_links, expanded_targets
+from .fields import copybook_closure
+from .tables import call_closure, data_links, dependent_steps, expanded_targets
 
 DDL = "CREATE TABLE SHOP.ORDERS (ORDER_ID CHAR(10) NOT NULL, STATUS CHAR(1), TOTAL DECIMAL(11,2));\nCREATE TABLE SHOP.PART (PART_ID INTEGER NOT NULL, BRAND CHAR(10), TYPE VARCHAR(25));\n"
 
@@ -206,6 +207,112 @@ def view_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded_targets(SimpleNamespace(spark=spark, objects=written(references.objects(_tokens(files)), "objects")), "SHOP.R1")
 
 
+def merge_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A MERGE a supplier; the size of its key picks the UPDATE's column."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    column = F.when(F.col("s_suppkey") % 2 == 0, "STATUS").otherwise("TOTAL")
+    text = _text("MERGE INTO SHOP.ORDERS AS O USING SHOP.PART AS P -- SHOP.GHOST\n ON O.ORDER_ID = P.BRAND\n WHEN MATCHED THEN UPDATE SET ", column, " = 'SET GHOST = 1'\n WHEN NOT MATCHED THEN INSERT (ORDER_ID, TOTAL) VALUES (P.BRAND, 0);")
+    files = artifacts(rows, "L", _text("G", F.col("s_suppkey"), ".sql"), text)
+    return _uses(spark, files).where("access = 'WRITE' or context = 'ON'").select("member", "column", "table", "access", "context", "line")
+
+
+def union_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each branch of a UNION reads its own table."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    files = artifacts(rows, "L", _text("U", F.col("s_suppkey"), ".sql"), _text("SELECT STATUS FROM SHOP.ORDERS WHERE TOTAL > ", F.col("s_suppkey"), "\nUNION ALL SELECT BRAND FROM SHOP.PART\nUNION SELECT TYPE FROM SHOP.PART;"))
+    return _uses(spark, files).where("context in ('SELECT', 'WHERE')").select("member", "column", "table", "context", "line")
+
+
+def star_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star stands for all columns, a qualified one for those of its own table."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    text = F.when(F.col("s_suppkey") % 2 == 0, "SELECT * FROM SHOP.ORDERS;").otherwise("SELECT P.*, O.STATUS FROM SHOP.ORDERS O JOIN SHOP.PART P ON P.BRAND = O.STATUS;")
+    files = artifacts(rows, "L", _text("S", F.col("s_suppkey"), ".sql"), text)
+    return _uses(spark, files).where("context = 'SELECT'").select("member", "column", "table")
+
+
+def insert_from_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the SELECT of an INSERT belong to the SELECT's tables; those of the list are written."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    files = artifacts(rows, "L", _text("I", F.col("s_suppkey"), ".sql"), _text("INSERT INTO SHOP.ORDERS (ORDER_ID, STATUS)\n SELECT BRAND, TYPE FROM SHOP.PART WHERE PART_ID = ", F.col("s_suppkey"), ";"))
+    return _uses(spark, files).where("context in ('SELECT', 'WHERE', 'INSERT')").select("member", "column", "table", "access", "context", "line")
+
+
+def create_index_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    files = artifacts(rows, "L", _text("X", F.col("s_suppkey"), ".sql"), _text("CREATE UNIQUE INDEX SHOP.I", F.col("s_suppkey"), " ON SHOP.PART (BRAND ASC, PART_ID DESC);"))
+    return _uses(spark, files).where("context = 'INDEX'").select("member", "column", "table", "access")
+
+
+def alter_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a declaration, then those that ALTER TABLE adds, which may be null."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    table = _text("SHOP.A", F.col("s_suppkey"))
+    files = artifacts(rows, "L", _text("A", F.col("s_suppkey"), ".sql"), _text("CREATE TABLE ", table, " (K INTEGER NOT NULL, V CHAR(2));\nALTER TABLE ", table, " ADD COLUMN W", F.col("s_suppkey") % 3, " DECIMAL(7,2);"))
+    known = definitions.known_columns(definitions.defined_columns(_tokens(files)), files)
+    return known.select("table", "name", "seq", "sql_type", "nullable")
+
+
+def free_format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-format source, by its directive or by text in columns 1-6, keeps whole lines."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    text = F.when(F.col("s_suppkey") % 2 == 0, _text(">>SOURCE FORMAT IS FREE\n*> GHOST\nMOVE ", F.col("s_suppkey"), " TO A.")).otherwise(_text("PROGRAM-ID. F", F.col("s_suppkey"), ".\nPROCEDURE DIVISION.\n  *> GHOST\nSTOP RUN."))
+    return lines.cobol_blobs(artifacts(rows, "L", _text("F", F.col("s_suppkey")), text)).select("member", "blob", F.array_join(F.col("origin").cast("array<string>"), ",").alias("origin"))
+
+
+def copybook_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs (orders) copy a customer's book, which copies a nation's, which copies a region's: three hops, no more."""
+    book = lambda name, copied: fixed(["01  W-AREA.", "    05 W-A PIC X.", _text("    COPY ", copied, "."), "*    COPY GHOST."])
+    parts = [artifacts(_table(spark, sf_dir, t, *cols), "L", name, text) for t, cols, name, text in (
+        ("orders", ["o_orderkey", "o_custkey"], _text("P", F.col("o_orderkey")), fixed(["IDENTIFICATION DIVISION.", "DATA DIVISION.", _text("    COPY C", F.col("o_custkey"), "."), "PROCEDURE DIVISION."])),
+        ("customer", ["c_custkey", "c_nationkey"], _text("C", F.col("c_custkey")), book("C", _text("N", F.col("c_nationkey")))),
+        ("nation", ["n_nationkey", "n_regionkey"], _text("N", F.col("n_nationkey")), book("N", _text("R", F.col("n_regionkey")))),
+        ("region", ["r_regionkey"], _text("R", F.col("r_regionkey")), book("R", F.lit("BEYOND"))),
+    )]
+    files = written(reduce(DataFrame.unionByName, [*parts, artifacts(spark.range(1), "L", F.lit("BEYOND"), F.lit("       01  B-AREA.\n           05 B-A PIC X.\n"))]), "books")
+    index = SimpleNamespace(files=files, copy_refs=written(definitions.copy_references(lines.cobol_blobs(files)), "copies"))
+    found = copybook_closure(index, files.where("kind = 'COBOL'").select("path"))
+    return found.where("hop > 0").select(member_of(F.col("path")).alias("member"), member_of(F.col("def_path")).alias("book"), "hop")
+
+
+def deck_wiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step's deck is the member of the library that its DD names, not its twin in another library."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    job = artifacts(rows, "L", _text("J", key), F.concat_ws("\n", _text("//J", key, " JOB 1"), F.lit("//S EXEC PGM=DSNUTILB"), _text("//SYSIN DD DSN=", F.when(key % 3 == 0, "MAIN.DECKS").when(key % 3 == 1, "TEST.DECKS").otherwise("LOST.DECKS"), "(D", key, "),DISP=SHR")))
+    decks = [artifacts(rows, lib, _text("D", key), F.lit("LOAD DATA INTO TABLE SHOP.ORDERS\n")) for lib in ("MAIN.DECKS", "TEST.DECKS")]
+    steps, dds, _ = jobs.steps_and_dds(written(jobs.jcl_lines(job), "jcl"), job)
+    found, _ = jobs.deck_references(dds, reduce(DataFrame.unionByName, decks))
+    return found.select("job", "step", "dd", "dsn", "deck_kind", library_of(F.col("deck_path")).alias("library"))
+
+
+def proc_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that run a program, and steps that call a procedure which does, also through another procedure."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    text = (
+        F.when(key % 4 == 0, _text("//P", key, " PROC\n//IN EXEC PGM=", F.when(key % 8 == 0, "TARGET").otherwise("OTHER"), "\n// PEND\n"))
+        .when(key % 4 == 1, _text("//P", key, " PROC\n//MID EXEC P", key - 1, "\n// PEND\n"))
+        .otherwise(_text("//J", key, " JOB 1\n//* EXEC PGM=TARGET\n//TOP EXEC P", key - F.when(key % 4 == 2, 1).otherwise(3), "\n"))
+    )
+    files = artifacts(rows, "L", _text(F.when(key % 4 < 2, "P").otherwise("J"), key), text)
+    steps, dds, _ = jobs.steps_and_dds(written(jobs.jcl_lines(files), "jcl"), files)
+    none = files.select("path", F.lit(0).alias("line"), "kind").limit(0)
+    found, _ = dependent_steps(SimpleNamespace(steps=written(steps, "steps"), dds=written(dds, "dds"), files=files), none, spark.createDataFrame([("TARGET",)], "name string"))
+    return found.select("job", "step")
+
+
+def dynamic_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL in a literal counts in programs that prepare statements, and in those alone."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    last = F.when(key % 2 == 0, "    EXEC SQL PREPARE S1 FROM :W END-EXEC.").otherwise("    DISPLAY W.")
+    files = artifacts(rows, "L", _text("Y", key), fixed(["IDENTIFICATION DIVISION.", "PROCEDURE DIVISION.", _text("    MOVE 'DELETE FROM SHOP.T", key, "' TO W."), last]))
+    units = definitions.dynamic_units(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
+    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    return references.table_references(toks).select(member_of(F.col("path")).alias("member"), "table_name", "access", "line")
+
+
 def data_set_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part", "p_partkey", "p_size")
     dsn = F.when(F.col("p_size") % 3 == 0, _text("LIB.CNTL(M", F.col("p_partkey"), ")")).when(F.col("p_size") % 3 == 1, _text("'DATA.P", F.col("p_partkey"), "(+1)'")).otherwise(_text("&&T", F.col("p_partkey")))
@@ -250,13 +357,24 @@ _SQL = {
     "job_steps": "SELECT 'J' || event_id AS job, 'S1' AS step, upper(event_type) AS resolved_pgm, 'IN' AS dd, 'DATA.U' || user_id AS base, '(NEW,CATLG)' AS disp, false AS is_member, 3 AS line FROM events",
     "dataset_lineage": "SELECT 'J' || event_id AS job, 'S1' AS step, 'DATA.U' || user_id AS dataset, 1 AS hop FROM events WHERE event_type <> 'error' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error')",
     "view_targets": "SELECT 'SHOP' AS schema, 'R1' AS \"table\", 'the table itself' AS why UNION ALL SELECT 'SHOP', 'V' || n_nationkey, 'view over SHOP.R1' FROM nation WHERE n_regionkey = 1 UNION ALL SELECT '', 'Y' || n_nationkey, 'synonym for SHOP.V' || n_nationkey FROM nation WHERE n_regionkey = 1",
+    "merge_columns": "SELECT 'G' || s_suppkey AS member, CASE c WHEN 'SET' THEN CASE WHEN s_suppkey % 2 = 0 THEN 'STATUS' ELSE 'TOTAL' END ELSE n END AS \"column\", t AS \"table\", a AS access, c AS context, l AS line FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 'READ', 'ON', 2), ('BRAND', 'PART', 'READ', 'ON', 2), ('', 'ORDERS', 'WRITE', 'SET', 3), ('ORDER_ID', 'ORDERS', 'WRITE', 'INSERT', 4), ('TOTAL', 'ORDERS', 'WRITE', 'INSERT', 4)) v(n, t, a, c, l)",
+    "union_branches": "SELECT 'U' || s_suppkey AS member, n AS \"column\", t AS \"table\", c AS context, l AS line FROM supplier, (VALUES ('STATUS', 'ORDERS', 'SELECT', 1), ('TOTAL', 'ORDERS', 'WHERE', 1), ('BRAND', 'PART', 'SELECT', 2), ('TYPE', 'PART', 'SELECT', 3)) v(n, t, c, l)",
+    "star_expansion": "SELECT 'S' || s_suppkey AS member, n AS \"column\", t AS \"table\" FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 0), ('STATUS', 'ORDERS', 0), ('TOTAL', 'ORDERS', 0), ('PART_ID', 'PART', 1), ('BRAND', 'PART', 1), ('TYPE', 'PART', 1), ('STATUS', 'ORDERS', 1)) v(n, t, odd) WHERE s_suppkey % 2 = odd",
+    "insert_from_select": "SELECT 'I' || s_suppkey AS member, n AS \"column\", t AS \"table\", a AS access, c AS context, l AS line FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 'WRITE', 'INSERT', 1), ('STATUS', 'ORDERS', 'WRITE', 'INSERT', 1), ('BRAND', 'PART', 'READ', 'SELECT', 2), ('TYPE', 'PART', 'READ', 'SELECT', 2), ('PART_ID', 'PART', 'READ', 'WHERE', 2)) v(n, t, a, c, l)",
+    "create_index_columns": "SELECT 'X' || s_suppkey AS member, n AS \"column\", 'PART' AS \"table\", 'READ' AS access FROM supplier, (VALUES ('BRAND'), ('PART_ID')) v(n)",
+    "alter_add_columns": "SELECT 'A' || s_suppkey AS \"table\", CASE i WHEN 0 THEN 'K' WHEN 1 THEN 'V' ELSE 'W' || (s_suppkey % 3) END AS name, CAST(i AS INT) AS seq, CASE i WHEN 0 THEN 'INTEGER NOT NULL' WHEN 1 THEN 'CHAR(2)' ELSE 'DECIMAL(7,2)' END AS sql_type, i > 0 AS nullable FROM supplier, range(3) r(i)",
+    "free_format_lines": "SELECT 'F' || s_suppkey AS member, CASE s_suppkey % 2 WHEN 0 THEN '>>SOURCE FORMAT IS FREE' || chr(10) || 'MOVE ' || s_suppkey || ' TO A.' ELSE 'PROGRAM-ID. F' || s_suppkey || '.' || chr(10) || 'PROCEDURE DIVISION.' || chr(10) || 'STOP RUN.' END AS blob, CASE s_suppkey % 2 WHEN 0 THEN '1,3' ELSE '1,2,4' END AS origin FROM supplier",
+    "copybook_reach": "SELECT 'P' || o_orderkey AS member, CASE h WHEN 1 THEN 'C' || o_custkey WHEN 2 THEN 'N' || n_nationkey ELSE 'R' || n_regionkey END AS book, h AS hop FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey, (VALUES (1), (2), (3)) v(h)",
+    "deck_wiring": "SELECT 'J' || s_suppkey AS job, 'S' AS step, 'SYSIN' AS dd, CASE s_suppkey % 3 WHEN 0 THEN 'MAIN' ELSE 'TEST' END || '.DECKS(D' || s_suppkey || ')' AS dsn, 'CONTROL' AS deck_kind, CASE s_suppkey % 3 WHEN 0 THEN 'MAIN' ELSE 'TEST' END || '.DECKS' AS library FROM supplier WHERE s_suppkey % 3 < 2",
+    "proc_expansion": "WITH s AS (SELECT s_suppkey AS k, s_suppkey - s_suppkey % 4 AS base FROM supplier), m AS (SELECT max(s_suppkey) AS hi, min(s_suppkey) AS lo FROM supplier) SELECT CASE WHEN k % 4 < 2 THEN 'P' ELSE 'J' END || k AS job, CASE k % 4 WHEN 0 THEN 'IN' WHEN 1 THEN 'MID' ELSE 'TOP' END AS step FROM s, m WHERE base % 8 = 0 AND base >= lo",
+    "dynamic_sql": "SELECT 'Y' || s_suppkey AS member, 'T' || s_suppkey AS table_name, 'WRITE' AS access, 3 AS line FROM supplier WHERE s_suppkey % 2 = 0",
     "data_set_names": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'LIB.CNTL' WHEN 1 THEN 'DATA.P' || p_partkey ELSE '&&T' || p_partkey END AS base, CASE p_size % 3 WHEN 0 THEN 'M' || p_partkey WHEN 1 THEN 'P' || p_partkey ELSE '&&T' || p_partkey END AS tail, p_size % 3 = 0 AS is_member FROM part",
     "artifact_kinds": "SELECT 'L' AS library, 'JCL' AS kind, count(*) AS files FROM region UNION ALL SELECT 'L', 'SORT', count(*) FROM nation UNION ALL SELECT 'L', 'CONTROL', count(*) FROM supplier UNION ALL SELECT 'SHOP.COBOL', 'COBOL', count(*) FROM orders UNION ALL SELECT 'SHOP.DDL', 'SQL', 1",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
+    plain = (merge_columns, union_branches, star_expansion, insert_from_select, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
     uses = {"select_into_pairing": "SELECT", "where_predicates": "WHERE", "update_set_writes": "SET", "insert_columns": "INSERT"}
     return {f.__name__: f for f in plain} | {name: _order_uses(context) for name, context in uses.items()}
 

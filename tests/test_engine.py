@@ -1,4 +1,4 @@
-"""The engine end to end over the generated library; each test is a way a plain text search goes wrong."""
+"""The engine end to end over the freight library, and its parts on small texts."""
 
 import json
 import os
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import quarrylens as q
 from quarrylens.functions.text import dsn_parts, masked
 from quarrylens.functions.vendor import classify_module, load_overrides
-from quarrylens.operators import lexer, lines, references
+from quarrylens.operators import definitions, lexer, lines, references
 from quarrylens.plans import fields
 from quarrylens.plans.index import split_spec
 from tests import library
@@ -17,248 +17,225 @@ from tests import library
 
 @pytest.fixture(scope="module")
 def db(spark, tmp_path_factory):
-    top = str(tmp_path_factory.mktemp("engine"))
+    top = str(tmp_path_factory.mktemp("freight"))
     stats = q.index(spark, library.write(f"{top}/src"), f"{top}/index")
-    assert stats["files"] == len(library.MEMBERS) and stats["scanned"] == stats["files"]
+    assert (stats["files"], stats["scanned"], stats["skipped"]) == (len(library.MEMBERS), len(library.MEMBERS), 0)
     return f"{top}/index"
 
 
 @pytest.fixture(scope="module")
-def res(spark, db):
-    return q.query(spark, "BANKDB.ACCOUNT", db)
+def fld(spark, db):
+    return q.get_field_dependencies(spark, "RAIL.WAGON", db)
 
 
 @pytest.fixture(scope="module")
-def fld(spark, db):
-    return q.get_field_dependencies(spark, "BANKDB.ACCOUNT", db)
+def res(spark, db):
+    return q.query(spark, "RAIL.WAGON", db)
 
 
-def uses(result, **want):
-    return [u for u in result.uses if all(u[k] == v for k, v in want.items())]
+def uses(result, member, *what, **want):
+    return {tuple(u[w] for w in what) for u in result.uses if u.member == member and all(u[k] == v for k, v in want.items())}
 
 
-def refs_of(spark, *statements):
+def tokens_of(spark, *statements):
     units = spark.createDataFrame([(str(i), 0, 1, None, s) for i, s in enumerate(statements)], "path string, unit int, first long, origin array<int>, text string")
-    rows = references.table_references(lexer.placed(lexer.structured(lexer.tokens(units)))).collect()
-    return [{(r["schema"], r.table_name, r.access) for r in rows if r.path == str(i)} for i in range(len(statements))]
-
-
-def test_scanner_precision(spark):
-    cases = {
-        "-- SELECT * FROM P.GHOST\nSELECT 1 FROM P.REAL": {("P", "REAL", "READ")},
-        "/* FROM P.GHOST */ SELECT 1 FROM P.REAL": {("P", "REAL", "READ")},
-        "SELECT 1 FROM P.REAL WHERE N = 'FROM P.GHOST'": {("P", "REAL", "READ")},
-        "SELECT 1 FROM P.REAL_HIST": {("P", "REAL_HIST", "READ")},
-        "WITH T AS (SELECT * FROM P.REAL) SELECT * FROM T": {("P", "REAL", "READ")},
-        "SELECT * FROM TABLE(FN(1)) AS X": set(),
-        "SELECT A FROM P.T FOR UPDATE OF A": {("P", "T", "READ")},
-        "DELETE FROM P.T WHERE A = 1": {("P", "T", "WRITE")},
-        "SELECT * FROM P.A X, P.B AS Y, P.C WHERE X.I = Y.I": {("P", "A", "READ"), ("P", "B", "READ"), ("P", "C", "READ")},
-        "SELECT * FROM P.A X LEFT OUTER JOIN P.B Y ON X.I = Y.I, P.C": {("P", "A", "READ"), ("P", "B", "READ"), ("P", "C", "READ")},
-        "INSERT INTO P.T VALUES (1)": {("P", "T", "WRITE")},
-        "UPDATE P.T SET A = 1": {("P", "T", "WRITE")},
-        "MERGE INTO P.T AS X USING P.S AS Y ON X.I = Y.I": {("P", "T", "WRITE"), ("P", "S", "READ")},
-        "CREATE TABLE P.T (A INT)": {("P", "T", "DDL")},
-        "DROP TABLE P.T": {("P", "T", "DDL")},
-        "ALTER TABLE P.T ADD B INT": {("P", "T", "DDL")},
-        "LOCK TABLE P.T IN SHARE MODE": {("P", "T", "LOCK")},
-        "DECLARE P.T TABLE (A INT)": {("P", "T", "DECLARE")},
-        "SELECT * FROM REMOTE.P.T": {("P", "T", "READ")},
-        'SELECT * FROM "My Schema"."My Table"': {("My Schema", "My Table", "READ")},
-        "SELECT A FROM (SELECT B FROM P.I WHERE C IN (SELECT D FROM P.J)) AS Q": {("P", "I", "READ"), ("P", "J", "READ")},
-    }
-    assert refs_of(spark, *cases) == list(cases.values())
-    assert split_spec("REMOTE.PROD.CUSTOMER") == ("PROD", "CUSTOMER") and split_spec('"a b".T') == ("a b", "T")
-
-
-def test_mask_keeps_offsets(spark):
-    texts = ["a 'it''s' -- x\nb /* c\n */ d 'open", "/*/ x */y", "''"]
-    got = [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(masked(F.col("t")).alias("m")).collect()]
-    assert got == ["a '     '     \nb     \n    d '    ", "    x */y", "''"]
-
-
-def test_cobol_lines(spark):
-    def blob(*code):
-        rows = spark.createDataFrame([("p", "\n".join(code))], "path string, text string")
-        r = lines.cobol_blobs(rows).first()
+    return lexer.placed(lexer.structured(lexer.tokens(units)))
+
+
+#: A statement and the references it makes, each as access, schema.table.
+STATEMENTS = [
+    ("SELECT KM -- FROM X.NO\n FROM R.TRIP", "READ R.TRIP"),
+    ("SELECT /* JOIN X.NO */ 'FROM X.NO' FROM TRIP", "READ .TRIP"),
+    ("WITH FAR (ID) AS (SELECT ID FROM R.TRIP WHERE KM > 9), NEAR AS (SELECT 1 FROM FAR) SELECT * FROM NEAR, FAR", "READ R.TRIP"),
+    ("SELECT F.X FROM TABLE(SPLIT('a,b')) AS F, R.TRIP", "READ R.TRIP"),
+    ("SELECT DEPOT FROM R.WAGON WHERE NR = 4 FOR UPDATE OF DEPOT", "READ R.WAGON"),
+    ("DELETE FROM R.WAGON W WHERE EXISTS (SELECT 1 FROM R.TRIP T WHERE T.NR = W.NR)", "READ R.TRIP, WRITE R.WAGON"),
+    ("SELECT 1 FROM R.A, R.B X FULL OUTER JOIN R.C ON X.I = R.C.I CROSS JOIN R.D, R.E", "READ R.A, READ R.B, READ R.C, READ R.D, READ R.E"),
+    ("INSERT INTO R.NEWER SELECT * FROM R.OLDER", "READ R.OLDER, WRITE R.NEWER"),
+    ("IF V > 3 THEN UPDATE R.WAGON SET A = 1", "WRITE R.WAGON"),
+    ("MERGE INTO R.W USING (SELECT 1 FROM R.S) Z ON W.I = Z.I WHEN MATCHED THEN UPDATE SET A = 2", "READ R.S, WRITE R.W"),
+    ("LOCK TABLE R.W IN EXCLUSIVE MODE", "LOCK R.W"),
+    ("CREATE TABLE R.NEW_ONE (A INT)", "DDL R.NEW_ONE"),
+    ("DROP TABLE R.NEW_ONE", "DDL R.NEW_ONE"),
+    ("DECLARE R.W TABLE (A CHAR(1))", "DECLARE R.W"),
+    ("SELECT A FROM DISTANT.R.W", "READ R.W"),
+    ('UPDATE "Rolling Stock"."Wagon No" SET A = 1', "WRITE Rolling Stock.Wagon No"),
+    ("SELECT A FROM (SELECT B FROM R.IN1 UNION SELECT C FROM R.IN2) Q WHERE A > ALL (SELECT D FROM R.IN3)", "READ R.IN1, READ R.IN2, READ R.IN3"),
+]
+
+
+def test_references_of_statements(spark):
+    rows = references.table_references(tokens_of(spark, *[s for s, _ in STATEMENTS])).collect()
+    for i, (statement, want) in enumerate(STATEMENTS):
+        got = sorted({f"{r.access} {r['schema']}.{r.table_name}" for r in rows if r.path == str(i)})
+        assert ", ".join(got) == want, statement
+    assert split_spec("far.rail.wagon") == ("RAIL", "WAGON") and split_spec('"old stock".W') == ("old stock", "W") and split_spec("w") == ("", "W")
+
+
+def test_masking_keeps_places(spark):
+    texts = {"x 'y''z' -- c\n/* d\n*/ 'open": "x '    '     \n    \n   '    ", "/*/ q */r": "    q */r", "a''b": "a''b"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", masked(F.col("t")).alias("m")).collect()
+    assert {r.t: r.m for r in got} == texts
+
+
+def test_logical_lines(spark):
+    def blob(text):
+        r = lines.cobol_blobs(spark.createDataFrame([("p", text)], "path string, text string")).first()
         return r.blob, list(r.origin)
 
-    assert blob("000100 MOVE A TO B." + " " * 53 + "CUSTOMER", "000200* FROM P.GHOST") == ("MOVE A TO B.", [1])
-    assert blob("000100 SELECT * FROM PROD.CUS", "000200*X", "000300-    TOMER END", "000400 STOP") == ("SELECT * FROM PROD.CUSTOMER END\nSTOP", [1, 4])
-    assert blob("IDENTIFICATION DIVISION.", "PROGRAM-ID. X.", "*> NOTE", "STOP RUN.") == ("IDENTIFICATION DIVISION.\nPROGRAM-ID. X.\nSTOP RUN.", [1, 2, 4])
+    assert blob(library.card(["MOVE 1 TO A.", "*MOVE 2 TO B.", "SELECT X FROM R.WA", "~  GON", "STOP RUN."], "GHOST")) == ("MOVE 1 TO A.\nSELECT X FROM R.WAGON\nSTOP RUN.", [1, 3, 5])
+    assert blob(">>SOURCE FORMAT IS FREE\n*> remark\nmove 1 to a.\n") == (">>SOURCE FORMAT IS FREE\nmove 1 to a.", [1, 3])
+    assert blob("program-id. a.\nprocedure division.\n  stop run.") == ("program-id. a.\nprocedure division.\n  stop run.", [1, 2, 3])
+
 
+def test_skipped_statements_give_no_units(spark):
+    text = library.card(["    EXEC SQL INCLUDE SQLCA END-EXEC.", "    EXEC SQL SET :A = CURRENT DATE END-EXEC.", "    EXEC SQL", "      DELETE FROM R.T", "    END-EXEC.", "    EXEC SQL CLOSE C END-EXEC."])
+    rows = lines.embedded_sql(lines.cobol_blobs(spark.createDataFrame([("p", text)], "path string, text string"))).collect()
+    assert [(r.unit, r.first, r.text.strip()) for r in rows] == [(3, 3, "DELETE FROM R.T")]
 
-def test_dsn(spark):
-    names = ["P.CUST.EXTRACT(+1)", "P.CNTL(LOADCUST)", "'P.CNTL(MEM)'", "&&TEMP", "P.X(0)"]
-    rows = spark.createDataFrame([(n,) for n in names], "n string").select(dsn_parts(F.col("n")).alias("d")).collect()
-    assert [tuple(r.d) for r in rows][:3] == [("P.CUST.EXTRACT", "EXTRACT", False), ("P.CNTL", "LOADCUST", True), ("P.CNTL", "MEM", True)]
-    assert not rows[3].d.is_member and not rows[4].d.is_member
+
+def test_a_list_that_never_closes_runs_to_its_end(spark):
+    rows = definitions.defined_columns(tokens_of(spark, "CREATE TABLE R.T (A CHAR(3), B DECIMAL(5,2) NOT NULL")).orderBy("seq").collect()
+    assert [(r.name, r.sql_type, r.nullable) for r in rows] == [("A", "CHAR(3)", True), ("B", "DECIMAL(5,2) NOT NULL", False)]
+
+
+def test_data_set_names(spark):
+    want = {"RAIL.DUMP(+1)": ("RAIL.DUMP", "DUMP", False), "RAIL.DECKS(A1)": ("RAIL.DECKS", "A1", True), "'RAIL.X(0)'": ("RAIL.X", "X", False), "&&W(A)": ("&&W", "&&W", False)}
+    rows = spark.createDataFrame([(n,) for n in want], "n string").select("n", dsn_parts(F.col("n")).alias("d")).collect()
+    assert {r.n: tuple(r.d) for r in rows} == want
 
 
 def test_vendor_modules(tmp_path):
-    for name, subsystem in {"DFHEI1": "cics", "DFHZC9999": "cics", "CEEDATE": "le", "DSNTIAR": "db2", "IGZCBSO": "cobol-runtime", "ILBOABN0": "cobol-runtime", "CBLTDLI": "ims", "DFSLI000": "ims", "MQPUT": "mq", "CSQBSTUB": "mq", "IDCAMS": "idcams", "IEFBR14": "utility", "ICETOOL": "sort", "SYNCSORT": "sort", "EZASOKET": "tcpip", "DFHAPP": "cics"}.items():
-        assert classify_module(name)[1] == subsystem, name
-    for name in ("CUSTVAL", "PAYROLL", "MQTEST", "SORTRPT", "ICEBERG"):
-        assert classify_module(name) is None
-    path = tmp_path / "vendors.txt"
-    path.write_text("# site\nXPED*  Compuware Xpediter\nMYSTUB  in-house\n")
-    own = load_overrides(str(path))
-    assert len(own) == 2 and classify_module("XPEDCICS", own)[0] == "Compuware Xpediter" and classify_module("MYSTUB", own)[0] == "in-house"
-    assert classify_module("XPEDCICS") is None
-
-
-def test_no_phantoms(res):
-    assert not {"PHANTOM", "NOWHERE", "ACCOUNT_OLD"} & {r.table for r in res.refs}
-    assert {r.stmt for r in res.refs if r.member == "ACCTUPD"} == {"SELECT", "UPDATE"}
-
-
-def test_references(res):
-    assert "ACCTCON" in {r.member for r in res.refs if r.access == "WRITE"}
-    assert {"LOAD INTO TABLE", "SELECT"} <= {r.stmt for r in res.refs if r.member == "ACCTLOAD"}
-    assert any(r.stmt == "REORG TABLESPACE" and r.via == "tablespace" for r in res.refs)
-    assert "ACCTSYN" in {t for _, t, _ in res.targets}
-    dyn = [r for r in res.refs if r.member == "ACCTDYN"]
-    assert dyn and dyn[0].confidence == 40 and any(k == "DYNAMIC-SQL" for _, _, k, _ in res.blind_spots)
-
-
-def test_programs_and_jobs(res):
-    assert {"ACCTVIEW", "ACCTLAY", "ACCTUPD"} <= set(res.programs)
-    assert res.programs["ACCTDRV"].depth == 1 and res.programs["ACCTTOP"].depth == 2
-    assert "STOCKS" not in res.programs and "SORTONLY" not in res.jobs
-    run = [s for s in res.steps if s.job == "ACCTPRC"][0]
-    assert (run.pgm, run.resolved_pgm) == ("IKJEFT01", "ACCTUPD")
-    assert {"ACCTJOB1", "ACCTJOB2", "ACCTLPR", "ACCTEXT", "ACCTLOAD"} <= set(res.jobs)
-    assert {s.step for s in res.jobs["ACCTLOAD"]} == {"LOADSTEP", "REORG", "SQLSTEP"}
-    assert {"LOADSTEP", "UNLDSTEP"} <= {s.step for s in res.jobs["ACCTEXT"]}
-
-
-def test_decks_and_lineage(spark, db, res):
-    load = [s for s in res.jobs["ACCTEXT"] if s.step == "LOADSTEP"][0]
-    assert [(d.dd, d.dsn, d.kind) for d in load.decks] == [("SYSIN", "BANK.CNTL(LOADACCT)", "CONTROL")]
-    assert not any("TEST.CNTL" in d.path for s in res.steps for d in s.decks)
-    assert any(k == "UNRESOLVED-DECK-REF" for _, _, k, _ in res.blind_spots)
-    unload = [s for s in res.jobs["ACCTEXT"] if s.step == "UNLDSTEP"][0]
-    assert any("BANK.ACCT.EXTRACT" in d.dsn for d in unload.datasets)
-    link = [d for d in res.data_links if (d.job, d.step) == ("ACCTEXT", "SORTSTEP")][0]
-    assert link.dataset == "BANK.ACCT.EXTRACT" and link.via_job == "ACCTEXT/UNLDSTEP" and "SORT" in {d.kind for d in link.decks}
-    assert q.query(spark, "BANKDB.ACCOUNT", db, data_hops=0).data_links == []
-
-
-def test_unresolved_calls(res):
-    lost = [d for _, _, k, d in res.blind_spots if k == "UNRESOLVED-CALL"]
-    assert len(lost) == 1 and "ACCTCHK" in lost[0]
-    assert any("IBM CICS" in n for n in res.notes)
-
-
-def test_writers_only(spark, db):
-    r = q.query(spark, "BANKDB.ACCOUNT", db, include_read=False)
-    assert r.refs and "READ" not in {x.access for x in r.refs}
-    f = q.get_field_dependencies(spark, "BANKDB.ACCOUNT", db, include_read=False)
-    assert f.uses and {u.access for u in f.uses} == {"WRITE"}
-
-
-def test_index_is_incremental_and_queryable(spark, db):
-    root = os.path.join(os.path.dirname(db), "src")
-    again = q.index(spark, root, db)
-    assert again["scanned"] == 0 and again["skipped"] == len(library.MEMBERS)
+    assert {n: (classify_module(n) or [None])[-1] for n in ("DFHXCPRH", "CEELOCT", "DSNALI", "ICEMAN", "MQOPEN", "WEIGH", "MQUEUE")} == {"DFHXCPRH": "cics", "CEELOCT": "le", "DSNALI": "db2", "ICEMAN": "sort", "MQOPEN": "mq", "WEIGH": None, "MQUEUE": None}
+    (tmp_path / "own").write_text("# ours\nRAILX*   house tools\nGATE1 gate control  \n")
+    own = load_overrides(str(tmp_path / "own"))
+    assert classify_module("RAILXPRT", own) == ("house tools", "site") and classify_module("GATE1", own)[0] == "gate control" and classify_module("GATE12", own) is None
+
+
+def test_table_references(res):
+    by = lambda member: sorted((r.access, r.table, r.stmt) for r in res.refs if r.member == member)
+    assert not {"SHED", "SIDING"} & {r.table for r in res.refs}
+    assert by("WEIGH") == [("READ", "WAGON", "SELECT")] and by("REPAINT") == [("WRITE", "WAGON", "UPDATE")]
+    assert by("SWEEP") == [("READ", "WAGON", "SELECT")] and by("HEAVY") == [("READ", "BIG_WAGON", "SELECT")]
+    assert by("REFILL") == [("READ", "TSWGN", "RUNSTATS TABLESPACE"), ("READ", "WAGON", "SELECT"), ("WRITE", "WAGON", "LOAD INTO TABLE")]
+    assert [(r.line, r.confidence) for r in res.refs if r.member == "ADHOC"] == [(7, 40)]
+    assert {(t, w) for _, t, w in res.targets} == {("WAGON", "the table itself"), ("BIG_WAGON", "view over RAIL.WAGON"), ("CAR", "synonym for RAIL.WAGON")}
+    assert {r.line for r in res.refs if r.member == "REFILL"} == {5, 10, 17}
+
+
+def test_programs_reached(res):
+    depth = {n: p.depth for n, p in res.programs.items()}
+    assert {"WEIGH": 0, "REPAINT": 0, "SWEEP": 0, "HEAVY": 0, "NIGHT": 1, "WEEK": 2}.items() <= depth.items()
+    assert "CATERING" not in depth
+    assert [d for _, _, k, d in res.blind_spots if k == "UNRESOLVED-CALL"] == ["CALL SCALE9: no source in the index"]
+    assert any("IBM Language Environment" in n and "CEELOCT" in n for n in res.notes)
+
+
+def test_jobs_steps_and_decks(res):
+    steps = {(s.job, s.step): s for s in res.steps}
+    assert set(steps) == {("PRWEIGH", "GO"), ("PROUTER", "INNER"), ("DAILY", "A1"), ("REFILL", "FILL"), ("REFILL", "STATS"), ("REFILL", "ASK"), ("EXPORT", "OUT")}
+    assert (steps["PRWEIGH", "GO"].pgm, steps["PRWEIGH", "GO"].resolved_pgm) == ("IKJEFT1B", "WEIGH")
+    (deck,) = steps["EXPORT", "OUT"].decks
+    assert (deck.dd, deck.dsn, deck.kind) == ("SYSIN", "RAIL.DECKS(UNWGN)", "CONTROL") and "/RAIL.DECKS/" in deck.path
+    lost = [d for _, _, k, d in res.blind_spots if k == "UNRESOLVED-DECK-REF"]
+    assert any("RAIL.DECKS(GONE)" in d for d in lost) and any("TEST.DECKS" in d for d in lost)
+    (link,) = [d for d in res.data_links if d.job == "EXPORT"]
+    assert (link.step, link.dataset, link.via_job, link.hop) == ("ARRANGE", "RAIL.WGN.DUMP", "EXPORT/OUT", 1) and [d.kind for d in link.decks] == ["SORT"]
+
+
+def test_writers_alone(spark, db):
+    r = q.query(spark, "RAIL.WAGON", db, include_read=False, data_hops=0)
+    assert {x.access for x in r.refs} >= {"WRITE"} and "READ" not in {x.access for x in r.refs} and r.data_links == []
+    assert "REPAINT" in r.programs and "HEAVY" not in r.programs
+
+
+def test_index_keeps_what_is_unchanged(spark, db):
+    again = q.index(spark, os.path.join(os.path.dirname(db), "src"), db)
+    assert (again["scanned"], again["skipped"]) == (0, len(library.MEMBERS))
     assert [t["stage"] for t in again["timing"]] == ["walk", "plan", "prune", "clear", "parse", "finalize"]
     with q.open_index(spark, db) as i:
-        assert i.sql("SELECT count(*) AS c FROM table_refs WHERE access = 'WRITE'").first().c > 0
-        assert i.files.where("member = 'SORTACCT'").first().kind == "SORT"
+        kinds = {r.member: r.kind for r in i.files.collect() if r.library != "TEST.DECKS"}
+        assert {m: kinds[m] for m in ("DCLWAGON", "WGNWORK", "WEIGH", "PRWEIGH", "DAILY", "UNWGN", "BYDEPOT", "SCHEMA")} == {"DCLWAGON": "DCLGEN", "WGNWORK": "COPYBOOK", "WEIGH": "COBOL", "PRWEIGH": "PROC", "DAILY": "JCL", "UNWGN": "CONTROL", "BYDEPOT": "SORT", "SCHEMA": "SQL"}
+        assert i.sql("SELECT count(DISTINCT table_name) AS n FROM table_refs WHERE access = 'LOCK'").first().n == 0
         assert i.stats()["files"] == len(library.MEMBERS)
-    rows = q.list_tables(spark, db, like="ACC%")
-    assert {r.table_name for r in rows} >= {"ACCOUNT", "ACCT_LOG"} and rows[0].refs > 0
+    assert {r.table_name for r in q.list_tables(spark, db, like="%AGON")} == {"WAGON", "BIG_WAGON"}
     with pytest.raises(FileNotFoundError):
         q.open_index(spark, db + "-none")
 
 
 def test_changed_and_deleted_files(spark, tmp_path):
     root, index = str(tmp_path / "src"), str(tmp_path / "index")
-    library.write(root, {"L/A.sql": "SELECT A FROM P.ONE;\n", "L/B.sql": "SELECT A FROM P.TWO;\n"})
+    library.write(root, {"L/UP.sql": "SELECT A FROM R.EAST;\n", "L/DOWN.sql": "SELECT A FROM R.WEST;\n"})
     q.index(spark, root, index)
-    library.write(root, {"L/A.sql": "UPDATE P.THREE SET A = 10;\n"})
-    os.remove(f"{root}/L/B.sql")
+    library.write(root, {"L/UP.sql": "DELETE FROM R.NORTH WHERE A = 10;\n"})
+    os.remove(f"{root}/L/DOWN.sql")
     stats = q.index(spark, [root], index)
     assert (stats["scanned"], stats["skipped"], stats["files"]) == (1, 0, 1)
-    assert [r.table_name for r in q.list_tables(spark, index)] == ["THREE"]
-
+    assert [r.table_name for r in q.list_tables(spark, index)] == ["NORTH"]
 
-def test_columns(fld):
-    assert [(c.name, c.seq, c.sql_type, c.nullable, c.origin) for c in fld.columns] == [("ACCT_NO", 0, "CHAR(12) NOT NULL", False, "CREATE TABLE"), ("OWNER_NAME", 1, "VARCHAR(60)", True, "CREATE TABLE"), ("BALANCE", 2, "DECIMAL(13,2)", True, "CREATE TABLE")]
 
+def test_columns_and_bindings(fld):
+    assert [(c.name, c.sql_type, c.nullable, c.origin) for c in fld.columns] == [("WAGON_NR", "CHAR(12) NOT NULL", False, "CREATE TABLE"), ("TARE_KG", "DECIMAL(7,1)", True, "CREATE TABLE"), ("NOTES", "VARCHAR(120)", True, "CREATE TABLE"), ("DEPOT", "CHAR(3)", True, "CREATE TABLE")]
+    # TARE_KG has no field of its name: bound by its place
+    assert {(b.column, b.host_field, b.pic, b.line) for b in fld.bindings} == {("WAGON_NR", "WAGON-NR", "X(12)", 5), ("TARE_KG", "WEIGHT", "S9(6)V9 COMP-3", 6), ("NOTES", "NOTES", "X(120)", 8), ("DEPOT", "DEPOT", "X(3)", 11)}
+    assert set(fld.layout_dependents) == {"WGNWORK", "REPAINT", "SWEEP"}
 
-def test_static_sql(fld):
-    assert {(u.column, u.host_var) for u in uses(fld, member="ACCTUPD", context="SELECT")} == {("OWNER_NAME", "OWNER-NAME"), ("BALANCE", "BALANCE")}
-    where = uses(fld, member="ACCTUPD", context="WHERE")
-    assert {(u.column, u.host_var, u.access) for u in where} == {("ACCT_NO", "ACCT-NO", "READ")} and {u.line for u in where} == {14, 19}
-    (set_,) = uses(fld, member="ACCTUPD", access="WRITE")
-    assert (set_.column, set_.host_var, set_.context, set_.stmt, set_.line) == ("BALANCE", "BALANCE", "SET", "UPDATE", 18)
-    assert {u.column for u in fld.uses if u.table == "ACCOUNT"} == {"ACCT_NO", "OWNER_NAME", "BALANCE"}
-    assert {(u.column, u.host_var) for u in uses(fld, member="ACCTCON")} == {("ACCT_NO", "WS-NO")}
 
+def test_embedded_statements(fld):
+    assert uses(fld, "WEIGH", "column", "host_var", context="SELECT") == {("TARE_KG", "WEIGHT"), ("DEPOT", "DEPOT")}
+    assert uses(fld, "WEIGH", "column", "host_var", "line", context="WHERE") == {("WAGON_NR", "IN-NR", 15)}
+    assert uses(fld, "WEIGH", "column", context="ON") == {("WAGON_NR",)}
+    assert uses(fld, "REPAINT", "column", "host_var", access="WRITE") == {("NOTES", "NOTES"), ("TARE_KG", "WEIGHT")}
+    assert uses(fld, "REPAINT", "column", "access", context="SET-EXPR") == {("TARE_KG", "READ")}
+    assert uses(fld, "REPAINT", "column", "host_var", context="WHERE") == {("DEPOT", "DEPOT")}
+    assert uses(fld, "SWEEP", "column", "host_var", context="FETCH") == {("WAGON_NR", "WAGON-NR"), ("NOTES", "NOTES")}
+    assert uses(fld, "SWEEP", "column", context="ORDER BY") == {("DEPOT",), ("WAGON_NR",)}
+    assert uses(fld, "SWEEP", "column", "host_var", context="WHERE", stmt="DECLARE CURSOR") == {("NOTES", "PATTERN")}
+    assert uses(fld, "ADHOC", "column") == set() and any("ADHOC" in n for n in fld.notes)
 
-def test_cursor(fld):
-    assert {u.column for u in uses(fld, member="ACCTCUR", stmt="DECLARE CURSOR", context="SELECT")} == {"ACCT_NO", "BALANCE"}
-    assert {(u.column, u.host_var) for u in uses(fld, member="ACCTCUR", context="FETCH")} == {("ACCT_NO", "ACCT-NO"), ("BALANCE", "BALANCE")}
-    assert {u.column for u in uses(fld, member="ACCTCUR", context="ORDER BY")} == {"ACCT_NO"}
 
+def test_host_variables_are_found_through_copybooks(fld):
+    (use,) = [u for u in fld.uses if u.member == "WEIGH" and u.host_var == "WEIGHT"]
+    assert use.host_def_path.endswith("/DCLWAGON") and (use.host_def_line, use.host_def_pic) == (6, "S9(6)V9 COMP-3")
+    (use,) = [u for u in fld.uses if u.member == "WEIGH" and u.host_var == "IN-NR"]
+    assert use.host_def_path.endswith("/WEIGH") and use.host_def_line == 6
 
-def test_bindings_and_definitions(fld):
-    assert {(b.column, b.host_field, b.pic) for b in fld.bindings} == {("ACCT_NO", "ACCT-NO", "X(12)"), ("OWNER_NAME", "OWNER-NAME", "X(60)"), ("BALANCE", "BALANCE", "S9(11)V99 COMP-3")}
-    bal = uses(fld, member="ACCTUPD", column="BALANCE", host_var="BALANCE")
-    assert bal[0].host_def_path.endswith("DCLACCT") and "COMP-3" in bal[0].host_def_pic and bal[0].host_def_line == 11
-    assert "ACCTLAY" in fld.layout_dependents and "DCLACCT" not in fld.layout_dependents
 
-
-def test_decks(fld):
-    assert {(u.column, u.access) for u in uses(fld, member="LOADACCT", context="LOAD") if "BANK.CNTL" in u.path} == {("ACCT_NO", "WRITE"), ("OWNER_NAME", "WRITE")}
-    assert {u.column for u in uses(fld, member="ACCTLOAD", context="LOAD")} == {"ACCT_NO", "OWNER_NAME"}
-    assert {(u.column, u.access) for u in uses(fld, member="UNLDACCT", context="UNLOAD")} == {(c, "READ") for c in ("ACCT_NO", "OWNER_NAME", "BALANCE")}
-    assert {u.column for u in uses(fld, context="LOAD") if "TEST.CNTL" in u.path} == {"ACCT_NO", "OWNER_NAME", "BALANCE"}
-    assert any("no column list" in n for n in fld.notes)
-
-
-def test_sql_files(fld):
-    assert {u.column for u in uses(fld, member="SPACCT", context="SET")} == {"BALANCE"}
-    assert {u.column for u in uses(fld, member="SPACCT", context="INSERT")} == {"ACCT_NO", "BALANCE"}
-    assert {u.column for u in uses(fld, member="ACCTDDL", stmt="CREATE VIEW")} == {"ACCT_NO", "OWNER_NAME", "BALANCE"}
-    assert {u.column for u in uses(fld, member="ACCTDDL", context="INDEX")} == {"ACCT_NO"}
-    assert {u.table for u in uses(fld, member="ACCTVIEW", column="OWNER_NAME")} == {"V_RICH"}
-
-
-def test_honesty(fld):
-    assert not uses(fld, member="ACCTDYN") and any("ACCTDYN" in n for n in fld.notes)
-
-
-def test_second_table(spark, db):
-    r = q.get_field_dependencies(spark, "BANKDB.ACCT_LOG", db)
-    assert [(c.name, c.seq) for c in r.columns] == [("LOG_ID", 0), ("ACCT_NO", 1), ("NOTE", 2)] and r.columns[2].sql_type == "DECIMAL(5,1)"
-    assert {u.column for u in r.uses if u.member == "ACCTUPD" and u.access == "WRITE"} == {"LOG_ID", "ACCT_NO", "NOTE"}
-    assert {("ACCT_NO", "READ", "ON"), ("ACCT_NO", "WRITE", "INSERT")} <= {(u.column, u.access, u.context) for u in r.uses if u.member == "SPACCT"}
+def test_scripts_and_decks(fld):
+    assert uses(fld, "MOVES", "column", "context", stmt="MERGE", table="WAGON") >= {("WAGON_NR", "ON"), ("DEPOT", "SET"), ("WAGON_NR", "INSERT"), ("DEPOT", "INSERT")}
+    assert uses(fld, "MOVES", "column", context="SELECT", table="WAGON") >= {("DEPOT",), ("NOTES",), ("WAGON_NR",)}
+    assert uses(fld, "MOVES", "column", context="GROUP BY") == {("NOTES",)}
+    assert uses(fld, "SCHEMA", "column", context="INDEX") == {("DEPOT",), ("WAGON_NR",)}
+    assert uses(fld, "SCHEMA", "column", stmt="CREATE VIEW") == {("WAGON_NR",), ("TARE_KG",)}
+    assert uses(fld, "REFILL", "column", "access", context="LOAD") == {("WAGON_NR", "WRITE"), ("DEPOT", "WRITE")}
+    assert {u.column for u in fld.uses if u.member == "UNWGN" and "/RAIL.DECKS/" in u.path} == {"WAGON_NR", "TARE_KG"}
+    assert {u.column for u in fld.uses if u.member == "UNWGN" and "/TEST.DECKS/" in u.path} == {"WAGON_NR", "TARE_KG", "NOTES", "DEPOT"}
+    assert any("has no column list" in n for n in fld.notes)
 
 
 def test_program_and_boundary(spark, db):
-    b = q.db2_boundary(spark, "ACCTUPD", db)
+    b = q.db2_boundary(spark, "WEIGH", db)
     json.dumps(b)
-    acct = [e for e in b["endpoints"] if e["object"] == "ACCOUNT"][0]
-    assert acct["access"] == ["READ", "WRITE"]
-    assert {(f["column"], f["direction"]) for f in acct["fields"]} == {("ACCT_NO", "filter"), ("BALANCE", "in"), ("BALANCE", "out"), ("OWNER_NAME", "in")}
-    assert [f["hostVars"] for f in acct["fields"] if f["direction"] == "out"] == [["BALANCE"]]
-    assert {e["object"] for e in b["endpoints"]} == {"ACCOUNT", "ACCT_LOG", "ACCOUNT_OLD"}
-    assert any(u["construct"] == "SELECT-STAR" for u in b["unmodeledConstructs"])
+    ends = {e["object"]: e for e in b["endpoints"]}
+    assert set(ends) == {"WAGON", "TRIP"} and ends["WAGON"]["access"] == ["READ"]
+    assert {(f["column"], f["direction"]): f["hostVars"] for f in ends["WAGON"]["fields"]} == {("TARE_KG", "in"): ["WEIGHT"], ("DEPOT", "in"): ["DEPOT"], ("WAGON_NR", "filter"): ["IN-NR"]}
+    assert {f["column"]: f["hostVars"] for f in ends["TRIP"]["fields"] if f["direction"] == "filter"} == {"WAGON_NR": [], "KM": ["HI", "LO"]}
     with pytest.raises(LookupError):
-        q.db2_boundary(spark, "NOSUCH", db)
-    dyn = q.get_program_field_dependencies(spark, "ACCTDYN", db)
-    assert any(k == "DYNAMIC-SQL" for _, _, k, _ in dyn.blind_spots)
+        q.db2_boundary(spark, "NOBODY", db)
+
 
+def test_summaries_and_reports(spark, db, fld, res):
+    from quarrylens.plans.tables import table_summary
 
-def test_reports(spark, db, fld):
     s = fields.field_summary(fld)
     json.dumps(s)
-    assert {"ACCTUPD", "SPACCT"} <= set(s["columns"]["BALANCE"]["written_by"]) and "UNLDACCT" in s["columns"]["BALANCE"]["read_by"]
-    assert "BALANCE PIC S9(11)V99 COMP-3" in s["columns"]["BALANCE"]["host_fields"] and "ACCTLAY" in s["layout_dependents"]
-    out = json.loads(q.field_dependencies_json(spark, "BANKDB.ACCOUNT", db))
-    assert out["table"] == "BANKDB.ACCOUNT" and out["columns"] and out["uses"] and "table_result" not in out
-    table = json.loads(q.table_dependencies_json(spark, "BANKDB.ACCOUNT", db))
-    assert table["refs"] and [t["stage"] for t in table["timings"]] == ["targets", "refs", "closure", "jobs", "data-trace", "unresolved-calls", "blind-spots"]
-    assert "ACCTUPD" in q.table_dependency_summary(spark, "BANKDB.ACCOUNT", db)["writers"]
+    assert s["columns"]["DEPOT"]["type"] == "CHAR(3)" and {"REFILL", "MOVES"} <= set(s["columns"]["DEPOT"]["written_by"]) and "WEIGH" in s["columns"]["DEPOT"]["read_by"]
+    assert "WEIGHT PIC S9(6)V9 COMP-3" in s["columns"]["TARE_KG"]["host_fields"]
+    t = table_summary(res)
+    assert {"REPAINT", "MOVES", "REFILL"} <= set(t["writers"]) and "EXPORT" in t["jobs"] and t["references"] == len(res.refs)
+    table = json.loads(q.table_dependencies_json(spark, "RAIL.TRIP", db))
+    assert {"SWEEP", "MOVES"} <= {r["member"] for r in table["refs"] if r["access"] == "WRITE"}
+    assert [x["stage"] for x in table["timings"]] == ["targets", "refs", "closure", "jobs", "data-trace", "unresolved-calls", "blind-spots"]
+    out = json.loads(q.field_dependencies_json(spark, "RAIL.TRIP", db))
+    assert [c["name"] for c in out["columns"]] == ["TRIP_ID", "WAGON_NR", "KM", "FEE"]
+    assert {"TRIP_ID", "WAGON_NR"} <= {u["column"] for u in out["uses"] if u["member"] == "MOVES" and u["context"] == "INSERT"}
