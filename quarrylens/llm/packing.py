@@ -9,10 +9,12 @@ a sliding-window minimum, kept in a monotone queue, so the work is linear in the
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +35,64 @@ _NEWLINE = "\u010a"
 _CACHE_BYTES = 300 << 20
 
 
+#: Pieces of these characters alone are split alike by both libraries, whatever their Unicode tables.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+\Z")
+#: The splitting rule of byte-level vocabularies: a fixed value.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@cache
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Token bytes with their ids, if merging by the least id gives what the vocabulary's list of pairs gives; else None.
+
+    That is so if ids follow the order of the list, no two pairs give one token, and every token's own bytes, merged
+    by pairs, give the token: two neighbours whose bytes make a token can then only be that token's pair.
+    """
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    model, split = held["model"], held.get("pre_tokenizer") or {}
+    plain = (model.get("type"), split.get("type"), split.get("use_regex"), split.get("add_prefix_space"), held.get("normalizer")) == ("BPE", "ByteLevel", True, False, None)
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    # byte-level tokens write printable bytes as themselves and the others, in order, as characters from 256 on
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in own)}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in pairs]
+    if any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or len(model["vocab"]) - len(set(ids)) - 256 > len(held["added_tokens"]):
+        return None
+    order = {p: n for n, p in enumerate(pairs)}
+    for a, b in pairs:
+        parts = list(a + b)
+        while len(parts) > 1:
+            n, at = min((order.get(p, len(order)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if n == len(order):
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
+
+
 class WordTokenizer:
     """Token ids of texts by ``tokenizers``; pieces between single spaces are encoded once and remembered.
 
     The byte-level splitting rule always starts a new word at a space before a non-space, so the ids of a text are
     the ids of its pieces; texts with other runs of white space around a space are encoded whole. New pieces are
-    encoded many in one string and told apart by the byte lengths of their tokens.
+    encoded many in one string and told apart by the byte lengths of their tokens. With ``ranks`` new pieces of plain
+    characters are merged by rank, which gives the same ids sooner.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.held = 0
+        self.by_rank = None
+        if ranks is not None:
+            import tiktoken
+
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.bytes_of, self.ending = np.zeros(size, np.int64), np.zeros(size, bool)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():  # byte-level tokens: one character a byte
@@ -59,16 +104,24 @@ class WordTokenizer:
     def _learn(self, pieces: list[str]) -> None:
         self.held += 200 * len(pieces) + 4 * sum(map(len, pieces))
         joined = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[1].isspace()]
+        plain = [p for p in joined if _PLAIN.match(p)] if self.by_rank else []
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            self._tell(part, np.array(self.by_rank.encode_ordinary("".join(part)), "<u4").tobytes())
+        joined = [p for p in joined if p not in self.known] if plain else joined
         for i in range(0, len(joined), 4000):
             part = joined[i : i + 4000]
-            (data,) = self._encode(["".join(part)])
-            ends = np.cumsum([len(p.encode("utf-8")) for p in part])
-            at = (np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(data, "<u4")]), ends) + 1) * 4
-            at = [0, *at.tolist()]
-            self.known.update(zip(part, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+            self._tell(part, *self._encode(["".join(part)]))
         single = [p for p in pieces if p not in self.known]
         self.known.update(zip(single, self._encode(single), strict=True))
 
+    def _tell(self, part: list[str], data: bytes) -> None:
+        """Remember the ids of pieces that were encoded in one string."""
+        ends = np.cumsum([len(p.encode("utf-8")) for p in part])
+        at = (np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(data, "<u4")]), ends) + 1) * 4
+        at = [0, *at.tolist()]
+        self.known.update(zip(part, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
         if self.held > _CACHE_BYTES:
@@ -87,10 +140,10 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, ranks: dict[bytes, int] | None = None) -> WordTokenizer:
     """One for each file and worker."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
+        _TOKENIZERS[path] = WordTokenizer(path, ranks)
     return _TOKENIZERS[path]
 
 
@@ -183,9 +236,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    # a vocabulary: about a megabyte, whatever the input
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(tokenizer_path))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, packer = tokenizer(tokenizer_path), Packer(size)
+        tok, packer = tokenizer(tokenizer_path, ranks.value), Packer(size)
         first = TaskContext.get().partitionId() << 32
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
