@@ -72,3 +72,23 @@ def test_edges(spark):
     assert got == [(0, None), (1, 1), (2, 2), (3, 3), (4, 3), (5, 5), (6, 5), (6, 5), (8, 8)]
     assert nd.near_duplicate_classes(df.limit(0)).count() == 0
     assert nd.first_of_each_class(df).columns == df.columns
+
+
+def test_a_large_group_just_below_the_threshold_stays_apart_and_its_pairs_above_are_found(spark):
+    """Copies of one text, each with changes of its own: most pairs are too unlike, planted ones are linked."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in rng.sample(range(0, 400, 6), 5):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:  # a planted partner with one change
+            words[397] = "y"
+            rows.append((10_000 + i, " ".join(words)))
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    planted = [i for i in range(0, 500, 10) if want[10_000 + i] == want[i]]
+    assert len(planted) == 50 and sum(got[10_000 + i] == got[i] for i in planted) >= 0.99 * len(planted)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
