@@ -1,32 +1,16 @@
-"""Helpers shared by the operators: the shared folder, written tables, linked components."""
+"""Helpers shared by the operators: written tables, groups of sorted rows, linked components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one is made and set only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from quarrylens.functions.storage import shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: later jobs neither repeat nor lose it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,3 +67,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not moved:
             return parent
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+__all__ = ["WHITE_SPACE", "components", "fold", "groups", "shared_dir", "table", "written"]
