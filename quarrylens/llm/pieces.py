@@ -118,12 +118,13 @@ class Pieces:
                 if x != y:
                     break
                 same += 1
-            for held in (table, start, best):
-                del held[same + 1 :]
-                held.extend([None if held is table else 0] * (len(word) - same))
+            more = len(word) - same
+            table[same + 1 :] = [None] * more
+            start[same + 1 :] = [0] * more
             if self.kind == "bpe":
                 self._bpe_entries(word, same, table, start)
             else:
+                best[same + 1 :] = [0.0] * more
                 for end in range(same + 1, len(word) + 1):
                     top, table[end], start[end] = best[end - 1] + self.floor, None, end - 1
                     for begin in range(max(0, end - self.longest), end):
