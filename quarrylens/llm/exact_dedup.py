@@ -1,9 +1,14 @@
 """Exact deduplication over an extendible-hash index that is kept as files in the shared folder.
 
-DataFrame functions only. Texts are hashed to 64 bits; the leading bits address a directory that is doubled
-until no bucket holds more than ``capacity`` entries (or ``MAX_DEPTH`` bits are used). Equal texts are combined
-before the shuffle, comparing whole normalised texts byte by byte, so a text that a third of all rows share is
-one entry. Texts whose hashes collide stay separate entries of the bucket, numbered along their chain.
+DataFrame functions only. Texts are hashed to 64 bits; the leading bits address a directory that is doubled until no
+bucket holds more than ``capacity`` different keys. The directory deals the buckets in key order to owner tasks, so
+that each owns a range of keys. Whole normalised texts go to their owners once, and are compared there byte by byte:
+equal ones become one entry, and different ones with one key form the key's chain. Only the owners' entries tell which
+rows are equal. A bucket that is too much for one task, such as that of a text which a third of all rows share, is dealt
+to several owners by row; the few entries that they find in it are compared once more.
+
+``MAX_DEPTH`` bits address 65,536 buckets. A bucket that is still over-full then overflows: it keeps all its entries, in
+as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import WHITE_SPACE, written
 
 MAX_DEPTH = 16
+#: Bytes of text below which an owner's range is not cut further, and what a row costs beside its text.
+OWNER_BYTES, ROW_BYTES = 4 << 20, 64
 
 
 def normalised(text: Column) -> Column:
@@ -24,33 +31,57 @@ def _cell(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - MAX_DEPTH).cast("int")
 
 
-def directory(entries: DataFrame, capacity: int) -> DataFrame:
-    """(cell, local_depth, bucket) for every used cell of the fully doubled directory: 65,536 rows at most.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("row_id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
 
-    A prefix of d bits that holds more than ``capacity`` entries splits; a cell's local depth is the number of its
-    prefixes that split. ``bucket`` is the prefix with a leading 1, so buckets of different depths differ.
+
+def directory(keys: DataFrame, capacity: int) -> DataFrame:
+    """(cell, local_depth, bucket, owner, spread) for every used cell of the fully doubled directory: 65,536 rows at most.
+
+    ``keys`` has a row for each key: cell, load in bytes. A prefix of d bits that holds more than ``capacity`` keys
+    splits; a cell's local depth is the number of its prefixes that split. ``bucket`` is the prefix with a leading 1, so
+    buckets of different depths differ. ``owner`` is the first of the ``spread`` tasks that own the bucket.
     """
-    cells = written(entries.groupBy("cell").agg(F.count("*").alias("n")), "cells")
+    cells = written(keys.groupBy("cell").agg(F.count("*").alias("n"), F.sum("load").alias("load")), "cells")
     prefixes = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH - 1))).alias("depth"))
     prefixes = prefixes.withColumn("prefix", F.expr(f"shiftright(cell, {MAX_DEPTH} - depth)"))
     full = prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).where(F.col("held") > capacity)
     # at most 2^16 rows: the inner nodes of a tree with 2^16 leaves
     splits = prefixes.join(F.broadcast(full.select("depth", "prefix")), ["depth", "prefix"]).groupBy("cell").agg(F.count("*").cast("int").alias("splits"))
-    found = cells.join(splits, "cell", "left").select("cell", F.coalesce("splits", F.lit(0)).alias("local_depth"))
-    return written(found.withColumn("bucket", F.expr(f"shiftright(cell, {MAX_DEPTH} - local_depth) + shiftleft(1, local_depth)")), "directory")
+    found = cells.join(splits, "cell", "left").select("cell", "load", F.coalesce("splits", F.lit(0)).alias("local_depth"))
+    found = found.withColumn("bucket", F.expr(f"shiftright(cell, {MAX_DEPTH} - local_depth) + shiftleft(1, local_depth)"))
+    total = cells.agg(F.sum("load")).first()[0] or 0
+    share = max(OWNER_BYTES, -(-total // int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = found.groupBy("bucket").agg(F.min("cell").alias("first"), F.sum("load").alias("load"))
+    before = F.sum("load").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("load")
+    owned = buckets.select("bucket", F.floor(before / share).cast("int").alias("owner"), F.ceil(F.col("load") / share).cast("int").alias("spread"))
+    return written(found.drop("load").join(owned, "bucket"), "directory")
+
+
+def _indexed(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, its directory, and (row_id, key, sha) of every row."""
+    rows = _keyed(docs, id_col, text_col).select("row_id", "key", F.sha2("norm", 256).alias("sha"), (F.octet_length("norm") + ROW_BYTES).alias("load"))
+    rows = written(rows, "rows")
+    keys = rows.groupBy("key").agg(F.sum("load").alias("load")).select(_cell(F.col("key")).alias("cell"), "load")
+    cells = directory(keys, capacity)
+    owners = (cells.agg(F.max(F.col("owner") + F.col("spread"))).first()[0] or 0) + 1
+    texts = _keyed(docs, id_col, text_col).withColumn("cell", _cell(F.col("key"))).join(F.broadcast(cells.drop("local_depth")), "cell")
+    among = F.pmod(F.hash("row_id", F.spark_partition_id()), F.col("spread"))
+    texts = texts.select((F.col("owner") + among).alias("owner"), (F.col("spread") > 1).alias("shared"), "bucket", "key", "norm", "row_id")
+    found = texts.repartitionById(owners, "owner").groupBy("owner", "shared", "bucket", "key", "norm").agg(F.min("row_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # texts go on only where several owners share a bucket; all else is decided
+    found = found.select("bucket", "key", F.sha2("norm", 256).alias("sha"), F.when(F.col("shared"), F.col("norm")).alias("again"), "keep_id", "group_size")
+    entries = found.repartition("bucket", "key").groupBy("bucket", "key", "sha", "again").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("parts"))
+    chain = Window.partitionBy("bucket", "key").orderBy("sha")
+    clash = (F.col("again").isNull() & (F.col("parts") > 1)) | F.lag("sha").over(chain).eqNullSafe(F.col("sha"))
+    entries = entries.withColumn("chain", F.row_number().over(chain)).withColumn("clash", clash)
+    sha = F.when(F.col("clash"), F.raise_error(F.lit("two texts have one SHA-256"))).otherwise(F.col("sha"))
+    return written(entries.select("bucket", "key", "chain", sha.alias("sha"), "keep_id", "group_size"), "index"), cells, rows.drop("load")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(index, directory). Index rows, by bucket: bucket, key, chain, sha, keep_id, group_size."""
-    keyed = docs.select(F.col(id_col).alias("row_id"), normalised(F.col(text_col)).alias("norm"))
-    keyed = keyed.withColumn("key", F.xxhash64("norm"))
-    classes = keyed.groupBy("key", "norm").agg(F.min("row_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = written(classes.select(_cell(F.col("key")).alias("cell"), "key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "entries")
-    cells = directory(entries, capacity)
-    owned = entries.join(F.broadcast(cells.select("cell", "bucket")), "cell").repartition("bucket")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha"))
-    index = written(owned.select("bucket", "key", chain.alias("chain"), "sha", "keep_id", "group_size"), "index")
-    return index, cells
+    """(index, directory). Index rows: bucket, key, chain (numbers the different texts of a key), sha, keep_id, group_size."""
+    return _indexed(docs, id_col, text_col, capacity)[:2]
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
@@ -58,13 +89,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts count as empty; an empty table gives an empty result; only the two named columns are read, so other
     columns cannot clash. Rows that repeat an id are all marked kept when that id stays. Null ids never win over
-    others; where a whole group has null ids, all its rows are kept.
+    others; where a whole group has null ids, all its rows are kept. Texts of any length are compared whole.
     """
-    index, cells = build_index(docs, id_col, text_col, capacity)
-    probe = docs.select(F.col(id_col).alias("row_id"), normalised(F.col(text_col)).alias("norm"))
-    probe = probe.select("row_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("sha")).withColumn("cell", _cell(F.col("key")))
-    probe = probe.join(F.broadcast(cells.select("cell", "bucket")), "cell")
-    found = probe.join(index.drop("chain"), ["bucket", "key", "sha"])
+    index, _, rows = _indexed(docs, id_col, text_col, capacity)
+    # owners have compared all texts of a key, so within a key's chain the digest names the text
+    found = rows.join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
     return found.select(F.col("row_id").alias(id_col), "keep_id", "group_size", F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
