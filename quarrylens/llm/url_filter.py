@@ -3,6 +3,9 @@
 DataFrame functions only. Level 0 encodes the listed keys; level 1 the keys of the corpus that level 0 lets through
 wrongly; level 2 the listed keys that level 1 lets through, and so on until nothing passes wrongly. Over all keys
 of the corpus (the universe the cascade is built on) and all listed keys, the answer is exact.
+
+Levels are literals of the plan, so their bytes are bounded. A list or a universe too long for that is split by key
+hash into parts with a cascade each, and the rows pass them one after the other.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED = ("cheap-pills.example.com", "spam-farm.example.org", "casino-wins.example.net")
 #: Bits of one Spark bitmap.
 BITMAP = 32768
+#: Bytes of a level; and the share of foreign keys that a level of 10 bits and 4 hashes a key lets through, rounded up.
+LEVEL_BYTES, WRONG = 8 << 20, 0.02
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,7 +68,7 @@ def _level(keys: DataFrame, seed: int, bits_per_key: int, hashes: int, max_bytes
     n = keys.count()
     size = max(64, n * bits_per_key) if n else 0
     if size // 8 > max_bytes:
-        raise ValueError(f"a level of {size // 8} bytes exceeds max_bytes={max_bytes}; split the list by key hash into several cascades")
+        raise ValueError(f"a level of {size // 8} bytes exceeds max_bytes={max_bytes}; take more parts")
     at = F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(seed * 64 + h)), F.lit(max(1, size))) + 1 for h in range(hashes)]))
     maps = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
     image = bytearray(-(-size // BITMAP) * BITMAP // 8)
@@ -73,7 +78,7 @@ def _level(keys: DataFrame, seed: int, bits_per_key: int, hashes: int, max_bytes
     return Level(bytes(image[: -(-size // 8)]), size, seed, hashes)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, max_bytes: int = 8 << 20, max_levels: int = 40) -> list[Level]:
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, max_bytes: int = LEVEL_BYTES, max_levels: int = 40) -> list[Level]:
     """Levels for the listed keys over the universe; both have one string column ``key``. ``max_bytes`` bounds each level."""
     ins = written(listed.where("key is not null").distinct(), "listed")
     outs = written(universe.where("key is not null").distinct().join(ins, "key", "left_anti"), "universe")
@@ -95,7 +100,32 @@ def member(levels: Sequence[Level], key: Column) -> Column:
     return answer
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] | DataFrame = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def parts_needed(listed: int, universe: int, max_bytes: int, bits_per_key: int = 10) -> int:
+    """Parts in which no level exceeds ``max_bytes``: neither the listed keys nor the foreign ones let through wrongly."""
+    return max(1, -(-int(max(listed, universe * WRONG) * bits_per_key / 8 / 0.8) // max_bytes))
+
+
+def listed_hosts(rows: DataFrame, listed: DataFrame, max_bytes: int = LEVEL_BYTES) -> DataFrame:
+    """``rows`` (with a column ``host``) and ``listed``: whether the host or a domain above it is on the list."""
+    keys = written(rows.groupBy("host").count().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct(), "keys")
+    listed = written(listed.select("key").where("key is not null").distinct(), "listed")
+    parts = parts_needed(listed.count(), keys.count(), max_bytes)
+    rows = rows.withColumn("listed", F.lit(False))
+    for part in range(parts):
+        mine = part_of(F.col("key"), parts) == part
+        levels = build_cascade(listed.where(mine), keys.where(mine), max_bytes=max_bytes)
+        hit = F.exists(suffixes(F.col("host")), lambda k: (part_of(k, parts) == part) & member(levels, k))  # noqa: B023
+        rows = rows.withColumn("listed", F.col("listed") | hit)
+        if parts > 1:  # a plan holds one cascade
+            rows = written(rows, f"part{part}")
+    return rows
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] | DataFrame = LISTED, id_col: str = "page_id", url_col: str = "url", max_bytes: int = LEVEL_BYTES) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits), verdict, listed.
 
     The longest fitting rule decides (of equally long ones the first); else a host is blocked if it or a domain
@@ -108,14 +138,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, liste
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if not isinstance(listed, DataFrame):
         listed = spark.createDataFrame([(k,) for k in listed], "key string")
-    universe = rows.groupBy("host").count().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    levels = build_cascade(listed, universe)
+    rows = listed_hosts(rows, listed, max_bytes)
     ordered = sorted(rules, key=lambda r: -len(r[1]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, text in reversed(ordered):
         domain, _, rest = text.partition("/")
         fits = ((F.col("host") == domain) | F.col("host").endswith("." + domain)) & F.col("path").startswith("/" + rest)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    hit = F.exists(suffixes(F.col("host")), lambda k: member(levels, k))
-    rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"), hit.alias("listed"))
+    rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"), "listed")
     return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
