@@ -5,7 +5,8 @@ point of every block; together they name the vector's cell. Besides, each vector
 cells that it lies closest to. Two vectors meet in a cell that both visit and that is some vector's own. Every pair
 that meets is verified by its cosine in double precision, and counted in one of the cells where it meets only, so
 that each link counts once; what leaves a task are counts and a spanning forest, not pairs. Cells with many vectors are
-dealt into blocks, and blocks are compared two by two.
+dealt into blocks, and blocks are compared two by two. A vector travels to its cells as single-precision numbers where
+these are its own numbers exactly, and with the smaller ones of its cells, which tell where a pair counts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, written
+from .common import components, written
 from .near_dedup import mix
 
 COSINE = 0.95
@@ -27,6 +28,8 @@ COSINE = 0.95
 TABLES, E8_BLOCKS, SCALE, PROBES = 10, 2, 0.7, 3
 #: Vectors of a cell that are compared in one block.
 BLOCK = 768
+#: Numbers that a worker takes up at a time: coordinates of vectors, and cosines.
+AT_ONCE = 1 << 22
 _U = np.uint64
 
 
@@ -80,7 +83,7 @@ def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             y = unit @ _projection(dim, t, b)
             p = nearest_e8(y)
             further = 2 - 2 * ((y - p) @ minimal_vectors().T)
-            order = np.argsort(further, axis=1)[:, :PROBES]
+            order = np.argpartition(further, PROBES, axis=1)[:, :PROBES]
             names.append(_name(p))
             near_names.append(np.stack([_name(p + minimal_vectors()[order[:, q]]) for q in range(PROBES)], axis=1))
             far.append(np.take_along_axis(further, order, axis=1))
@@ -98,26 +101,55 @@ def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, probed
 
 
+def _lists(a: np.ndarray) -> pa.Array:
+    """The rows of an array of 64-bit numbers as lists."""
+    flat = a.reshape(len(a), -1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each vector in single precision if that holds it exactly, else in double precision."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    exact = (single == x).all(axis=1)
+    return [s.tobytes() if e else d.tobytes() for s, d, e in zip(single, x, exact, strict=True)]
+
+
+def _unpacked(packed: list[bytes], dim: int) -> np.ndarray:
+    if all(len(p) == 4 * dim for p in packed):
+        return np.frombuffer(b"".join(packed), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.stack([np.frombuffer(p, np.float32 if len(p) == 4 * dim else np.float64) for p in packed]).astype(np.float64)
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors = batch.column("embedding").to_pylist()
-        sizes = np.array([len(v) for v in vectors])
+        vectors = batch.column("embedding")
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        values, begin = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
         for dim in np.unique(sizes):
             at = np.flatnonzero(sizes == dim)
             for chunk in np.array_split(at, max(1, len(at) // 2000)):
-                x = np.array([vectors[i] for i in chunk], np.float64)
-                x /= np.abs(x).max(axis=1)[:, None]
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                own, probed = cells(x)
-                longs = lambda a: pa.array(list(a.reshape(len(a), -1).view(np.int64)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(chunk)), batch.column("copies").take(pa.array(chunk)), pa.array([r.tobytes() for r in x], pa.binary()), longs(own), longs(probed)], ["rep", "copies", "unit", "own", "probed"])
+                x = values[begin[chunk][:, None] + np.arange(dim)]
+                own, probed = cells(_unit(x))
+                rows = pa.array(chunk)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep").take(rows), batch.column("copies").take(rows), pa.array(_packed(x), pa.binary()), pa.array(np.full(len(x), dim), pa.int32()), _lists(own), _lists(probed)],
+                    ["rep", "copies", "vector", "dim", "own", "probed"],
+                )
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest index reachable in a symmetric adjacency matrix."""
-    label = np.arange(len(linked))
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest of n places that each reaches over the links between places i and j."""
+    label = np.arange(n)
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
+        low, least = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
         low = low[low]
         if (low == label).all():
             return label
@@ -125,36 +157,64 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, links, root) for each vector linked within a pair of blocks of a cell."""
-    for g in groups(batches, ["cell", "low", "high"]):
-        ids, copies = g.column("rep").to_numpy(), g.column("copies").to_numpy()
-        order = np.argsort(ids)
-        ids, copies = ids[order], copies[order]
-        block = g.column("block").to_numpy()[order]
-        units = [g.column("unit")[int(i)].as_py() for i in order]
-        x = np.frombuffer(b"".join(units), np.float64).reshape(len(ids), -1)
-        low, high = g.column("low")[0].as_py(), g.column("high")[0].as_py()
-        cell = np.int64(g.column("cell")[0].as_py())
-        close = np.triu(x @ x.T >= COSINE, 1)
-        if low != high:
-            close &= block[:, None] != block[None, :]
-        i, j = np.nonzero(close)
-        if not len(i):
+    """(rep, links, root) for each vector linked within a pair of blocks of a cell; holds a batch and a group at a time."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            keys = np.stack([rows.column(c).to_numpy() for c in ("cell", "low", "high")])
+            starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
+            held = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield from _links(rows.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+    if held is not None:
+        yield from _links(held.combine_chunks(), np.zeros(1, np.int64))
+
+
+def _links(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Groups that begin at ``starts``, those of one number and length of vectors compared together."""
+    ids, copies, block, dims = (rows.column(c).to_numpy() for c in ("rep", "copies", "block", "dim"))
+    alone = rows.column("low").to_numpy() == rows.column("high").to_numpy()
+    less = rows.column("less").combine_chunks()
+    less = less.chunk(0) if isinstance(less, pa.ChunkedArray) else less
+    counts = less.value_lengths().to_numpy(zero_copy_only=False)
+    cells_at, cells_of = np.cumsum(counts) - counts, less.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(np.append(starts, len(ids)))
+    for size, dim in np.unique(np.stack([sizes, dims[starts]]), axis=1).T:
+        if size == 1:
             continue
-        # by table, the cells in which a vector can meet others; 0 stands for cells that are nobody's own
-        visited = np.array(g.column("meets").to_pylist(), np.int64)[order]
-        visited = np.concatenate([visited[:, :TABLES, None], visited[:, TABLES:].reshape(len(ids), TABLES, PROBES)], axis=2)
-        links = np.zeros(len(ids), np.int64)
-        for c in range(0, len(i), 20_000):
-            a, b = i[c : c + 20_000], j[c : c + 20_000]
-            shared = (visited[a][:, :, :, None] == visited[b][:, :, None, :]).any(axis=3) & (visited[a] != 0)
-            # the pair is in the group of every cell that it shares; it counts in the smallest
-            counted = np.where(shared, visited[a], np.iinfo(np.int64).max).min(axis=(1, 2)) == cell
-            np.add.at(links, a[counted], copies[b[counted]])
-            np.add.at(links, b[counted], copies[a[counted]])
-        root = _roots(close | close.T)
-        some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["rep", "links", "root"])
+        which = starts[(sizes == size) & (dims[starts] == dim)]
+        step = max(1, AT_ONCE // int(size * max(size, dim)))
+        for first in range(0, len(which), step):
+            at = (which[first : first + step][:, None] + np.arange(size)).ravel()
+            x = _unit(_unpacked(rows.column("vector").take(pa.array(at)).to_pylist(), dim)).reshape(-1, size, dim)
+            g, i, j = np.nonzero(np.triu(x @ x.transpose(0, 2, 1) >= COSINE, 1))
+            i, j = g * size + i, g * size + j
+            apart = alone[at[i]] | (block[at[i]] != block[at[j]])
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            # a pair is in the group of every cell that it shares, and counts in the smallest: no smaller one is shared
+            width = counts[at].max()
+            links, pairs = np.zeros(len(at), np.int64), max(1, AT_ONCE // int(width * width + 1))
+            for c in range(0, len(i), pairs):
+                a, b = i[c : c + pairs], j[c : c + pairs]
+                counted = np.ones(len(a), bool)
+                if width:
+                    (p, had), (q, has) = (_padded(at[k], counts, cells_at, cells_of, width) for k in (a, b))
+                    counted = ~((p[:, :, None] == q[:, None, :]) & had[:, :, None] & has[:, None, :]).any(axis=(1, 2))
+                np.add.at(links, a[counted], copies[at[b[counted]]])
+                np.add.at(links, b[counted], copies[at[a[counted]]])
+            root = _roots(len(at), i, j)
+            some = np.flatnonzero((links > 0) | (root != np.arange(len(at))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[some]]), pa.array(links[some]), pa.array(ids[at[root[some]]])], ["rep", "links", "root"])
+
+
+def _padded(at: np.ndarray, counts: np.ndarray, begin: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of some rows as one array, and where it holds numbers of theirs."""
+    has = np.arange(width) < counts[at][:, None]
+    return values[np.where(has, begin[at][:, None] + np.arange(width), 0)], has
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -171,22 +231,20 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     usable = usable.where(finite & F.exists(v, lambda e: e != 0)).select(F.col(id_col).cast("long").alias("vec"), v.alias("embedding"))
     vectors = written(usable.groupBy("vec").agg(F.min("embedding").alias("embedding")), "vectors")
     classes = written(vectors.groupBy("embedding").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")), "classes")
-    coded = written(classes.select("rep", "copies", "embedding").mapInArrow(_coded, "rep long, copies long, unit binary, own array<bigint>, probed array<bigint>"), "codes")
+    coded = written(classes.select("rep", "copies", "embedding").mapInArrow(_coded, "rep long, copies long, vector binary, dim int, own array<bigint>, probed array<bigint>"), "codes")
 
-    own = coded.select("rep", F.posexplode("own").alias("t", "cell"), F.lit(1).alias("home"))
-    probed = coded.select("rep", F.posexplode("probed").alias("p", "cell")).select("rep", F.expr(f"cast(p div {PROBES} as int)").alias("t"), "cell", F.lit(0).alias("home"))
-    visits = written(own.unionByName(probed), "visits")
+    own = coded.select("rep", F.explode("own").alias("cell"), F.lit(1).alias("home"))
+    visits = own.unionByName(coded.select("rep", F.explode("probed").alias("cell"), F.lit(0).alias("home")))
     busy = visits.groupBy("cell").agg(F.sum("home").alias("homes"), F.count("*").alias("n")).where("homes > 0 and n > 1")
     met = visits.join(busy.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cell")
-    met = written(met.select("rep", "cell", "blocks"), "met")
     # at most TABLES * (PROBES + 1) cells a vector
-    live = met.groupBy("rep").agg(F.collect_set("cell").alias("live"))
-    meets = F.transform(F.concat("own", "probed"), lambda c: F.when(F.array_contains("live", c), c).otherwise(F.lit(0).cast("long")))
-    live = written(coded.join(live, "rep").select("rep", "copies", "unit", meets.alias("meets")), "live")
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep").join(live, "rep")
-    met = met.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    met = met.groupBy("rep").agg(F.collect_list(F.struct("cell", "blocks")).alias("live"))
+    met = written(coded.join(met, "rep").select("rep", "copies", "vector", "dim", "live"), "met")
+    met = met.withColumn("visit", F.explode("live")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("visit.blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("visit.blocks") - 1))).withColumn("cell", F.col("visit.cell"))
+    less = F.filter(F.col("live.cell"), lambda c: c < F.col("cell")).alias("less")
+    met = met.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "vector", "dim", less)
+    met = met.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "rep")
     found = written(met.mapInArrow(_verified, "rep long, links long, root long"), "links")
 
     part = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
