@@ -31,3 +31,12 @@ def test_pairs_that_only_probe_a_shared_cell_are_counted(spark):
     df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicate_vectors(df).collect())
     assert got == [(0, 1, 0), (1, 1, 0), (2, 0, 2)]
+
+
+def test_vectors_travel_exactly():
+    """Single precision where it is exact, double elsewhere, also for rows of both kinds together."""
+    single = np.random.default_rng(1).normal(size=(3, 5)).astype(np.float32).astype(np.float64)
+    for x in (single, single + 1e-12, np.concatenate([single, single + 1e-12, np.full((1, 5), 1e300)])):
+        packed = ed._packed(x)
+        assert (ed._unpacked(packed, 5) == x).all()
+    assert {len(p) for p in ed._packed(single)} == {20} and {len(p) for p in ed._packed(single + 1e-12)} == {40}
