@@ -8,7 +8,6 @@ are extended by comparing arrays in chunks, unless a run that is known holds the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,10 @@ from pyspark.sql import functions as F
 LEAST = 12
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 _FIRST, _MOST = 64, 1 << 16
+#: Grid points that are tested at once.
+_POINTS = 1 << 16
+#: Words from which on a run is asked whether it holds a grid point.
+_LONG = 256
 
 
 def _end(w: np.ndarray, at: int, p: int) -> int:
@@ -44,7 +47,7 @@ def _begin(w: np.ndarray, at: int, p: int) -> int:
     return 0
 
 
-def _near(w: np.ndarray, at: np.ndarray, p: np.ndarray | int, need: int) -> np.ndarray:
+def _near(w: np.ndarray, at: np.ndarray, p: np.ndarray, need: int) -> np.ndarray:
     """Which grid points have ``need`` equal places in a row around them."""
     n, count = len(w), np.ones(len(at), np.int64)
     for side in (1, -1):
@@ -64,20 +67,20 @@ class _Finder:
         self.w, self.least = w, least
         self.runs: list[tuple[int, int, int]] = []
         self.seen: set[tuple[int, int]] = set()
-        #: start, end and period of the runs that are longer than any period of the first phase
+        #: start, end and period of the long runs
         self.long: list[tuple[int, int, int]] = []
 
-    def held(self, at: np.ndarray, p: np.ndarray | int) -> np.ndarray:
+    def held(self, at: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Which grid points lie, with the word p later, in a run whose period divides p."""
         found = np.zeros(len(at), bool)
         for a, b, q in self.long:
             found |= (at >= a) & (at + p < b) & (p % q == 0)
         return found
 
-    def extend(self, points: Iterator[tuple[int, int]], long_from: int) -> None:
-        """Points (period, place) in order."""
+    def extend(self, periods: list[int], places: list[int]) -> None:
+        """Grid points by period, then place."""
         last, done = 0, 0
-        for p, at in points:
+        for p, at in zip(periods, places, strict=True):
             if p != last:
                 last, done = p, 0
             if at < done or any(a <= at and at + p < b and p % q == 0 for a, b, q in self.long):
@@ -88,7 +91,7 @@ class _Finder:
             if length >= max(self.least, 2 * p) and (a, length) not in self.seen:
                 self.seen.add((a, length))
                 self.runs.append((a, length, p))
-                if length > long_from:
+                if length >= _LONG:
                     self.long.append((a, a + length, p))
 
 
@@ -97,30 +100,22 @@ def periodic_stretches(w: np.ndarray, least: int = LEAST) -> list[tuple[int, int
     n = len(w)
     if n < max(least, 2):
         return []
-    finder, turn = _Finder(w, least), isqrt(n)
-    need = lambda p: max(p, least - p)  # noqa: E731  equal places in a row that a run of period p has
-    # short periods: all grid points of one period at a time
-    for p in range(1, min(turn, n // 2) + 1):
-        at = np.flatnonzero(w[0 : n - p : p] == w[p:n:p]) * p
-        if len(at):
-            at = at[~finder.held(at, p)]
-            at = at[_near(w, at, p, min(need(p), 6))]
-            finder.extend(((p, int(x)) for x in at), turn)
-    # long periods: the j-th grid point of all periods at a time
-    found = []
-    for j in range((n - 1) // (turn + 1)):
-        top = min(n // 2, (n - 1) // (j + 1))
-        if top <= turn:
-            break
-        p = np.arange(turn + 1, top + 1)
-        p = p[(w[p * j] if j else w[:1]) == w[p * (j + 1)]]
-        p = p[~finder.held(p * j, p)] if len(p) else p
-        p = p[_near(w, p * j, p, min(turn + 1, 6))]
-        found.append(np.stack([p, p * j], 1))
-    if found:
-        points = np.concatenate(found)
-        points = points[np.lexsort((points[:, 1], points[:, 0]))]
-        finder.extend(((int(p), int(x)) for p, x in points), turn)
+    finder = _Finder(w, least)
+    periods = np.arange(1, n // 2 + 1)
+    points = (n - 1) // periods
+    before = np.cumsum(points) - points
+    turns = np.unique(np.searchsorted(before, np.arange(0, before[-1] + 1, _POINTS)))
+    for begin, stop in zip(turns, [*turns[1:], len(periods)], strict=True):
+        p = np.repeat(periods[begin:stop], points[begin:stop])
+        at = (np.arange(len(p)) - np.repeat(before[begin:stop] - before[begin], points[begin:stop])) * p
+        same = w[at] == w[at + p]
+        p, at = p[same], at[same]
+        if finder.long:
+            free = ~finder.held(at, p)
+            p, at = p[free], at[free]
+        # a run of period p has max(p, least - p) equal places in a row, so half of ``least`` at any rate
+        near = _near(w, at, p, min(max(int(periods[begin]), -(-least // 2)), 8))
+        finder.extend(p[near].tolist(), at[near].tolist())
     return sorted(finder.runs, key=lambda r: (r[0], r[2]))
 
 
