@@ -142,8 +142,9 @@ class Page:
                 continue
             if name in RAW:
                 if not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{name}\s*>", re.I).search(s, at)
-                    at = end.end() if end else len(s)
+                    end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(s, at)
+                    # an end tag may have attributes, which are ignored
+                    at = s.find(">", end.end()) + 1 or len(s) if end else len(s)
                 run.append(" ")
                 continue
             foreign = bool(places["svg"] or places["math"])

@@ -197,7 +197,9 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", tree_col: str = "lang", co
     leaf, other = row_digest(stored), row_digest({**stored, **(received or {})})
     tree = F.coalesce(F.concat(F.lit("="), F.col(tree_col).cast("string")), F.lit(""))
     rows = docs.select(tree.alias("tree"), F.col(id_col).alias("id"), leaf.alias("digest"), other.alias("received"))
-    levels, subroots = forest(ranked(rows.select("tree", "id", "digest", F.nullif("received", "digest").alias("received")), ["id", "digest"]))
+    # written, as dealing by range reads its rows twice
+    rows = written(rows.select("tree", "id", "digest", F.nullif("received", "digest").alias("received")), "leaves")
+    levels, subroots = forest(ranked(rows, ["id", "digest"]))
     tops = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     upper, root = forest(ranked(tops, ["name"]))
     begin = root.select("tree", F.array().cast(_PATH).alias("path"), F.lower(F.hex("digest")).alias("told"))

@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, done))
     if not _DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 4000 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in re.split(r"\.0*", "." + m[0])[1:])]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _NOT_DIGIT.sub("", m[0])

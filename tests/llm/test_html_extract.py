@@ -55,3 +55,55 @@ def test_a_long_page_is_read_once(source):
     began = time.perf_counter()
     H.Forest([H.Page(source)])
     assert time.perf_counter() - began < 8
+
+
+def test_end_tags_may_have_attributes():
+    for end in ("</script foo>", "</SCRIPT/>", "</script\n>", "</script a='>"):
+        assert FIRST[::-1] in text_of(f"<script>x</scripty>y{end}<p>{FIRST[::-1]}</p>")
+    assert H.extract([f"<article><h1>T</h1><p>{FIRST}</p><p>{LAST}</p><script>x</script"], H.model())[0] == f"T\n\n{FIRST}\n\n{LAST}"
+
+
+def test_marginals_match_enumeration():
+    import itertools
+
+    import numpy as np
+
+    page = H.Page("<div class=nav><a>x</a></div><article><h1>t</h1><p>one<p>two</article><footer>f</footer>")
+    forest, (w, e) = H.Forest([page]), H.model()
+    n, score = len(page.tag), forest.x @ w
+    assert 5 <= n <= 12
+    total, marginal, joint = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for y in itertools.product((0, 1), repeat=n):
+        weight = np.exp(sum(score[i] * y[i] for i in range(n)) + sum(e[forest.kind[i], y[forest.parent[i]], y[i]] for i in range(n) if forest.parent[i] >= 0))
+        total += weight
+        marginal += weight * np.array(y)
+        for i in range(n):
+            if forest.parent[i] >= 0:
+                joint[i, y[forest.parent[i]], y[i]] += weight
+    p, both = forest.beliefs(w, e)
+    assert np.allclose(p, marginal / total, atol=1e-9) and np.allclose(both, joint / total, atol=1e-9)
+
+
+def test_learning_follows_the_likelihood():
+    """Expected counts equal those of the labelled pages, up to what the penalty holds back."""
+    import random
+
+    import numpy as np
+
+    w, e = H.model()
+    rng = random.Random(3)
+    pages = [H.Page(H.labelled_page(rng)[0]) for _ in range(500)]
+    y = np.concatenate([H.labels_of(p) for p in pages])
+    forest = H.Forest(pages)
+    p, _ = forest.beliefs(w, e)
+    assert abs((p - y).mean()) < 0.01 and ((p > 0.5) == y).mean() > 0.97
+
+
+def test_main_text_edges(spark):
+    page = f"<article><h1>T</h1><p>{FIRST} &eacute;&#128512;</p></article>"
+    rows = [(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", None), (1, "u", page, "x"), (None, "v", "<article><p>" + FIRST + "</p><p>" + "long " * 200_000, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id or 0, r.url, r.text[:20], r.n_chars) for r in H.main_text(df).collect()), key=repr)
+    size = len(f"T\n\n{FIRST} é😀")
+    assert got == sorted([(1, "u", f"T\n\n{FIRST}"[:20], size)] * 2 + [(2, None, "", 0), (3, "u", "", 0), (0, "v", FIRST[:20], len(FIRST) + 2 + 999_999)], key=repr)
+    assert H.main_text(df.limit(0)).count() == 0

@@ -35,6 +35,11 @@ def test_base_spans_match_the_plain_patterns(text):
     assert pii.base_spans(text) == brute(text)
 
 
+def test_parts_of_an_address_may_begin_with_any_number_of_zeros():
+    text = "1.2.3." + "0" * 9000 + "1 and 0.00.000.255 and 0256.1.1.1"
+    assert [x[0] for x in pii.base_spans(text) if x[0] == "ip"] == ["ip", "ip"] and pii.base_spans(text)[0][1:] == (0, 9007)
+
+
 def test_base_spans_of_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: brute(r.text or "") for r in rows}
