@@ -129,24 +129,26 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     into = hosts.where((F.col("clause") == "INTO") & (F.col("verb") != "FETCH") & (F.col("p1").isin("INTO", ","))).select(*_KEY, F.col("grp").alias("owner"), F.col("slot").alias("ordinal"), F.col("word").alias("host"))
     paired = items.join(into.dropDuplicates([*_KEY, "owner", "ordinal"]), [*_KEY, "owner", "ordinal"], "left")
     out.append(_use(paired, "READ", "SELECT", F.coalesce("host", F.lit(""))))
-    rest = columns.where("own_clause = 'SELECT'").where("defined").join(items.select(*_KEY, "pos"), [*_KEY, "pos"], "left_anti")
+    rest = columns.where("own_clause = 'SELECT'").where(strict).join(items.select(*_KEY, "pos"), [*_KEY, "pos"], "left_anti")
     out.append(_use(rest, "READ", "SELECT"))
 
     # predicates: a column before an operator with the host variables after it, and columns after one
     filters = columns.where(F.col("own_clause").isin("WHERE", "ON", "HAVING") | ((F.col("own_clause") == "WHEN") & (F.col("verb") == "MERGE")))
-    context = F.when(F.col("own_clause") == "ON", "ON").otherwise("WHERE")
-    left = filters.where(n1.isin(*_OPS) | ((n1 == "NOT") & n2.isin("IN", "LIKE", "BETWEEN"))).where(strict | F.col("open") | ~F.col("multi"))
-    # a plain name that the table's own definition lacks is a parameter, not a column
-    left = left.where(F.col("defined") | F.col("open"))
+    context = F.when(F.col("own_clause").isin("ON", "HAVING"), F.col("own_clause")).otherwise("WHERE")
+    # before an operator a plain name of a block with one table is its column, whether a definition has it or not
+    left = filters.where(n1.isin(*_OPS) | ((n1 == "NOT") & n2.isin("IN", "LIKE", "BETWEEN")))
     pairs = left.withColumn("op", F.when(n1 == "NOT", n2).otherwise(n1))
     follow = Window.partitionBy(*_KEY).orderBy("pos")
-    near = rows.select(*_KEY, "pos", *[F.when(F.lead("kind", i).over(follow) == "host", F.lead("word", i).over(follow)).alias(f"h{i}") for i in (2, 3, 4, 5)])
+    near = rows.select(*_KEY, "pos", *[F.when(F.lead("kind", i).over(follow) == "host", F.lead("word", i).over(follow)).alias(f"h{i}") for i in (2, 3, 4, 5)], *[F.lead("pos", i).over(follow).alias(f"g{i}") for i in (2, 3)])
     near = pairs.join(near, [*_KEY, "pos"]).withColumn("shift", (n1 == "NOT").cast("int"))
+    within = hosts.groupBy(*_KEY, F.col("grp").alias("list")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("listed"))
+    near = near.withColumn("list", F.when(F.col("op") == "IN", F.when(F.col("shift") == 1, F.col("g3")).otherwise(F.col("g2")))).join(within, [*_KEY, "list"], "left")
     at = lambda i: F.when(F.col("shift") == 1, F.col(f"h{i + 1}")).otherwise(F.col(f"h{i}"))
-    values = F.when(F.col("op") == "BETWEEN", F.array_compact(F.array(at(2), at(4)))).when(F.col("op") == "IN", F.array_compact(F.array(at(3)))).otherwise(F.array_compact(F.array(at(2))))
+    values = F.when(F.col("op") == "BETWEEN", F.array_compact(F.array(at(2), at(4)))).when(F.col("op") == "IN", F.coalesce("listed", F.array().cast("array<string>"))).otherwise(F.array_compact(F.array(at(2))))
     near = near.withColumn("hosts", F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(""))))
     out.append(_use(near.withColumn("host", F.explode("hosts")), "READ", context, F.col("host")))
-    right = filters.where(p1.isin("=", "<>", "!=", "<", ">", "<=", ">=", "LIKE", "BETWEEN") & ~n1.isin(*_OPS) & F.col("defined"))
+    # after an operator a plain name may be a parameter of a routine: a column only if a definition has it
+    right = filters.where(p1.isin("=", "<>", "!=", "<", ">", "<=", ">=", "LIKE", "BETWEEN") & ~n1.isin(*_OPS) & strict)
     out.append(_use(right, "READ", context))
 
     # SET: the first name of an entry is written with the entry's first host variable; other columns are read
@@ -157,11 +159,21 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     first_host = hosts.where("own_clause = 'SET'").groupBy(*slot).agg(F.min_by("word", "pos").alias("host"))
     assigned = heads.join(targets, _KEY).join(first_host, slot, "left").withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
     out.append(_use(assigned, "WRITE", "SET", F.coalesce("host", F.lit(""))))
-    read = columns.where("own_clause = 'SET'").where("defined").join(heads.select(*_KEY, "pos"), [*_KEY, "pos"], "left_anti")
+    # SET (a, b) = (x, y): names and values are paired by place
+    opens = sets.where((F.col("tok") == "(") & (F.col("level") == 1))
+    lists = sets.where((F.col("tok") == ")") & (F.col("level") == 1) & (n1 == "=")).select(*_KEY, "grp").join(opens.where(p1.isin("SET", ",")).select(*slot, "grp"), [*_KEY, "grp"])
+    parts = opens.where((p1 == "=") & (F.coalesce("p2", F.lit("")) == ")")).select(*slot, F.col("grp").alias("values"))
+    told = hosts.groupBy(*_KEY, F.col("grp").alias("values"), "slot").agg(F.min_by("word", "pos").alias("host"))
+    named = sets.where((F.col("kind") == "name") & p1.isin("(", ",")).join(lists.select(*_KEY, "grp", F.col("own_slot").alias("entry")), [*_KEY, "grp"])
+    named = named.join(parts.select(*slot, "values"), slot, "left").join(told, [*_KEY, "values", "slot"], "left").join(targets, _KEY)
+    named = named.withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
+    out.append(_use(named, "WRITE", "SET", F.coalesce("host", F.lit(""))))
+    heads = heads.select(*_KEY, "pos").unionByName(named.select(*_KEY, "pos"))
+    read = columns.where("own_clause = 'SET'").where(strict).join(heads, [*_KEY, "pos"], "left_anti")
     out.append(_use(read, "READ", "SET-EXPR"))
 
     # GROUP BY and ORDER BY: entries that are one column
-    ordered = columns.where(F.col("own_clause").isin("GROUP", "ORDER") & p1.isin("BY", ",") & n1.isin("", ",", ")", "ASC", "DESC", "FETCH", "FOR", "HAVING", "ORDER", "WITH", "UNION", "OPTIMIZE", ";")).where(F.col("defined") | F.col("open"))
+    ordered = columns.where(F.col("own_clause").isin("GROUP", "ORDER") & p1.isin("BY", ",") & n1.isin("", ",", ")", "ASC", "DESC", "FETCH", "FOR", "HAVING", "ORDER", "WITH", "UNION", "OPTIMIZE", ";"))
     out.append(_use(ordered, "READ", F.concat(F.col("own_clause"), F.lit(" BY"))))
 
     # INSERT: the list after the table, else all its columns, paired with VALUES by position

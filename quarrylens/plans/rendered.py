@@ -238,6 +238,22 @@ def insert_from_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _uses(spark, files).where("context in ('SELECT', 'WHERE', 'INSERT')").select("member", "column", "table", "access", "context", "line")
 
 
+def undefined_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that the table's definition lacks are told where the block has one table; a routine's parameter is not."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    text = F.when(key % 3 == 0, "SELECT GONE FROM SHOP.ORDERS WHERE GONE = :X\n ORDER BY GONE;").when(key % 3 == 1, "DELETE FROM SHOP.ORDERS WHERE GONE IS NULL;").otherwise(_text("UPDATE SHOP.ORDERS SET STATUS = 'A'\n WHERE GONE IN (:H1, :H", key, ") AND TOTAL = PARM;"))
+    return _uses(spark, artifacts(rows, "L", _text("N", key, ".sql"), text)).select("member", "column", "access", "context", "host_var", "line")
+
+
+def tuple_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and values of SET (a, b) = (x, y) are paired by place; those of a SELECT belong to its own table."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    text = F.when(key % 2 == 0, _text("UPDATE SHOP.ORDERS SET (STATUS, TOTAL) = (:S", key, ", :T), ORDER_ID = :K\n WHERE STATUS = 'A';")).otherwise("UPDATE SHOP.ORDERS SET (STATUS, TOTAL) =\n (SELECT TYPE, PART_ID FROM SHOP.PART WHERE BRAND = :B);")
+    return _uses(spark, artifacts(rows, "L", _text("Z", key, ".sql"), text)).select("member", "column", "table", "access", "context", "host_var", "line")
+
+
 def create_index_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
     files = artifacts(rows, "L", _text("X", F.col("s_suppkey"), ".sql"), _text("CREATE UNIQUE INDEX SHOP.I", F.col("s_suppkey"), " ON SHOP.PART (BRAND ASC, PART_ID DESC);"))
@@ -361,6 +377,8 @@ _SQL = {
     "union_branches": "SELECT 'U' || s_suppkey AS member, n AS \"column\", t AS \"table\", c AS context, l AS line FROM supplier, (VALUES ('STATUS', 'ORDERS', 'SELECT', 1), ('TOTAL', 'ORDERS', 'WHERE', 1), ('BRAND', 'PART', 'SELECT', 2), ('TYPE', 'PART', 'SELECT', 3)) v(n, t, c, l)",
     "star_expansion": "SELECT 'S' || s_suppkey AS member, n AS \"column\", t AS \"table\" FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 0), ('STATUS', 'ORDERS', 0), ('TOTAL', 'ORDERS', 0), ('PART_ID', 'PART', 1), ('BRAND', 'PART', 1), ('TYPE', 'PART', 1), ('STATUS', 'ORDERS', 1)) v(n, t, odd) WHERE s_suppkey % 2 = odd",
     "insert_from_select": "SELECT 'I' || s_suppkey AS member, n AS \"column\", t AS \"table\", a AS access, c AS context, l AS line FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 'WRITE', 'INSERT', 1), ('STATUS', 'ORDERS', 'WRITE', 'INSERT', 1), ('BRAND', 'PART', 'READ', 'SELECT', 2), ('TYPE', 'PART', 'READ', 'SELECT', 2), ('PART_ID', 'PART', 'READ', 'WHERE', 2)) v(n, t, a, c, l)",
+    "undefined_columns": "SELECT 'N' || s_suppkey AS member, n AS \"column\", a AS access, c AS context, h || CASE h WHEN 'H' THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('GONE', 'READ', 'SELECT', '', 1, 0), ('GONE', 'READ', 'WHERE', 'X', 1, 0), ('GONE', 'READ', 'ORDER BY', '', 2, 0), ('GONE', 'READ', 'WHERE', '', 1, 1), ('STATUS', 'WRITE', 'SET', '', 1, 2), ('GONE', 'READ', 'WHERE', 'H1', 2, 2), ('GONE', 'READ', 'WHERE', 'H', 2, 2), ('TOTAL', 'READ', 'WHERE', '', 2, 2)) v(n, a, c, h, l, m) WHERE s_suppkey % 3 = m",
+    "tuple_set": "SELECT 'Z' || s_suppkey AS member, n AS \"column\", t AS \"table\", a AS access, c AS context, h || CASE h WHEN 'S' THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('STATUS', 'ORDERS', 'WRITE', 'SET', 'S', 1, 0), ('TOTAL', 'ORDERS', 'WRITE', 'SET', 'T', 1, 0), ('ORDER_ID', 'ORDERS', 'WRITE', 'SET', 'K', 1, 0), ('STATUS', 'ORDERS', 'READ', 'WHERE', '', 2, 0), ('STATUS', 'ORDERS', 'WRITE', 'SET', '', 1, 1), ('TOTAL', 'ORDERS', 'WRITE', 'SET', '', 1, 1), ('TYPE', 'PART', 'READ', 'SELECT', '', 2, 1), ('PART_ID', 'PART', 'READ', 'SELECT', '', 2, 1), ('BRAND', 'PART', 'READ', 'WHERE', 'B', 2, 1)) v(n, t, a, c, h, l, m) WHERE s_suppkey % 2 = m",
     "create_index_columns": "SELECT 'X' || s_suppkey AS member, n AS \"column\", 'PART' AS \"table\", 'READ' AS access FROM supplier, (VALUES ('BRAND'), ('PART_ID')) v(n)",
     "alter_add_columns": "SELECT 'A' || s_suppkey AS \"table\", CASE i WHEN 0 THEN 'K' WHEN 1 THEN 'V' ELSE 'W' || (s_suppkey % 3) END AS name, CAST(i AS INT) AS seq, CASE i WHEN 0 THEN 'INTEGER NOT NULL' WHEN 1 THEN 'CHAR(2)' ELSE 'DECIMAL(7,2)' END AS sql_type, i > 0 AS nullable FROM supplier, range(3) r(i)",
     "free_format_lines": "SELECT 'F' || s_suppkey AS member, CASE s_suppkey % 2 WHEN 0 THEN '>>SOURCE FORMAT IS FREE' || chr(10) || 'MOVE ' || s_suppkey || ' TO A.' ELSE 'PROGRAM-ID. F' || s_suppkey || '.' || chr(10) || 'PROCEDURE DIVISION.' || chr(10) || 'STOP RUN.' END AS blob, CASE s_suppkey % 2 WHEN 0 THEN '1,3' ELSE '1,2,4' END AS origin FROM supplier",
@@ -374,7 +392,7 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (merge_columns, union_branches, star_expansion, insert_from_select, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
+    plain = (merge_columns, union_branches, star_expansion, insert_from_select, undefined_columns, tuple_set, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
     uses = {"select_into_pairing": "SELECT", "where_predicates": "WHERE", "update_set_writes": "SET", "insert_columns": "INSERT"}
     return {f.__name__: f for f in plain} | {name: _order_uses(context) for name, context in uses.items()}
 
