@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, a function that makes its Path objects)."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where it is unset, a local master gets one of its own; a cluster raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,5 +39,5 @@ def discard(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
         if folder.split(":", 1)[-1].lstrip("/").startswith(home.split(":", 1)[-1].lstrip("/")):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, make = file_system(spark, folder)
+            fs.delete(make(folder), True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that can stand where a column name could, but never are one.
+#: Words of SQL that name no column.
 NOT_COLUMNS = """
 ALL AND ANY AS ASC AVG BETWEEN BY CASE CAST CHAR CHARACTER CHECK COALESCE
 CONCAT CONSTRAINT COUNT CROSS CURRENT CURRENT_DATE CURRENT_TIME
@@ -52,15 +52,6 @@ def name_parts(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(f"({NAME})"), F.lit(1)), plain_name)
 
 
-def last_part(name: Column) -> Column:
-    return F.try_element_at(name_parts(name), F.lit(-1))
-
-
-def schema_part(name: Column) -> Column:
-    """The part before the last, empty if there is none; a location before it is dropped."""
-    return F.coalesce(F.try_element_at(name_parts(name), F.lit(-2)), F.lit(""))
-
-
 def newlines(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
 

@@ -10,11 +10,6 @@ from quarrylens.functions.text import NOT_DEFINITIONS
 _KEY = ["path", "unit", "stmt"]
 
 
-def list_groups(rows: DataFrame) -> DataFrame:
-    """(key, pos of the name before, grp) of parenthesis groups that directly follow a name."""
-    return rows.where((F.col("tok") == "(")).select(*_KEY, F.col("pos").alias("grp"))
-
-
 def defined_columns(rows: DataFrame) -> DataFrame:
     """(path, table, name, seq, sql_type, nullable, origin, line) of CREATE and DECLARE TABLE lists and ALTER TABLE ADD.
 

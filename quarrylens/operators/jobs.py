@@ -10,7 +10,6 @@ from quarrylens.functions.text import dsn_parts
 #: Programs that run SQL and utility statements from instream data.
 SQL_RUNNERS = ["DSNTEP2", "DSNTEP4", "DSNTIAD", "DSNTIAUL"]
 UTILITY_RUNNERS = ["DSNUTILB", "DSNUTILS", "DSNUTILU", "DSNUPROC"]
-TSO_RUNNERS = ["IKJEFT01", "IKJEFT1A", "IKJEFT1B"]
 
 
 def jcl_lines(files: DataFrame) -> DataFrame:

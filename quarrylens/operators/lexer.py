@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions.text import NAME, newlines, plain_name
 
 #: String, comment, host variable, dotted name (may end in .*), number, operator, line feed, blanks, anything.
-_TOKEN = rf"(?s)('(?:[^']|'')*+'?|--[^\n]*|/\*/|/\*.*?(?:\*/|\z)|:[ ]*[A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z][A-Za-z0-9-]*)?|{NAME}(?:\s*\.\s*{NAME}){{0,2}}(?:\s*\.\s*\*)?|\d+(?:\.\d+)?|<=|>=|<>|!=|\|\||[^\S\n]+|.)"
+_TOKEN = rf"(?s)('[^']*+(?:''[^']*+)*+'?|--[^\n]*|/\*/|/\*.*?(?:\*/|\z)|:[ ]*[A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z][A-Za-z0-9-]*)?|{NAME}(?:\s*\.\s*{NAME}){{0,2}}(?:\s*\.\s*\*)?|\d+(?:\.\d+)?|<=|>=|<>|!=|\|\||[^\S\n]+|.)"
 CLAUSES = ["SELECT", "INTO", "FROM", "WHERE", "GROUP", "ORDER", "HAVING", "FETCH", "FOR", "OPTIMIZE", "WITH", "UNION", "EXCEPT", "INTERSECT", "SET", "VALUES", "ON", "USING", "WHEN", "UPDATE", "INSERT", "DELETE", "MERGE", "JOIN"]
 VERBS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "ALTER", "DROP", "DECLARE", "LOCK", "FETCH", "OPEN", "CLOSE", "LOAD", "UNLOAD", "WITH"]
 _U = ["path", "unit"]

@@ -18,7 +18,6 @@ from .tables import Result, expanded_targets, table_dependencies
 _DML = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "LOAD INTO TABLE", "UNLOAD FROM TABLE"]
 #: Contexts in which a column is compared or ordered, not carried.
 FILTERS = ["WHERE", "ON", "HAVING", "ORDER BY", "GROUP BY", "INDEX", "SET-EXPR"]
-USE_COLUMNS = ["column", "table", "access", "context", "stmt", "host_var", "member", "path", "line", "host_def_path", "host_def_line", "host_def_pic"]
 
 
 def copybook_closure(index: Index, paths: DataFrame, hops: int = 3) -> DataFrame:

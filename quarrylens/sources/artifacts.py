@@ -2,19 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import written
 from quarrylens.functions.text import decoded, library_of, masked, member_of
+from quarrylens.operators.scripts import line_chunks, statement_units
 
-#: Files above this many bytes are reported as CHUNKED; they are read whole all the same.
+#: Files above this many bytes are reported as CHUNKED; scripts among them are lexed in chunks, by many tasks.
 CHUNK_THRESHOLD_BYTES = 8 << 20
+#: Kinds whose text is a sequence of statements.
+SCRIPTS = ["SQL", "CONTROL"]
+
+
+def _roots(roots: str | list[str]) -> list[str]:
+    return [roots] if isinstance(roots, str) else list(roots)
+
+
+def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+    """path, library, member, length, mtime and uri of every file under the roots; no file is opened."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_roots(roots))
+    return rows.select("path", library_of(F.col("path")).alias("library"), member_of(F.col("path")).alias("member"), "length", F.col("modificationTime").alias("mtime"), F.col("_metadata.file_path").alias("uri"))
+
+
+def _tolerant(reader: DataFrameReader) -> DataFrameReader:
+    """Files that cannot be read, or are gone since they were listed, give what was read of them instead of an error."""
+    return reader.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+
+
+def _lines(spark: SparkSession, roots: list[str], above: int) -> DataFrame:
+    """(uri, block, id, value) of the lines of files above so many bytes; Spark deals a file's bytes out in blocks."""
+    rows = _tolerant(spark.read.format("text")).option("lineSep", "\n").load(roots).where(F.col("_metadata.file_size") > above)
+    return rows.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def read_library(spark: SparkSession, roots: str | list[str], wanted: DataFrame | None = None, threshold: int = CHUNK_THRESHOLD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(files, units). files: path, library, member, length, mtime, text, kind, error, chunked; units as the lexer takes them.
+
+    ``wanted`` (path) picks files. A file that cannot be read has null text, kind UNKNOWN and an error; so has one of
+    which fewer bytes came than it is long. Files above ``threshold`` bytes are read as lines, in blocks. Those that are
+    scripts by their first chunk have null text and are ``chunked``: their statements are among the units. Others of that
+    size are put together again. Empty files have the empty text; no files give no rows.
+    """
+    roots = _roots(roots)
+    listed = list_artifacts(spark, roots)
+    listed = written(listed if wanted is None else listed.join(wanted.select("path"), "path", "left_semi"), "listed")
+    content = _tolerant(spark.read.format("binaryFile")).load(roots).where(F.col("length") <= threshold).select("path", "content")
+    small = with_text(listed.where(F.col("length") <= threshold).join(content, "path", "left"))
+    small = small.drop("uri").withColumns({"error": F.when(F.col("text").isNull(), "content could not be read"), "chunked": F.lit(False)})
+    big = listed.where(F.col("length") > threshold)
+    columns = [c for c in listed.columns if c != "uri"]
+    if not big.limit(1).count():
+        return small, _no_units(spark)
+    found = written(_lines(spark, roots, threshold).join(big.select("uri", "path"), "uri").drop("uri"), "lines")
+    # each line but perhaps the last ended in a line feed
+    size = found.groupBy("path").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    whole = big.join(size, "path").where("bytes - length in (0, 1)").select("path")
+    chunks = written(line_chunks(found.join(whole, "path", "left_semi")), "chunks")
+    heads = chunks.groupBy("path").agg(F.min_by("text", F.struct("block", "chunk")).alias("head"))
+    heads = written(heads.select("path", kind_of(masked(F.col("head")), F.col("path")).alias("kind")), "heads")
+    scripts = heads.where(F.col("kind").isin(*SCRIPTS))
+    rest = chunks.join(heads.join(scripts, "path", "left_anti"), "path", "left_semi").groupBy("path")
+    rest = rest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "chunk", "text"))), lambda x: x["text"]), "").alias("text"))
+    large = big.join(heads, "path", "left").join(rest, "path", "left")
+    chunked = F.coalesce(F.col("kind").isin(*SCRIPTS), F.lit(False))
+    error = F.when(F.col("kind").isNull(), "content could not be read")
+    large = large.select(*columns, "text", F.coalesce("kind", F.lit("UNKNOWN")).alias("kind"), error.alias("error"), chunked.alias("chunked"))
+    return small.unionByName(large), statement_units(chunks.join(scripts, "path", "left_semi"))
+
+
+def _no_units(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "path string, unit int, first long, origin array<int>, text string")
 
 
 def read_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """path, library, member, length, mtime, content of every file under the roots."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([roots] if isinstance(roots, str) else list(roots))
-    return rows.select("path", library_of(F.col("path")).alias("library"), member_of(F.col("path")).alias("member"), "length", F.col("modificationTime").alias("mtime"), "content")
+    """path, library, member, length, mtime, content of every file under the roots, each file in one row; content null if it cannot be read."""
+    content = _tolerant(spark.read.format("binaryFile")).load(_roots(roots)).select("path", "content")
+    return list_artifacts(spark, roots).drop("uri").join(content, "path", "left")
 
 
 def kind_of(text: Column, path: Column) -> Column:
@@ -48,4 +112,4 @@ def kind_of(text: Column, path: Column) -> Column:
 def with_text(rows: DataFrame) -> DataFrame:
     """Adds text and kind; content is dropped. Null content is an unreadable file: text stays null, kind UNKNOWN."""
     rows = rows.withColumn("text", decoded(F.col("content"))).drop("content")
-    return rows.withColumn("kind", F.coalesce(kind_of(masked(F.col("text")), F.col("path")), F.lit("UNKNOWN")))
+    return rows.withColumn("kind", F.when(F.col("text").isNotNull(), kind_of(masked(F.col("text")), F.col("path"))).otherwise("UNKNOWN"))
