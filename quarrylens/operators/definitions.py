@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.functions.text import NOT_DEFINITIONS
+from quarrylens.functions.storage import written
+from quarrylens.functions.text import NOT_DEFINITIONS, newlines
 
 _KEY = ["path", "unit", "stmt"]
 
@@ -128,6 +131,104 @@ def calls(blobs: DataFrame) -> DataFrame:
     return parts.select("path", found.alias("callee"), F.try_element_at("origin", F.col("at") + 1).alias("line")).select("path", F.upper("callee").alias("callee"), "line")
 
 
+#: Literal, word, line feed, blanks, anything else.
+_COBOL_TOKEN = r"(?s)('[^']*+(?:''[^']*+)*+'?|[A-Za-z0-9][A-Za-z0-9-]*|\n|[^\S\n]+|.)"
+_PARTS = "array<struct<lit:string,name:string,delimiter:string>>"
+#: Words that begin a statement, as far as they can follow one that moves text.
+_VERBS = ["MOVE", "STRING", "UNSTRING", "EXEC", "END-EXEC", "END-STRING", "DISPLAY", "CALL", "IF", "ELSE", "END-IF", "EVALUATE", "WHEN", "PERFORM", "ADD", "SUBTRACT", "COMPUTE", "INITIALIZE", "INSPECT", "ACCEPT", "READ", "WRITE", "SET", "GO", "STOP", "GOBACK", "EXIT", "CONTINUE"]
+
+
+def assignments(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assigned, prepared) of programs that prepare or execute statements, in the order of their text.
+
+    assigned: path, nth, target, parts (array of struct(lit, name, delimiter)), first (logical line), of MOVE, STRING and
+    VALUE. What other statements put into a field is not known: they give a row with null parts. prepared: path, nth, host.
+    """
+    rows = blobs.where(F.col("blob").rlike(r"(?i)\bEXEC\s+SQL\s+(?:PREPARE|EXECUTE)\b"))
+    toks = rows.select("path", F.posexplode(F.regexp_extract_all("blob", F.lit(_COBOL_TOKEN), F.lit(1))).alias("pos", "tok"))
+    order = Window.partitionBy("path").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    toks = toks.withColumn("line", 1 + F.coalesce(F.sum(newlines(F.col("tok"))).over(so_far), F.lit(0))).where(F.trim(F.regexp_replace("tok", r"\s", "")) != "")
+    kw = F.when(~F.col("tok").startswith("'"), F.upper("tok"))
+    toks = toks.withColumn("kw", kw)
+    starts = F.col("kw").isin(*_VERBS) | (F.col("tok") == ".")
+    toks = toks.withColumn("nth", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    t = F.filter(F.array_sort(F.collect_list(F.struct("pos", "tok", "kw"))), lambda x: x["tok"] != ".")
+    stmts = toks.groupBy("path", "nth").agg(t.alias("t"), F.min(F.when(F.col("tok") != ".", F.col("line"))).alias("first")).where(F.size("t") > 1)
+    words = F.transform("t", lambda x: F.coalesce(x["kw"], F.lit("'")))
+    stmts = stmts.withColumn("w", words).withColumn("verb", F.get("w", 0))
+    at = lambda word: F.array_position("w", word)
+    literal = lambda x: F.when(x["kw"].isNull(), F.replace(F.substring(x["tok"], F.lit(2), F.char_length(x["tok"]) - 2), F.lit("''"), F.lit("'")))
+    part = lambda x, d: F.struct(literal(x).alias("lit"), x["kw"].alias("name"), d.cast("string").alias("delimiter"))
+    none = F.lit(None)
+    moved = stmts.where((F.col("verb") == "MOVE") & (at("TO") > 0))
+    source = F.slice("t", F.lit(2), at("TO").cast("int") - 2)
+    # MOVE a TO b c: an operand of several words (a function, a subscript) is not known
+    moved = moved.select("path", "nth", "first", F.explode(F.slice("w", at("TO").cast("int") + 1, F.size("w"))).alias("target"), F.when(F.size(source) == 1, F.transform(source, lambda x: part(x, none))).alias("parts"))
+    strung = stmts.where((F.col("verb") == "STRING") & (at("INTO") > 0))
+    body = F.slice("t", F.lit(2), at("INTO").cast("int") - 2)
+    limits = F.filter(F.transform(body, lambda x, i: F.struct(i.alias("i"), x["kw"].alias("kw"), F.get(body, i + 1 + (F.get(body, i + 1)["kw"].eqNullSafe("BY")).cast("int"))["kw"].alias("by"))), lambda x: x["kw"] == "DELIMITED")
+    operand = lambda x, i: ~F.coalesce(x["kw"].isin("DELIMITED", "BY", ","), F.lit(False)) & ~F.exists(limits, lambda d: (i == d["i"] + 1) | ((i == d["i"] + 2) & (F.get(body, d["i"] + 1)["kw"].eqNullSafe("BY"))))
+    listed = F.filter(F.transform(body, lambda x, i: F.when(operand(x, i), part(x, F.get(F.filter(limits, lambda d: d["i"] > i), 0)["by"]))), lambda x: x.isNotNull())
+    strung = strung.select("path", "nth", "first", F.get("w", at("INTO").cast("int")).alias("target"), listed.alias("parts"))
+    valued = stmts.where(F.col("verb").rlike(r"^\d{1,2}$") | (F.get("w", 0) == ".")).where(at("VALUE") > 0)
+    after = at("VALUE").cast("int") + (F.get("w", at("VALUE").cast("int")).eqNullSafe("IS")).cast("int")
+    valued = valued.select("path", "nth", "first", F.get("w", 1).alias("target"), F.transform(F.slice("t", after + 1, F.lit(1)), lambda x: part(x, none)).alias("parts"))
+    other = stmts.where(F.col("verb").isin("ACCEPT", "INITIALIZE", "UNSTRING", "READ", "INSPECT", "COMPUTE", "SET")).select("path", "nth", "first", F.explode("w").alias("target")).withColumn("parts", F.lit(None))
+    # statements fetch into fields as well
+    fetched = stmts.where((F.col("verb") == "EXEC") & (at("INTO") > 0)).select("path", "nth", "first", F.explode(F.slice("w", at("INTO").cast("int") + 1, F.size("w"))).alias("target")).withColumn("parts", F.lit(None))
+    name = F.col("target").rlike("^[A-Z0-9][A-Z0-9-]*$")
+    assigned = reduce(DataFrame.union, [x.select("path", "nth", "target", F.col("parts").cast(_PARTS).alias("parts"), "first") for x in (moved, strung, valued, other, fetched)]).where(name)
+    host = F.when(at("PREPARE") > 0, F.get("w", at("FROM").cast("int") + 1)).when(at("IMMEDIATE") > 0, F.get("w", at("IMMEDIATE").cast("int") + 1))
+    prepared = stmts.where(F.col("verb") == "EXEC").select("path", "nth", host.alias("host")).where("host is not null")
+    return assigned.dropDuplicates(["path", "nth", "target"]), prepared
+
+
+def assembled_units(blobs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Units like embedded_sql's of statements that programs put together from constants and prepare.
+
+    Constants are followed through MOVE, STRING and VALUE in the order of the text, from fields to fields, as long as more
+    become known; a field that anything else may have changed is not known. Statements of one literal on one line are left
+    to ``dynamic_units``. More than ``max_rounds`` rounds raise, they are never cut off.
+    """
+    assigned, prepared = assignments(blobs)
+    assigned, prepared = written(assigned, "assigned"), written(prepared, "prepared")
+    cut = lambda text, by: F.when(by.isin("SPACE", "SPACES"), F.regexp_extract(text, "^([^ ]*)", 1)).otherwise(text)
+    asked = assigned.where("parts is not null").select("path", "nth", "target", "first", F.posexplode("parts").alias("k", "p"))
+    fixed = asked.where("p.lit is not null").select("path", "nth", "target", "k", cut(F.col("p.lit"), F.col("p.delimiter")).alias("text"), F.lit(1).alias("n"))
+    named = asked.where("p.lit is null").select("path", "nth", "target", "k", F.col("p.name").alias("name"), F.col("p.delimiter").alias("by"))
+    size = assigned.select("path", "nth", "target", "first", F.size("parts").alias("size"))
+    known = written(_whole(fixed, size), "constants")
+    before = known.count()
+    for _ in range(max_rounds):
+        filled = _as_of(named.withColumnRenamed("name", "field"), assigned, known)
+        more = filled.where("text is not null").select("path", "nth", "target", "k", cut(F.col("text"), F.col("by")).alias("text"), "n")
+        known = written(_whole(fixed.unionByName(more), size), "constants")
+        after = known.count()
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"constants did not settle in {max_rounds} rounds")
+    found = _as_of(prepared.withColumnRenamed("host", "field"), assigned, known).where("text is not null")
+    found = found.where((F.col("n") > 1) | F.col("text").contains("\n")).where(F.col("text").rlike(r"(?i)^\s*(?:SELECT|INSERT|UPDATE|DELETE|MERGE)\b"))
+    return found.join(blobs.select("path", "origin"), "path").select("path", (F.lit(-1_000_000_000) - F.col("nth")).cast("int").alias("unit"), F.col("first").cast("int").alias("first"), "origin", "text")
+
+
+def _whole(parts: DataFrame, size: DataFrame) -> DataFrame:
+    """(path, nth, target, text, n, first) of assignments all of whose parts are known; n counts the literals they come from."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "")
+    return parts.groupBy("path", "nth", "target").agg(text.alias("text"), F.count("*").alias("found"), F.sum("n").cast("int").alias("n")).join(size, ["path", "nth", "target"]).where("found = size").select("path", "nth", "target", "text", "n", "first")
+
+
+def _as_of(asked: DataFrame, assigned: DataFrame, known: DataFrame) -> DataFrame:
+    """``asked`` (path, nth, field, ...) with text, n and first of the field's last assignment before; null text if it is not known."""
+    told = assigned.select("path", "nth", "target").join(known, ["path", "nth", "target"], "left").select("path", "nth", F.col("target").alias("field"), F.struct("text", "n", "first").alias("told"))
+    both = asked.withColumn("told", F.lit(None).cast(told.schema["told"].dataType)).withColumn("asks", F.lit(True)).unionByName(told.withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy("path", "field").orderBy("nth", F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("last", F.last("told", ignorenulls=True).over(order)).where("asks").select(*asked.columns, "last.text", "last.n", "last.first")
+
+
 def dynamic_units(blobs: DataFrame) -> DataFrame:
     """Units like embedded_sql's of SQL in literals of programs that prepare or execute statements."""
     rows = blobs.where(F.col("blob").rlike(r"(?i)\bEXEC\s+SQL\s+(?:PREPARE|EXECUTE)\b"))

@@ -111,8 +111,12 @@ def select_items(rows: DataFrame, columns: DataFrame, known: DataFrame, tables:
     return plain.unionByName(from_stars), blind
 
 
-def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(uses, blind spots, notes) of structured and placed tokens, given the known columns."""
+def column_uses(rows: DataFrame, known: DataFrame, contexts: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uses, blind spots, notes) of structured and placed tokens, given the known columns.
+
+    ``contexts`` leaves out uses in others, and the work for them.
+    """
+    wanted = lambda *names: contexts is None or not set(names).isdisjoint(contexts)
     tables = written(block_tables(rows), "block_tables")
     columns, ambiguous = column_tokens(rows, known, tables)
     # read by many branches below: written, so that each is worked out once and plans stay small
@@ -125,12 +129,14 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
 
     # select lists, INTO and expressions
     items, blind = select_items(rows, columns, known, tables)
-    items = written(items, "items")
+    items = written(items, "items") if wanted("SELECT", "FETCH") else items
     into = hosts.where((F.col("clause") == "INTO") & (F.col("verb") != "FETCH") & (F.col("p1").isin("INTO", ","))).select(*_KEY, F.col("grp").alias("owner"), F.col("slot").alias("ordinal"), F.col("word").alias("host"))
     paired = items.join(into.dropDuplicates([*_KEY, "owner", "ordinal"]), [*_KEY, "owner", "ordinal"], "left")
-    out.append(_use(paired, "READ", "SELECT", F.coalesce("host", F.lit(""))))
+    if wanted("SELECT"):
+        out.append(_use(paired, "READ", "SELECT", F.coalesce("host", F.lit(""))))
     rest = columns.where("own_clause = 'SELECT'").where(strict).join(items.select(*_KEY, "pos"), [*_KEY, "pos"], "left_anti")
-    out.append(_use(rest, "READ", "SELECT"))
+    if wanted("SELECT"):
+        out.append(_use(rest, "READ", "SELECT"))
 
     # predicates: a column before an operator with the host variables after it, and columns after one
     filters = columns.where(F.col("own_clause").isin("WHERE", "ON", "HAVING") | ((F.col("own_clause") == "WHEN") & (F.col("verb") == "MERGE")))
@@ -146,10 +152,12 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     at = lambda i: F.when(F.col("shift") == 1, F.col(f"h{i + 1}")).otherwise(F.col(f"h{i}"))
     values = F.when(F.col("op") == "BETWEEN", F.array_compact(F.array(at(2), at(4)))).when(F.col("op") == "IN", F.coalesce("listed", F.array().cast("array<string>"))).otherwise(F.array_compact(F.array(at(2))))
     near = near.withColumn("hosts", F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(""))))
-    out.append(_use(near.withColumn("host", F.explode("hosts")), "READ", context, F.col("host")))
+    if wanted("WHERE", "ON", "HAVING"):
+        out.append(_use(near.withColumn("host", F.explode("hosts")), "READ", context, F.col("host")))
     # after an operator a plain name may be a parameter of a routine: a column only if a definition has it
     right = filters.where(p1.isin("=", "<>", "!=", "<", ">", "<=", ">=", "LIKE", "BETWEEN") & ~n1.isin(*_OPS) & strict)
-    out.append(_use(right, "READ", context))
+    if wanted("WHERE", "ON", "HAVING"):
+        out.append(_use(right, "READ", context))
 
     # SET: the first name of an entry is written with the entry's first host variable; other columns are read
     sets = rows.where((F.col("own_clause") == "SET"))
@@ -158,7 +166,8 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     target = rows.join(targets, _KEY)
     first_host = hosts.where("own_clause = 'SET'").groupBy(*slot).agg(F.min_by("word", "pos").alias("host"))
     assigned = heads.join(targets, _KEY).join(first_host, slot, "left").withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
-    out.append(_use(assigned, "WRITE", "SET", F.coalesce("host", F.lit(""))))
+    if wanted("SET"):
+        out.append(_use(assigned, "WRITE", "SET", F.coalesce("host", F.lit(""))))
     # SET (a, b) = (x, y): names and values are paired by place
     opens = sets.where((F.col("tok") == "(") & (F.col("level") == 1))
     lists = sets.where((F.col("tok") == ")") & (F.col("level") == 1) & (n1 == "=")).select(*_KEY, "grp").join(opens.where(p1.isin("SET", ",")).select(*slot, "grp"), [*_KEY, "grp"])
@@ -167,14 +176,17 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     named = sets.where((F.col("kind") == "name") & p1.isin("(", ",")).join(lists.select(*_KEY, "grp", F.col("own_slot").alias("entry")), [*_KEY, "grp"])
     named = named.join(parts.select(*slot, "values"), slot, "left").join(told, [*_KEY, "values", "slot"], "left").join(targets, _KEY)
     named = named.withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
-    out.append(_use(named, "WRITE", "SET", F.coalesce("host", F.lit(""))))
+    if wanted("SET"):
+        out.append(_use(named, "WRITE", "SET", F.coalesce("host", F.lit(""))))
     heads = heads.select(*_KEY, "pos").unionByName(named.select(*_KEY, "pos"))
     read = columns.where("own_clause = 'SET'").where(strict).join(heads, [*_KEY, "pos"], "left_anti")
-    out.append(_use(read, "READ", "SET-EXPR"))
+    if wanted("SET-EXPR"):
+        out.append(_use(read, "READ", "SET-EXPR"))
 
     # GROUP BY and ORDER BY: entries that are one column
     ordered = columns.where(F.col("own_clause").isin("GROUP", "ORDER") & p1.isin("BY", ",") & n1.isin("", ",", ")", "ASC", "DESC", "FETCH", "FOR", "HAVING", "ORDER", "WITH", "UNION", "OPTIMIZE", ";"))
-    out.append(_use(ordered, "READ", F.concat(F.col("own_clause"), F.lit(" BY"))))
+    if wanted("GROUP BY", "ORDER BY"):
+        out.append(_use(ordered, "READ", F.concat(F.col("own_clause"), F.lit(" BY"))))
 
     # INSERT: the list after the table, else all its columns, paired with VALUES by position
     inserts = target.where((F.col("tok") == "(") & (F.col("pos") == F.col("after")) & (F.col("n1") != "SELECT")).select(*_KEY, F.col("grp").alias("list"))
@@ -189,7 +201,8 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     opened = rows.where((F.col("tok") == "(") & (F.col("p1") == "VALUES")).groupBy(*_KEY).agg(F.min("grp").alias("grp"))
     values = hosts.join(opened, [*_KEY, "grp"]).groupBy(*_KEY, "slot").agg(F.min_by("word", "pos").alias("host"))
     inserted = listed.unionByName(positional).join(values, [*_KEY, "slot"], "left")
-    out.append(_use(inserted, "WRITE", "INSERT", F.coalesce("host", F.lit(""))))
+    if wanted("INSERT"):
+        out.append(_use(inserted, "WRITE", "INSERT", F.coalesce("host", F.lit(""))))
 
     # FETCH: host variables paired with the select list of the latest declaration of the cursor before it
     cursors = rows.where((F.col("kind") == "name") & (F.col("p1") == "DECLARE") & (F.col("verb") == "DECLARE") & F.col("n1").isin("CURSOR", "INSENSITIVE", "SENSITIVE", "SCROLL", "ASENSITIVE", "NO")).select(*_KEY, F.col("word").alias("cursor"))
@@ -198,24 +211,31 @@ def column_uses(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     fetched = rows.where((F.col("kind") == "name") & (F.col("verb") == "FETCH") & (F.col("n1") == "INTO")).select(*_KEY, F.col("word").alias("cursor")).dropDuplicates(_KEY)
     opened = fetched.join(chosen.select("path", "cursor", "declared").distinct(), ["path", "cursor"]).where(F.col("declared") < F.struct("unit", "stmt")).groupBy(*_KEY, "cursor").agg(F.max("declared").alias("declared"))
     matched = into.join(opened, _KEY).join(chosen, ["path", "cursor", "declared", "ordinal"])
-    out.append(_use(matched, "READ", "FETCH", F.col("host")))
+    if wanted("FETCH"):
+        out.append(_use(matched, "READ", "FETCH", F.col("host")))
 
     # CREATE INDEX, LOAD and UNLOAD: the list after the table
     after = target.where((F.col("tok") == "(") & ((F.col("pos") == F.col("after")) | ((F.col("pos") > F.col("target_pos")) & (F.col("p1") == ")") & F.col("verb").isin("LOAD", "UNLOAD") & (F.col("level") == 1))))
     after = after.where("what in ('CREATE INDEX', 'LOAD INTO TABLE', 'UNLOAD FROM TABLE')").groupBy(*_KEY, "target", "target_pos", "what").agg(F.min("grp").alias("grp"))
     fields = rows.where((F.col("kind") == "name") & F.col("p1").isin("(", ",")).join(after, [*_KEY, "grp"]).withColumn("name", F.element_at(F.split("word", r"\."), -1)).withColumn("table", F.col("target"))
-    out.append(_use(fields.where("what = 'CREATE INDEX'"), "READ", "INDEX"))
-    out.append(_use(fields.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
-    out.append(_use(fields.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
+    if wanted("INDEX"):
+        out.append(_use(fields.where("what = 'CREATE INDEX'"), "READ", "INDEX"))
+    if wanted("LOAD"):
+        out.append(_use(fields.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
+    if wanted("UNLOAD"):
+        out.append(_use(fields.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
     bare = targets.where("what in ('LOAD INTO TABLE', 'UNLOAD FROM TABLE')").join(after.select(*_KEY, "target_pos"), [*_KEY, "target_pos"], "left_anti")
     filled = bare.join(known.select(F.col("table").alias("target"), "name"), "target", "left").withColumn("pos", F.col("target_pos")).withColumn("line", F.col("target_line")).withColumn("table", F.col("target"))
     blank = filled.where("name is null").select(*_KEY, "line", F.lit("NO-COLUMN-LIST").alias("kind"), F.col("target").alias("detail"))
     full = filled.where("name is not null")
-    out.append(_use(full.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
-    out.append(_use(full.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
+    if wanted("LOAD"):
+        out.append(_use(full.where("what = 'LOAD INTO TABLE'"), "WRITE", "LOAD"))
+    if wanted("UNLOAD"):
+        out.append(_use(full.where("what = 'UNLOAD FROM TABLE'"), "READ", "UNLOAD"))
     notes = full.select("path", F.col("target").alias("table"), F.lower("target_verb").alias("verb")).distinct()
 
     uses = reduce(DataFrame.unionByName, out).join(labels(rows), _KEY)
+    uses = uses if contexts is None else uses.where(F.col("context").isin(*contexts))
     holes = reduce(DataFrame.unionByName, [ambiguous, blind, no_list, blank]).distinct()
     return uses.select(*_OUT), holes.select(*_KEY, "line", "kind", "detail"), notes
 

@@ -10,10 +10,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+from quarrylens.functions.logs import PACKAGE_LOGGER
+
 from . import fields, tables
 from .index import Index, build_index, open_index, table_listing
 
-log = logging.getLogger("quarrylens")
+log = logging.getLogger(PACKAGE_LOGGER)
 log.addHandler(logging.NullHandler())
 
 
@@ -31,6 +33,9 @@ def _opened(spark: SparkSession, db: str | Index | None) -> Iterator[Index]:
             yield index
 
 
+Store = Index
+
+
 def index(spark: SparkSession, roots: str | list[str], db: str | None = None, full: bool = False) -> dict:
     """Build or refresh the index of one root or several; returns counts and timings."""
     found = build_index(spark, roots, db or default_index_path(spark), full)
@@ -46,6 +51,16 @@ def query(spark: SparkSession, spec: str, db: str | Index | None = None, include
 get_table_dependencies = query
 
 
+class Analyzer:
+    """Table queries over one opened index."""
+
+    def __init__(self, store: Index) -> None:
+        self.store = store
+
+    def analyze(self, spec: str, include_read: bool = True, data_hops: int = 1) -> tables.Result:
+        return tables.table_dependencies(self.store, spec, include_read, data_hops)
+
+
 def list_tables(spark: SparkSession, db: str | Index | None = None, like: str = "%") -> list:
     with _opened(spark, db) as i:
         return table_listing(i, like).collect()
@@ -62,6 +77,12 @@ def table_dependencies_json(spark: SparkSession, spec: str, db: str | Index | No
     return json.dumps(report, indent=2)
 
 
+def write_report(result: tables.Result | fields.FieldResult, path: str) -> None:
+    """The parts of an answer as JSON lines, a folder each, written by the executors: for answers that are too large to collect."""
+    for name, rows in result.frames.items():
+        rows.write.json(f"{path}/{name}")
+
+
 def get_field_dependencies(spark: SparkSession, spec: str, db: str | Index | None = None, include_read: bool = True) -> fields.FieldResult:
     with _opened(spark, db) as i:
         return fields.field_dependencies(i, spec, include_read)

@@ -74,7 +74,8 @@ def extract(files: DataFrame, scripts: DataFrame) -> dict[str, DataFrame]:
     whole = whole.where(F.col("kind").isin("SQL", "CONTROL")).select("path", F.lit(0).alias("unit"), F.lit(1).cast("long").alias("first"), F.lit(None).cast("array<int>").alias("origin"), "text")
     embedded = lines.embedded_sql(blobs).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
     dynamic = definitions.dynamic_units(blobs).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
-    units = embedded.unionByName(dynamic).unionByName(whole).unionByName(scripts).unionByName(jobs.stream_units(streams, steps))
+    assembled = definitions.assembled_units(blobs).withColumn("first", F.col("first").cast("long"))
+    units = embedded.unionByName(dynamic).unionByName(assembled).unionByName(whole).unionByName(scripts).unionByName(jobs.stream_units(streams, steps))
     return {
         "tokens": lexer.structured(lexer.tokens(units)),
         "programs": definitions.programs(blobs),
@@ -187,15 +188,13 @@ def _commit(spark: SparkSession, path: str, number: int, told: dict) -> None:
         raise RuntimeError(f"another update of {path} was committed as {number}")
 
 
-def _update(spark: SparkSession, path: str, old: Index | None, files: DataFrame, units: DataFrame, gone: DataFrame | None, timer: StageTimer, buckets: int) -> int:
-    """Replace the facts of ``files`` and drop those of ``gone`` (path); only the buckets that hold such paths are written. Returns the number of files read."""
+def _update(spark: SparkSession, path: str, old: Index | None, roots: str | list[str], wanted: DataFrame, gone: DataFrame | None, timer: StageTimer, buckets: int, threshold: int = CHUNK_THRESHOLD_BYTES) -> Index:
+    """Read the ``wanted`` files (path) and replace their facts, drop those of ``gone`` (path). Only the buckets of such paths are written, none if there are none."""
     buckets = old.buckets if old else buckets
     write = uuid.uuid4().hex
     base = f"{path}/data/write={write}"
     with timer.stage("clear"):
-        files = written(files, "scanned")
-        n = files.count()
-        stale = files.select("path") if gone is None else files.select("path").unionByName(gone.select("path"))
+        stale = wanted.select("path") if gone is None else wanted.select("path").unionByName(gone.select("path"))
         stale = written(stale.distinct(), "stale")
         touched = sorted(r.b for r in stale.select(bucket_of(F.col("path"), buckets).alias("b")).distinct().collect())
         kept = {} if old is None else {name: rows.where(bucket_of(F.col("path"), buckets).isin(touched)).join(stale, "path", "left_anti") for name, rows in old.tables.items()}
@@ -207,16 +206,20 @@ def _update(spark: SparkSession, path: str, old: Index | None, files: DataFrame,
         rows.withColumn("bucket", bucket_of(F.col("path"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{base}/of={name}")
 
     with timer.stage("parse"):
-        facts = extract(files, units)
-        tokens = written(lexer.placed(written(facts.pop("tokens"), "lexed")), "tokens")
-        store("tokens", tokens)
-        store("files", files.drop("text"))
-        for name, rows in {**facts, **token_facts(tokens, files)}.items():
-            store(name, rows)
+        if touched or old is None:
+            files, units = read_library(spark, roots, wanted, threshold)
+            files = written(files, "scanned")
+            facts = extract(files, units)
+            tokens = written(lexer.placed(written(facts.pop("tokens"), "lexed")), "tokens")
+            store("tokens", tokens)
+            store("files", files.drop("text"))
+            for name, rows in {**facts, **token_facts(tokens, files)}.items():
+                store(name, rows)
     with timer.stage("finalize"):
-        live = {**(old.live if old else {}), **dict.fromkeys(touched, write)}
-        _commit(spark, path, old.version + 1 if old else 1, {"buckets": buckets, "live": live, "schemas": schemas})
-    return n
+        if schemas:
+            live = {**(old.live if old else {}), **dict.fromkeys(touched, write)}
+            _commit(spark, path, old.version + 1 if old else 1, {"buckets": buckets, "live": live, "schemas": schemas})
+        return Index(spark, path)
 
 
 def build_index(spark: SparkSession, roots: str | list[str], path: str, full: bool = False, buckets: int = 64, threshold: int = CHUNK_THRESHOLD_BYTES) -> dict:
@@ -224,7 +227,7 @@ def build_index(spark: SparkSession, roots: str | list[str], path: str, full: bo
 
     An update costs what it touches: the buckets of changed, new and deleted files are written anew, others are referred to.
     It counts from the moment its snapshot is named; until then, and if it fails, readers see the one before. If nothing has
-    changed nothing is written. ``full`` reads all files again. Returns files, table_refs, scanned, skipped and timing.
+    changed nothing is written. ``full`` reads all files again. Returns files, table_refs, scanned, skipped, pruned, timing.
     """
     timer = StageTimer()
     old = _opened(spark, path)
@@ -240,17 +243,10 @@ def build_index(spark: SparkSession, roots: str | list[str], path: str, full: bo
     with timer.stage("prune"):
         gone = None if old is None else written(old.files.select("path").join(listing, "path", "left_anti"), "gone")
         pruned = 0 if gone is None else gone.count()
-    if n or pruned or old is None:
-        files, units = read_library(spark, roots, todo, threshold) if n else _none(spark, roots)
-        n = _update(spark, path, old, files, units, gone, timer, buckets)
-    done = Index(spark, path)
+    done = _update(spark, path, old, roots, todo, gone, timer, buckets, threshold)
     return {"files": done.files.count(), "table_refs": done.table_refs.count(), "scanned": n, "skipped": skipped, "pruned": pruned, "timing": timer.timings()}
 
 
-def _none(spark: SparkSession, roots: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    return read_library(spark, roots, spark.createDataFrame([], "path string"))
-
-
 def stream_index(spark: SparkSession, root: str, path: str, checkpoint: str | None = None, buckets: int = 64) -> int:
     """Index the files that have come under ``root`` since the last call, by a stream that ends when it has them; returns the version.
 
@@ -260,10 +256,7 @@ def stream_index(spark: SparkSession, root: str, path: str, checkpoint: str | No
 
     def taken(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        paths = written(batch.select("path"), "arrived")
-        if paths.limit(1).count():
-            files, units = read_library(session, root, paths)
-            _update(session, path, _opened(session, path), files, units, None, StageTimer(), buckets)
+        _update(session, path, _opened(session, path), root, written(batch.select("path"), "arrived"), None, StageTimer(), buckets)
 
     rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
     query = rows.select("path").writeStream.foreachBatch(taken).option("checkpointLocation", checkpoint or f"{path}/stream").trigger(availableNow=True).start()

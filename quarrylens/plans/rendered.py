@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions.storage import written
 from quarrylens.functions.text import dsn_parts, library_of, masked, member_of
 from quarrylens.functions.vendor import classified
-from quarrylens.operators import definitions, jobs, lexer, lines, references
+from quarrylens.operators import definitions, jobs, lexer, lines, references, scripts
 from quarrylens.operators.uses import column_uses
 from quarrylens.sources.artifacts import with_text
 
@@ -57,19 +57,28 @@ def _script(spark: SparkSession, text: str) -> DataFrame:
     return artifacts(spark.range(1), "SHOP.DDL", F.lit("SHOP.sql"), F.lit(text))
 
 
-def _tokens(files: DataFrame, embedded: bool = False) -> DataFrame:
-    """Placed tokens of SQL scripts and decks, or of the statements embedded in COBOL, written, as groups are found from the same rows."""
+def _units(files: DataFrame, embedded: bool) -> DataFrame:
     if embedded:
-        units = lines.embedded_sql(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
-    else:
-        units = files.select("path", F.lit(0).alias("unit"), F.lit(1).cast("long").alias("first"), F.lit(None).cast("array<int>").alias("origin"), "text")
+        return lines.embedded_sql(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
+    return files.select("path", F.lit(0).alias("unit"), F.lit(1).cast("long").alias("first"), F.lit(None).cast("array<int>").alias("origin"), "text")
+
+
+def _placed(units: DataFrame) -> DataFrame:
+    """Placed tokens, written, as groups are found from the same rows."""
     return written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
 
 
-def _uses(spark: SparkSession, files: DataFrame, embedded: bool = False) -> DataFrame:
+def _tokens(files: DataFrame, embedded: bool = False) -> DataFrame:
+    """Placed tokens of SQL scripts and decks, or of the statements embedded in COBOL."""
+    return _placed(_units(files, embedded))
+
+
+def _uses(spark: SparkSession, files: DataFrame, embedded: bool = False, contexts: list[str] | None = None) -> DataFrame:
     script = _script(spark, DDL)
-    known = written(definitions.known_columns(definitions.defined_columns(_tokens(script)), script), "known")
-    uses, _, _ = column_uses(_tokens(files, embedded), known)
+    toks = _placed(_units(files, embedded).unionByName(_units(script, False)))
+    declared = F.col("path") == "/SHOP.DDL/SHOP.sql"
+    known = written(definitions.known_columns(definitions.defined_columns(toks.where(declared)), script), "known")
+    uses, _, _ = column_uses(toks.where(~declared), known, contexts)
     return uses.withColumn("member", member_of(F.col("path"))).select("member", "column", "table", "access", "context", "host_var", "line")
 
 
@@ -120,7 +129,7 @@ def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _order_uses(context: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _uses(spark, order_programs(spark, sf_dir), embedded=True).where(F.col("context") == context)
+        return _uses(spark, order_programs(spark, sf_dir), embedded=True, contexts=[context])
 
     return query
 
@@ -129,19 +138,19 @@ def group_order_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part", "p_partkey", "p_size")
     name = F.when(F.col("p_size") % 2 == 0, "TYPE").otherwise("BRAND")
     files = artifacts(rows, "L", _text("M", F.col("p_partkey"), ".sql"), _text("SELECT COUNT(*) FROM SHOP.PART -- ORDER BY GHOST\nGROUP BY ", name, "\nORDER BY ", name, " DESC, 1;"))
-    return _uses(spark, files).where("context in ('GROUP BY', 'ORDER BY')").select("member", "column", "context", "line")
+    return _uses(spark, files, contexts=["GROUP BY", "ORDER BY"]).select("member", "column", "context", "line")
 
 
 def cursor_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer", "c_custkey")
     code = ["IDENTIFICATION DIVISION.", _text("PROGRAM-ID. C", F.col("c_custkey"), "."), "PROCEDURE DIVISION.", "    EXEC SQL DECLARE CUR1 CURSOR FOR", "      SELECT ORDER_ID, TOTAL FROM SHOP.ORDERS END-EXEC.", "    EXEC SQL OPEN CUR1 END-EXEC.", "    EXEC SQL FETCH CUR1", _text("      INTO :ID-", F.col("c_custkey"), ", :TOT END-EXEC.")]
-    return _uses(spark, artifacts(rows, "L", _text("C", F.col("c_custkey")), fixed(code)), embedded=True).where("context = 'FETCH'").select("member", "column", "host_var", "line")
+    return _uses(spark, artifacts(rows, "L", _text("C", F.col("c_custkey")), fixed(code)), embedded=True, contexts=["FETCH"]).select("member", "column", "host_var", "line")
 
 
 def deck_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
     files = artifacts(rows, "L", _text("D", F.col("s_suppkey")), F.when(F.col("s_suppkey") % 2 == 0, "LOAD DATA INDDN SYSREC INTO TABLE SHOP.ORDERS\n (ORDER_ID POSITION(1) CHAR(10), TOTAL POSITION(11) DECIMAL)\n").otherwise("LOAD DATA INDDN SYSREC INTO TABLE SHOP.ORDERS\n"))
-    return _uses(spark, files).where("context = 'LOAD'").select("member", "column", "access")
+    return _uses(spark, files, contexts=["LOAD"]).select("member", "column", "access")
 
 
 def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +229,7 @@ def union_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each branch of a UNION reads its own table."""
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
     files = artifacts(rows, "L", _text("U", F.col("s_suppkey"), ".sql"), _text("SELECT STATUS FROM SHOP.ORDERS WHERE TOTAL > ", F.col("s_suppkey"), "\nUNION ALL SELECT BRAND FROM SHOP.PART\nUNION SELECT TYPE FROM SHOP.PART;"))
-    return _uses(spark, files).where("context in ('SELECT', 'WHERE')").select("member", "column", "table", "context", "line")
+    return _uses(spark, files, contexts=["SELECT", "WHERE"]).select("member", "column", "table", "context", "line")
 
 
 def star_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,14 +237,14 @@ def star_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
     text = F.when(F.col("s_suppkey") % 2 == 0, "SELECT * FROM SHOP.ORDERS;").otherwise("SELECT P.*, O.STATUS FROM SHOP.ORDERS O JOIN SHOP.PART P ON P.BRAND = O.STATUS;")
     files = artifacts(rows, "L", _text("S", F.col("s_suppkey"), ".sql"), text)
-    return _uses(spark, files).where("context = 'SELECT'").select("member", "column", "table")
+    return _uses(spark, files, contexts=["SELECT"]).select("member", "column", "table")
 
 
 def insert_from_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of the SELECT of an INSERT belong to the SELECT's tables; those of the list are written."""
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
     files = artifacts(rows, "L", _text("I", F.col("s_suppkey"), ".sql"), _text("INSERT INTO SHOP.ORDERS (ORDER_ID, STATUS)\n SELECT BRAND, TYPE FROM SHOP.PART WHERE PART_ID = ", F.col("s_suppkey"), ";"))
-    return _uses(spark, files).where("context in ('SELECT', 'WHERE', 'INSERT')").select("member", "column", "table", "access", "context", "line")
+    return _uses(spark, files, contexts=["SELECT", "WHERE", "INSERT"]).select("member", "column", "table", "access", "context", "line")
 
 
 def undefined_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +263,31 @@ def tuple_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _uses(spark, artifacts(rows, "L", _text("Z", key, ".sql"), text)).select("member", "column", "table", "access", "context", "host_var", "line")
 
 
+def chunked_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One script of two lines a part, its literals and comments full of ';', in blocks and chunks that cut through them."""
+    rows = _table(spark, sf_dir, "part", "p_partkey")
+    key = F.col("p_partkey")
+    told = F.explode(F.array(F.struct((key * 2).alias("id"), _text("SELECT A FROM SHOP.T", key, " WHERE B = 'x; -- ").alias("value")), F.struct((key * 2 + 1).alias("id"), F.lit("DELETE FROM SHOP.GHOST; it''s' /* ; ' */;").alias("value"))))
+    script = rows.select(F.lit("/L/ALL.sql").alias("path"), F.floor(key / 97).alias("block"), told.alias("t")).select("path", "block", "t.id", "t.value")
+    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(scripts.statement_units(scripts.line_chunks(script, 16)))), "lexed")), "tokens")
+    return references.table_references(toks).select("table_name", "access", F.col("line").cast("long").alias("line"))
+
+
+def assembled_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements put together from three literals and a field, for suppliers of an odd key from one that is not known."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    fill = F.when(key % 2 == 0, _text("    MOVE 'SHOP.T", key, "' TO W-TAB.")).otherwise("    ACCEPT W-TAB.")
+    files = artifacts(rows, "L", _text("Q", key), fixed(["IDENTIFICATION DIVISION.", "01  W-VERB PIC X(9) VALUE 'DELETE '.", "PROCEDURE DIVISION.", fill, "    STRING W-VERB 'FROM ' W-TAB", "      ' WHERE A = 1' DELIMITED BY SIZE INTO W.", "    EXEC SQL PREPARE S1 FROM :W END-EXEC."]))
+    units = definitions.assembled_units(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
+    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    return references.table_references(toks).select(member_of(F.col("path")).alias("member"), "table_name", "access", "line")
+
+
 def create_index_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "supplier", "s_suppkey")
     files = artifacts(rows, "L", _text("X", F.col("s_suppkey"), ".sql"), _text("CREATE UNIQUE INDEX SHOP.I", F.col("s_suppkey"), " ON SHOP.PART (BRAND ASC, PART_ID DESC);"))
-    return _uses(spark, files).where("context = 'INDEX'").select("member", "column", "table", "access")
+    return _uses(spark, files, contexts=["INDEX"]).select("member", "column", "table", "access")
 
 
 def alter_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +407,8 @@ _SQL = {
     "union_branches": "SELECT 'U' || s_suppkey AS member, n AS \"column\", t AS \"table\", c AS context, l AS line FROM supplier, (VALUES ('STATUS', 'ORDERS', 'SELECT', 1), ('TOTAL', 'ORDERS', 'WHERE', 1), ('BRAND', 'PART', 'SELECT', 2), ('TYPE', 'PART', 'SELECT', 3)) v(n, t, c, l)",
     "star_expansion": "SELECT 'S' || s_suppkey AS member, n AS \"column\", t AS \"table\" FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 0), ('STATUS', 'ORDERS', 0), ('TOTAL', 'ORDERS', 0), ('PART_ID', 'PART', 1), ('BRAND', 'PART', 1), ('TYPE', 'PART', 1), ('STATUS', 'ORDERS', 1)) v(n, t, odd) WHERE s_suppkey % 2 = odd",
     "insert_from_select": "SELECT 'I' || s_suppkey AS member, n AS \"column\", t AS \"table\", a AS access, c AS context, l AS line FROM supplier, (VALUES ('ORDER_ID', 'ORDERS', 'WRITE', 'INSERT', 1), ('STATUS', 'ORDERS', 'WRITE', 'INSERT', 1), ('BRAND', 'PART', 'READ', 'SELECT', 2), ('TYPE', 'PART', 'READ', 'SELECT', 2), ('PART_ID', 'PART', 'READ', 'WHERE', 2)) v(n, t, a, c, l)",
+    "chunked_statements": "SELECT 'T' || p_partkey AS table_name, 'READ' AS access, 2 * row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part",
+    "assembled_sql": "SELECT 'Q' || s_suppkey AS member, 'T' || s_suppkey AS table_name, 'WRITE' AS access, 5 AS line FROM supplier WHERE s_suppkey % 2 = 0",
     "undefined_columns": "SELECT 'N' || s_suppkey AS member, n AS \"column\", a AS access, c AS context, h || CASE h WHEN 'H' THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('GONE', 'READ', 'SELECT', '', 1, 0), ('GONE', 'READ', 'WHERE', 'X', 1, 0), ('GONE', 'READ', 'ORDER BY', '', 2, 0), ('GONE', 'READ', 'WHERE', '', 1, 1), ('STATUS', 'WRITE', 'SET', '', 1, 2), ('GONE', 'READ', 'WHERE', 'H1', 2, 2), ('GONE', 'READ', 'WHERE', 'H', 2, 2), ('TOTAL', 'READ', 'WHERE', '', 2, 2)) v(n, a, c, h, l, m) WHERE s_suppkey % 3 = m",
     "tuple_set": "SELECT 'Z' || s_suppkey AS member, n AS \"column\", t AS \"table\", a AS access, c AS context, h || CASE h WHEN 'S' THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('STATUS', 'ORDERS', 'WRITE', 'SET', 'S', 1, 0), ('TOTAL', 'ORDERS', 'WRITE', 'SET', 'T', 1, 0), ('ORDER_ID', 'ORDERS', 'WRITE', 'SET', 'K', 1, 0), ('STATUS', 'ORDERS', 'READ', 'WHERE', '', 2, 0), ('STATUS', 'ORDERS', 'WRITE', 'SET', '', 1, 1), ('TOTAL', 'ORDERS', 'WRITE', 'SET', '', 1, 1), ('TYPE', 'PART', 'READ', 'SELECT', '', 2, 1), ('PART_ID', 'PART', 'READ', 'SELECT', '', 2, 1), ('BRAND', 'PART', 'READ', 'WHERE', 'B', 2, 1)) v(n, t, a, c, h, l, m) WHERE s_suppkey % 2 = m",
     "create_index_columns": "SELECT 'X' || s_suppkey AS member, n AS \"column\", 'PART' AS \"table\", 'READ' AS access FROM supplier, (VALUES ('BRAND'), ('PART_ID')) v(n)",
@@ -392,7 +424,7 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (merge_columns, union_branches, star_expansion, insert_from_select, undefined_columns, tuple_set, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
+    plain = (merge_columns, union_branches, star_expansion, insert_from_select, undefined_columns, tuple_set, chunked_statements, assembled_sql, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
     uses = {"select_into_pairing": "SELECT", "where_predicates": "WHERE", "update_set_writes": "SET", "insert_columns": "INSERT"}
     return {f.__name__: f for f in plain} | {name: _order_uses(context) for name, context in uses.items()}
 

@@ -253,8 +253,8 @@ def table_summary(result: Result) -> dict:
     """Counts, and the members that write, programs and jobs, as plain data."""
     return {
         "table": result.spec,
-        "references": len(result.refs),
-        "writers": sorted({r.member for r in result.refs if r.access == "WRITE"}),
+        "references": result.frames["refs"].count(),
+        "writers": [r.member for r in result.frames["refs"].where("access = 'WRITE'").select("member").distinct().orderBy("member").collect()],
         "programs": sorted(result.programs),
         "jobs": sorted(result.jobs),
         "blind_spots": len(result.blind_spots),

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import quarrylens as q
+from quarrylens.functions.storage import written
 from quarrylens.functions.text import dsn_parts, masked
-from quarrylens.functions.vendor import classify_module, load_overrides
+from quarrylens.functions.vendor import classified, classify_module, load_overrides
 from quarrylens.operators import definitions, lexer, lines, references
 from quarrylens.plans import fields
 from quarrylens.plans.index import split_spec
@@ -149,6 +150,39 @@ def test_writers_alone(spark, db):
     assert "REPAINT" in r.programs and "HEAVY" not in r.programs
 
 
+def test_statements_put_together_from_constants(spark):
+    put = lambda *code: code
+    prepare = "    EXEC SQL PREPARE P FROM :S END-EXEC."
+    programs = {
+        "A": (["01  HEAD PIC X(20) VALUE 'UPDATE '.", "01  TBL PIC X(20)."], put("    MOVE 'RAIL.WAGON  X' TO TBL.", "    STRING HEAD DELIMITED BY SIZE TBL DELIMITED BY SPACE", "      ' SET A = 1' DELIMITED BY SIZE", "      INTO S END-STRING.", prepare)),
+        "B": ([], put("    STRING 'DELETE ' 'FROM ' 'RAIL.TRIP' DELIMITED BY SIZE", "     INTO S1.", "    MOVE S1 TO S2 S3.", "    EXEC SQL EXECUTE IMMEDIATE :S3 END-EXEC.")),
+        # what another statement fills is not known
+        "C": ([], put("    STRING 'DELETE ' 'FROM ' 'RAIL.TRIP' INTO S.", "    ACCEPT S.", prepare)),
+        "D": ([], put("    STRING 'DELETE FROM ' WHAT INTO S.", prepare)),
+        # the last value before counts
+        "E": ([], put("    MOVE 'X' TO T. MOVE 'RAIL.AAA' TO T.", "    STRING 'INSERT INTO ' T ' VALUES (''a'')' INTO S.", prepare, "    MOVE 'RAIL.BBB' TO T.")),
+        "F": ([], put("    STRING 'DELETE FROM ' 'RAIL.TRIP' INTO S.", "    DISPLAY S.")),
+    }
+    files = spark.createDataFrame([(n, library.cobol(n, *p)) for n, p in programs.items()], "path string, text string")
+    rows = definitions.assembled_units(lines.cobol_blobs(files)).collect()
+    assert sorted((r.path, r.text, r.origin[r["first"] - 1]) for r in rows) == [("A", "UPDATE RAIL.WAGON SET A = 1", 9), ("B", "DELETE FROM RAIL.TRIP", 8), ("E", "INSERT INTO RAIL.AAA VALUES ('a')", 7)]
+
+
+def test_long_vendor_lists(spark):
+    own = [(f"P{i}", i % 2 == 0, f"label {i}", "site") for i in range(10_000)] + [("DFHX", False, "own CICS part", "site")]
+    names = ["P17", "P170", "P18", "P1800X", "DFHXA", "dfhb", "MQOPEN", "MQOPENX", "", None]
+    rows = spark.createDataFrame([(n,) for n in names * 2], "callee string")
+    got = sorted({(r.callee, tuple(r.vendor) if r.vendor else None) for r in classified(rows, "callee", own).collect()}, key=repr)
+    assert got == sorted({(n, classify_module(n, own) if n is not None else None) for n in names}, key=repr)
+    assert classified(rows, "callee", own).count() == len(names) * 2
+
+
+def test_reports_are_written_by_executors(spark, res, tmp_path):
+    q.write_report(res, str(tmp_path / "report"))
+    back = spark.read.json(str(tmp_path / "report" / "refs"))
+    assert back.count() == len(res.refs) and {r.member for r in back.collect()} == {x.member for x in res.refs}
+
+
 def test_index_keeps_what_is_unchanged(spark, db):
     again = q.index(spark, os.path.join(os.path.dirname(db), "src"), db)
     assert (again["scanned"], again["skipped"]) == (0, len(library.MEMBERS))
@@ -239,3 +273,44 @@ def test_summaries_and_reports(spark, db, fld, res):
     out = json.loads(q.field_dependencies_json(spark, "RAIL.TRIP", db))
     assert [c["name"] for c in out["columns"]] == ["TRIP_ID", "WAGON_NR", "KM", "FEE"]
     assert {"TRIP_ID", "WAGON_NR"} <= {u["column"] for u in out["uses"] if u["member"] == "MOVES" and u["context"] == "INSERT"}
+
+
+def test_exports_and_logging(spark, db, res):
+    import logging
+    import subprocess
+    import sys
+
+    from quarrylens.functions.logs import PACKAGE_LOGGER, configure_logging, level_for
+
+    assert all(hasattr(q, n) for n in ("index", "query", "open_index", "tables", "Result", "Store", "Analyzer"))
+    with q.open_index(spark, db) as store:
+        assert isinstance(store, q.Store)
+        again = q.Analyzer(store).analyze("RAIL.WAGON", data_hops=0)
+    assert len(again.refs) == len(res.refs) and again.data_links == []
+    assert (level_for(), level_for(verbose=1), level_for(quiet=1), level_for(quiet=2), level_for(verbose=1, quiet=1)) == (logging.INFO, logging.DEBUG, logging.WARNING, logging.ERROR, logging.WARNING)
+    before = len(logging.getLogger(PACKAGE_LOGGER).handlers)
+    for _ in range(3):
+        configure_logging(quiet=1)
+    assert len(logging.getLogger(PACKAGE_LOGGER).handlers) <= before + 1
+    top = os.path.dirname(os.path.dirname(os.path.abspath(q.__file__)))
+    assert subprocess.check_output([sys.executable, "-c", "import logging, quarrylens; print(len(logging.getLogger().handlers))"], cwd=top).decode().strip() == "0"
+
+
+def test_uses_that_no_definition_or_list_tells(spark):
+    """Statements without a list of columns, and what they leave open."""
+    from quarrylens.operators.uses import column_uses
+
+    texts = ["CREATE TABLE R.T (A INTEGER, B CHAR(1));", "INSERT INTO R.T VALUES (:X, :Y);", "INSERT INTO R.NONE VALUES (:X);", "DELETE FROM R.T C WHERE C.GONE = :Z;", "SELECT A FROM R.T GROUP BY A HAVING MAX(B) > 1 AND A > :H;", "UPDATE R.T SET (A, B) = (:P, :Q), A = B WHERE A NOT IN (:I, :J);"]
+    units = spark.createDataFrame([(str(i), 0, 1, None, t) for i, t in enumerate(texts)], "path string, unit int, first long, origin array<int>, text string")
+    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    files = spark.createDataFrame([("0", "DDL", "SQL")], "path string, member string, kind string")
+    known = written(definitions.known_columns(definitions.defined_columns(toks), files), "known")
+    found, holes, _ = column_uses(toks, known)
+    got = {(r.path, r.column, r.access, r.context, r.host_var) for r in found.collect()}
+    assert {x[1:] for x in got if x[0] == "1"} == {("A", "WRITE", "INSERT", "X"), ("B", "WRITE", "INSERT", "Y")}
+    assert {x[1:] for x in got if x[0] == "3"} == {("GONE", "READ", "WHERE", "Z")}
+    assert ("4", "A", "READ", "HAVING", "H") in got and not any(x[0] == "4" and x[3] == "WHERE" for x in got)
+    assert {x[1:] for x in got if x[0] == "5"} == {("A", "WRITE", "SET", "P"), ("B", "WRITE", "SET", "Q"), ("A", "WRITE", "SET", ""), ("B", "READ", "SET-EXPR", ""), ("A", "READ", "WHERE", "I"), ("A", "READ", "WHERE", "J")}
+    assert [(r.path, r.kind, r.detail) for r in holes.collect()] == [("2", "INSERT-NO-COLUMNS", "NONE")]
+    narrow, _, _ = column_uses(toks, known, ["HAVING"])
+    assert {(r.path, r.column, r.host_var) for r in narrow.collect()} == {("4", "A", "H")}
