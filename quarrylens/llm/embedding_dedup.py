@@ -223,7 +223,9 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     Links are pairs of a cosine of 0.95 or more. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do vectors of different lengths with each other. Equal vectors are compared
     once and counted as many. An id that is repeated counts once, with its smallest vector, and its rows share the
-    result; a null id has no links and stays. An empty table gives an empty result; other columns are not read.
+    result; a null id has no links and stays. An empty table gives an empty result; other columns are not read. Ids are
+    cast to long: those that are no numbers raise. Vectors are compared whole, however long. n different vectors that all
+    meet in one cell are dealt as n * n / 768 rows, as the links between them have to be counted.
     """
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))

@@ -101,7 +101,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs``, all columns, of which no earlier equal text exists.
 
     Rows that repeat the id and the text that stay are all kept if ``repeats`` is set, else the first of them by all
-    their columns that have an order; so are rows of a text that only null ids have.
+    their columns that have an order; so are rows of a text that only null ids have. Null texts count as empty; texts are
+    compared whole; an empty table gives an empty result.
     """
     index, _ = build_index(docs, id_col, text_col)
     key = lambda row_id: [F.coalesce(row_id.cast("string"), F.lit("")).alias("x_id"), row_id.isNull().alias("x_null")]

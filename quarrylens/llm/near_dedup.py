@@ -247,7 +247,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Texts are linked from a weighted Jaccard similarity of 0.8 of their shingles of five words; texts of the same
     words are one. Texts without words (null, empty) and null ids are classes of their own. Rows that repeat an id
     share its class, and the id stands for all of their texts. An empty table gives an empty result; only the
-    two named columns are read.
+    two named columns are read. Ids are cast to long: those that are no numbers raise. Texts are compared whole, however
+    long; one text's shingles have to fit in a task.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, id_col, text_col), "signatures")
@@ -306,7 +307,8 @@ def _classes_of_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of rows, all columns: that of the smallest id (null is the largest), then text.
 
-    Rows count each, also those that repeat an id. Rows of texts without words all stay.
+    Rows count each, also those that repeat an id. Rows of texts without words all stay. An empty table gives an empty
+    result; ids that are no numbers raise; texts are compared whole.
     """
     rows = _numbered(docs)
     texts = rows.select("n", F.col("row").getField(id_col).cast("long").alias("id"), F.col("row").getField(text_col).alias("text"))

@@ -218,7 +218,11 @@ def encode(docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "d
 
 
 def decode(rows: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row: id and text; null ids give null, no ids the empty text."""
+    """One row per row: id and text; null ids give null, no ids the empty text.
+
+    Lists of any length are decoded whole; repeated rows give repeated results; an empty table an empty one; only the two
+    named columns are read.
+    """
     kind_of_id = rows.schema[id_col].dataType.simpleString()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

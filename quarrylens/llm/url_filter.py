@@ -131,7 +131,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, liste
     The longest fitting rule decides (of equally long ones the first); else a host is blocked if it or a domain
     above it is listed. Null urls and urls without '://' have empty host and path and are allowed. An empty table
     gives an empty result; only the two named columns are read. ``rules`` become one expression: keep them to
-    some hundreds; long lists belong in ``listed``.
+    some hundreds; long lists belong in ``listed``. Repeated rows give repeated results; urls are read whole, however long.
     """
     spark: SparkSession = pages.sparkSession
     host, path = host_and_path(F.col(url_col))

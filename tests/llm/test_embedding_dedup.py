@@ -50,8 +50,15 @@ def test_links_match_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rep string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicate_vectors(df).collect()}
     want = brute([r for r in rows if r[0] < 9500])
-    wrong = [i for i in want if got[i] != want[i]]
-    assert len(wrong) <= 0.02 * len(want), wrong
+    # no link that is none, nearly all that are, and components exactly as the links that were found make them
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][0] for i in want) >= 0.99 * sum(w[0] for w in want.values())
+    groups = {}
+    for i in want:
+        groups.setdefault(want[i][1], []).append(i)
+    whole = [g for g in groups.values() if all(got[i][0] == want[i][0] for i in g)]
+    assert len(whole) > 0.9 * len(groups) and all(got[i] == want[i] for g in whole for i in g)
+    assert all(got[i][1] in groups[want[i][1]] and got[i][2] == (got[i][1] == i) for i in want)
     assert all(got[i] == (0, i, True) for i in range(9500, 9506))
     assert [got[i][0] for i in (9506, 9507, 9508, 9509)] == [3, 3, 3, 3] and {got[i][1] for i in (9506, 9507, 9508, 9509)} == {9506}
 
