@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by hash of the keys over all ``spark.sql.shuffle.partitions``, however few its bytes: for rows that the next
+    step makes many times larger, which adaptive coalescing cannot foresee."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: later jobs neither repeat nor lose it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

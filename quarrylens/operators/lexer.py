@@ -1,7 +1,7 @@
 """The token table: one row per token of every SQL unit, with statement, parenthesis group, clause and slot.
 
-All structure is windows over (path, unit) and then (path, unit, stmt[, grp]), so the table is shuffled once by
-unit and every window reuses that partitioning.
+The texts of units are shuffled once, before they are lexed; all structure is windows over (path, unit) and then
+(path, unit, stmt[, grp]), which reuse that partitioning.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import spread
 from quarrylens.functions.text import NAME, newlines, plain_name
 
 #: String, comment, host variable, dotted name (may end in .*), number, operator, line feed, blanks, anything.
@@ -24,11 +25,16 @@ def tokens(units: DataFrame) -> DataFrame:
     word is the token as compared; blank tells whether white space or a comment precedes. Lines are original ones:
     logical line numbers are looked up in ``origin`` where that is not null.
     """
+    # a unit's text is shuffled, not its tokens; of the file's line numbers its own go with it, on its first token alone
+    units = spread(units.select("path", "unit", "first", "text", F.slice("origin", F.col("first").cast("int"), newlines(F.col("text")) + 1).alias("origin")), *_U)
     rows = units.select("path", "unit", "first", "origin", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(1))).alias("pos", "tok"))
+    rows = rows.withColumn("origin", F.when(F.col("pos") == 0, F.col("origin")))
     order = Window.partitionBy(*_U).orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     noise = F.col("tok").rlike(r"(?s)\A(?:\s+|--.*|/\*.*)\z")
-    rows = rows.withColumn("at", F.col("first") + F.coalesce(F.sum(newlines(F.col("tok"))).over(so_far), F.lit(0)))
+    rows = rows.withColumn("at", F.coalesce(F.sum(newlines(F.col("tok"))).over(so_far), F.lit(0)))
+    told = F.first("origin").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("line", F.coalesce(F.try_element_at(told, (F.col("at") + 1).cast("int")), F.col("first") + F.col("at")).cast("int")).drop("origin")
     rows = rows.withColumn("blank", F.coalesce(F.lag(noise).over(order), F.lit(True))).where(~noise)
     kind = (
         F.when(F.col("tok").startswith("'"), "str")
@@ -40,8 +46,7 @@ def tokens(units: DataFrame) -> DataFrame:
     )
     dotted = F.array_join(F.transform(F.regexp_extract_all("tok", F.lit(f"({NAME})"), F.lit(1)), plain_name), ".")
     word = F.when(kind == "host", F.upper(F.regexp_replace("tok", r"^:\s*", ""))).when(kind.isin("name", "star"), dotted).otherwise(F.col("tok"))
-    line = F.coalesce(F.try_element_at("origin", F.col("at").cast("int")), F.col("at")).cast("int")
-    return rows.select("path", "unit", "pos", "tok", word.alias("word"), kind.alias("kind"), "blank", line.alias("line"))
+    return rows.select("path", "unit", "pos", "tok", word.alias("word"), kind.alias("kind"), "blank", "line")
 
 
 def structured(toks: DataFrame) -> DataFrame:
@@ -78,8 +83,8 @@ def structured(toks: DataFrame) -> DataFrame:
     return rows.withColumn("slot", F.sum((F.col("tok") == ",").cast("int")).over(in_part)).drop("height")
 
 
-def group_owners(rows: DataFrame) -> DataFrame:
-    """(path, unit, stmt, grp, owner, up_clause, up_part, up_branch, up_slot) of every parenthesis group.
+def placed(rows: DataFrame) -> DataFrame:
+    """The structured tokens with owner, and clause, part, branch and slot as seen from the owner (own_clause ...).
 
     A group whose first token is SELECT or WITH is its own owner; others belong to the nearest such group around
     them, or to the statement (-1), at the clause and slot where their outermost parenthesis stands. Parentheses of
@@ -88,24 +93,20 @@ def group_owners(rows: DataFrame) -> DataFrame:
     key = [*_U, "stmt"]
     order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     in_group = Window.partitionBy(*key, "grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.struct("grp", "clause", "part", "branch", "slot")
+    state = F.struct("clause", "part", "branch", "slot")
     opens = F.col("tok") == "("
     query = F.coalesce(F.first(F.when(opens, F.col("n1").isin("SELECT", "WITH"))).over(in_group), F.lit(False)) & (F.col("grp") >= 0)
-    at = rows.select(*key, "pos", "tok", "grp", F.col("level").cast("int").alias("level"), state.alias("state"), query.alias("query"))
+    at = rows.withColumn("query", query)
     height = F.sum(F.when(F.col("query") & opens, 1).when(F.col("query") & (F.col("tok") == ")"), -1).otherwise(0)).over(order)
-    at = at.withColumn("height", height).withColumn("depth", F.col("height") - F.least(F.lit(0), F.min("height").over(order)))
-    at = at.withColumn("around", F.when(F.col("query") & (F.col("tok") == ")"), F.col("depth") + 1).otherwise(F.col("depth")))
+    at = at.withColumn("height", height).withColumn("nest", F.col("height") - F.least(F.lit(0), F.min("height").over(order)))
+    at = at.withColumn("around", F.when(F.col("query") & (F.col("tok") == ")"), F.col("nest") + 1).otherwise(F.col("nest")))
     along = Window.partitionBy(*key, "around").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("owner", F.when(F.col("around") == 0, -1).otherwise(F.coalesce(F.last(F.when(opens & F.col("query"), F.col("pos")), ignorenulls=True).over(along), F.lit(-1))))
+    at = at.withColumn("within", F.when(F.col("around") == 0, -1).otherwise(F.coalesce(F.last(F.when(opens & F.col("query"), F.col("pos")), ignorenulls=True).over(along), F.lit(-1))))
     # the owner's state just before the outermost parenthesis: that of the owner's last token so far
-    at = at.withColumn("up", F.last(F.when(F.col("grp") == F.col("owner"), F.col("state")), ignorenulls=True).over(along))
-    return at.where(opens).select(*key, "grp", F.col("query").alias("own"), "owner", F.col("up.clause").alias("up_clause"), F.col("up.part").alias("up_part"), F.coalesce("up.branch", F.lit(0)).alias("up_branch"), F.col("up.slot").alias("up_slot"))
-
-
-def placed(rows: DataFrame) -> DataFrame:
-    """The structured tokens with owner, and clause, part, branch and slot as seen from the owner (own_clause ...)."""
-    key = [*_U, "stmt", "grp"]
-    found = rows.join(group_owners(rows), key, "left")
-    own = F.col("grp") == F.coalesce("owner", F.lit(-1))
-    pick = lambda c: F.when(F.col("owner").isNull() | own, F.col(c)).otherwise(F.col(f"up_{c}"))
-    return found.select(*rows.columns, F.coalesce("owner", F.lit(-1)).alias("owner"), *[pick(c).alias(f"own_{c}") for c in ("clause", "part", "branch", "slot")])
+    at = at.withColumn("up", F.last(F.when(F.col("grp") == F.col("within"), state), ignorenulls=True).over(along))
+    # a group's first token is its parenthesis, which tells the place of all of it
+    head = F.first(F.when(opens, F.struct("within", "up"))).over(in_group)
+    at = at.withColumn("head", head).withColumn("owner", F.coalesce("head.within", F.lit(-1)))
+    own = F.col("head").isNull() | (F.col("grp") == F.col("owner"))
+    up = {"branch": F.coalesce("head.up.branch", F.lit(0))}
+    return at.select(*rows.columns, "owner", *[F.when(own, F.col(c)).otherwise(up.get(c, F.col(f"head.up.{c}"))).alias(f"own_{c}") for c in ("clause", "part", "branch", "slot")])

@@ -12,37 +12,37 @@ COBOL_KINDS = ["COBOL", "COPYBOOK", "DCLGEN"]
 SKIPPED = ["INCLUDE", "WHENEVER", "COMMIT", "ROLLBACK", "OPEN", "CLOSE", "CONNECT", "SET", "BEGIN", "END", "PREPARE", "EXECUTE", "DESCRIBE"]
 
 
-def is_free_format(lines: Column) -> Column:
-    """By directive in the first 200 lines, or where over a fifth of the first 500 non-blank lines have other than digits in columns 1-6."""
-    told = F.exists(F.slice(lines, 1, 200), lambda x: x.rlike(r"(?i)>>\s*SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?FREE"))
-    sample = F.slice(F.filter(lines, lambda x: F.trim(x) != ""), 1, 500)
-    odd = F.size(F.filter(sample, lambda x: ~F.rpad(F.substring(x, 1, 6), 6, " ").rlike(r"^(?:[0-9 ]{6})$")))
-    return told | (odd > 0.2 * F.size(sample))
+def is_free_format(text: Column, sample: Column) -> Column:
+    """By directive in the first 200 lines, or where over a fifth of the first 500 non-blank lines (``sample``) are coded:
+    columns 1-6 hold other than one number, or none, between blanks."""
+    told = F.substring_index(text, "\n", 200).rlike(r"(?i)>>[^\S\n]*SOURCE[^\S\n]+(?:FORMAT[^\S\n]+)?(?:IS[^\S\n]+)?FREE")
+    coded = F.size(F.filter(sample, lambda x: ~F.substring(x, 1, 6).rlike(r"^\s*[0-9]*\s*$")))
+    return told | (coded > 0.2 * F.size(sample))
+
+
+def logical_lines(lines: Column, free: Column) -> Column:
+    """array<struct<line, code, more>>: columns 8-72 of fixed format without comments, continuations told by ``more``; free format as it is."""
+    mark = lambda x: F.substring(x, 7, 1)
+    fixed = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.when(~mark(x).isin("*", "/", "D", "d"), F.rtrim(F.substring(x, 8, 65))).alias("code"), (mark(x) == "-").alias("more")))
+    fixed = F.filter(fixed, lambda x: x["code"] != "")
+    loose = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.when(~F.ltrim(x).startswith("*>") & (F.trim(x) != ""), F.rtrim(x)).alias("code"), F.lit(False).alias("more")))
+    return F.when(free, F.filter(loose, lambda x: x["code"].isNotNull())).otherwise(fixed)
 
 
-def logical_lines(text: Column) -> Column:
-    """array<struct<line, code>>: columns 8-72 of fixed format without comments, continuations spliced; free format as it is.
+def cobol_blobs(files: DataFrame) -> DataFrame:
+    """Adds blob (logical lines joined by line feeds) and origin (the original number of each).
 
     A continuation (column 7 is '-') is joined, left-stripped, to the line before it, whose number it takes.
     """
-    lines = F.split(text, "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw")))
-    mark = lambda x: F.substring(x["raw"], 7, 1)
-    fixed = F.filter(numbered, lambda x: ~mark(x).isin("*", "/", "D", "d"))
-    fixed = F.transform(fixed, lambda x: F.struct(x["line"].alias("line"), F.rtrim(F.substring(x["raw"], 8, 65)).alias("code"), (mark(x) == "-").alias("more")))
-    fixed = F.filter(fixed, lambda x: x["code"] != "")
-    free = F.filter(numbered, lambda x: ~F.ltrim(x["raw"]).startswith("*>") & (F.trim(x["raw"]) != ""))
-    free = F.transform(free, lambda x: F.struct(x["line"].alias("line"), F.rtrim(x["raw"]).alias("code"), F.lit(False).alias("more")))
-    return F.when(is_free_format(lines), free).otherwise(fixed)
-
-
-def cobol_blobs(files: DataFrame) -> DataFrame:
-    """Adds blob (logical lines joined by line feeds) and origin (the original number of each)."""
-    rows = files.withColumn("logical", logical_lines(F.col("text")))
+    # a column a step: each is made once a file, however often the next one reads it
+    rows = files.withColumn("lines", F.split("text", "\n", -1))
+    rows = rows.withColumn("sample", F.slice(F.filter("lines", lambda x: F.trim(x) != ""), 1, 500))
+    rows = rows.withColumn("free", is_free_format(F.col("text"), F.col("sample")))
+    rows = rows.withColumn("logical", logical_lines(F.col("lines"), F.col("free")))
     # a line feed before every line that does not continue another
     joined = F.array_join(F.transform("logical", lambda x: F.when(x["more"], F.ltrim(x["code"])).otherwise(F.concat(F.lit("\n"), x["code"]))), "")
     rows = rows.withColumn("blob", F.regexp_replace(joined, r"\A\n", ""))
-    return rows.withColumn("origin", F.transform(F.filter("logical", lambda x: ~x["more"]), lambda x: x["line"])).drop("logical")
+    return rows.withColumn("origin", F.transform(F.filter("logical", lambda x: ~x["more"]), lambda x: x["line"])).drop("lines", "sample", "free", "logical")
 
 
 def embedded_sql(blobs: DataFrame) -> DataFrame:

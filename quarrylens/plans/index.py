@@ -210,7 +210,7 @@ def _update(spark: SparkSession, path: str, old: Index | None, roots: str | list
             files, units = read_library(spark, roots, wanted, threshold)
             files = written(files, "scanned")
             facts = extract(files, units)
-            tokens = written(lexer.placed(written(facts.pop("tokens"), "lexed")), "tokens")
+            tokens = written(lexer.placed(facts.pop("tokens")), "tokens")
             store("tokens", tokens)
             store("files", files.drop("text"))
             for name, rows in {**facts, **token_facts(tokens, files)}.items():

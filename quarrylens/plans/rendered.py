@@ -13,7 +13,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.functions.storage import written
+from quarrylens.functions.storage import spread, written
 from quarrylens.functions.text import dsn_parts, library_of, masked, member_of
 from quarrylens.functions.vendor import classified
 from quarrylens.operators import definitions, jobs, lexer, lines, references, scripts
@@ -59,13 +59,13 @@ def _script(spark: SparkSession, text: str) -> DataFrame:
 
 def _units(files: DataFrame, embedded: bool) -> DataFrame:
     if embedded:
-        return lines.embedded_sql(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
+        return lines.embedded_sql(lines.cobol_blobs(spread(files.select("path", "text"), "path"))).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
     return files.select("path", F.lit(0).alias("unit"), F.lit(1).cast("long").alias("first"), F.lit(None).cast("array<int>").alias("origin"), "text")
 
 
 def _placed(units: DataFrame) -> DataFrame:
-    """Placed tokens, written, as groups are found from the same rows."""
-    return written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    """Placed tokens, written, as many joins read them."""
+    return written(lexer.placed(lexer.structured(lexer.tokens(units))), "tokens")
 
 
 def _tokens(files: DataFrame, embedded: bool = False) -> DataFrame:
@@ -269,7 +269,7 @@ def chunked_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     told = F.explode(F.array(F.struct((key * 2).alias("id"), _text("SELECT A FROM SHOP.T", key, " WHERE B = 'x; -- ").alias("value")), F.struct((key * 2 + 1).alias("id"), F.lit("DELETE FROM SHOP.GHOST; it''s' /* ; ' */;").alias("value"))))
     script = rows.select(F.lit("/L/ALL.sql").alias("path"), F.floor(key / 97).alias("block"), told.alias("t")).select("path", "block", "t.id", "t.value")
-    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(scripts.statement_units(scripts.line_chunks(script, 16)))), "lexed")), "tokens")
+    toks = written(lexer.placed(lexer.structured(lexer.tokens(scripts.statement_units(scripts.line_chunks(script, 16))))), "tokens")
     return references.table_references(toks).select("table_name", "access", F.col("line").cast("long").alias("line"))
 
 
@@ -280,7 +280,7 @@ def assembled_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     fill = F.when(key % 2 == 0, _text("    MOVE 'SHOP.T", key, "' TO W-TAB.")).otherwise("    ACCEPT W-TAB.")
     files = artifacts(rows, "L", _text("Q", key), fixed(["IDENTIFICATION DIVISION.", "01  W-VERB PIC X(9) VALUE 'DELETE '.", "PROCEDURE DIVISION.", fill, "    STRING W-VERB 'FROM ' W-TAB", "      ' WHERE A = 1' DELIMITED BY SIZE INTO W.", "    EXEC SQL PREPARE S1 FROM :W END-EXEC."]))
     units = definitions.assembled_units(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
-    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    toks = written(lexer.placed(lexer.structured(lexer.tokens(units))), "tokens")
     return references.table_references(toks).select(member_of(F.col("path")).alias("member"), "table_name", "access", "line")
 
 
@@ -355,7 +355,7 @@ def dynamic_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(key % 2 == 0, "    EXEC SQL PREPARE S1 FROM :W END-EXEC.").otherwise("    DISPLAY W.")
     files = artifacts(rows, "L", _text("Y", key), fixed(["IDENTIFICATION DIVISION.", "PROCEDURE DIVISION.", _text("    MOVE 'DELETE FROM SHOP.T", key, "' TO W."), last]))
     units = definitions.dynamic_units(lines.cobol_blobs(files)).select("path", "unit", F.col("first").cast("long").alias("first"), "origin", "text")
-    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    toks = written(lexer.placed(lexer.structured(lexer.tokens(units))), "tokens")
     return references.table_references(toks).select(member_of(F.col("path")).alias("member"), "table_name", "access", "line")
 
 

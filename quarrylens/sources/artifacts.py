@@ -60,7 +60,8 @@ def read_library(spark: SparkSession, roots: str | list[str], wanted: DataFrame
     whole = big.join(size, "path").where("bytes - length in (0, 1)").select("path")
     chunks = written(line_chunks(found.join(whole, "path", "left_semi")), "chunks")
     heads = chunks.groupBy("path").agg(F.min_by("text", F.struct("block", "chunk")).alias("head"))
-    heads = written(heads.select("path", kind_of(masked(F.col("head")), F.col("path")).alias("kind")), "heads")
+    heads = heads.select("path", masked(F.col("head")).alias("bare"))
+    heads = written(heads.select("path", kind_of(F.col("bare"), F.col("path")).alias("kind")), "heads")
     scripts = heads.where(F.col("kind").isin(*SCRIPTS))
     rest = chunks.join(heads.join(scripts, "path", "left_anti"), "path", "left_semi").groupBy("path")
     rest = rest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "chunk", "text"))), lambda x: x["text"]), "").alias("text"))
@@ -112,4 +113,6 @@ def kind_of(text: Column, path: Column) -> Column:
 def with_text(rows: DataFrame) -> DataFrame:
     """Adds text and kind; content is dropped. Null content is an unreadable file: text stays null, kind UNKNOWN."""
     rows = rows.withColumn("text", decoded(F.col("content"))).drop("content")
-    return rows.withColumn("kind", F.when(F.col("text").isNotNull(), kind_of(masked(F.col("text")), F.col("path"))).otherwise("UNKNOWN"))
+    # a column of its own: each test of the kind reads the masked text, which is made once
+    rows = rows.withColumn("bare", masked(F.col("text")))
+    return rows.withColumn("kind", F.when(F.col("text").isNotNull(), kind_of(F.col("bare"), F.col("path"))).otherwise("UNKNOWN")).drop("bare")

@@ -302,7 +302,7 @@ def test_uses_that_no_definition_or_list_tells(spark):
 
     texts = ["CREATE TABLE R.T (A INTEGER, B CHAR(1));", "INSERT INTO R.T VALUES (:X, :Y);", "INSERT INTO R.NONE VALUES (:X);", "DELETE FROM R.T C WHERE C.GONE = :Z;", "SELECT A FROM R.T GROUP BY A HAVING MAX(B) > 1 AND A > :H;", "UPDATE R.T SET (A, B) = (:P, :Q), A = B WHERE A NOT IN (:I, :J);"]
     units = spark.createDataFrame([(str(i), 0, 1, None, t) for i, t in enumerate(texts)], "path string, unit int, first long, origin array<int>, text string")
-    toks = written(lexer.placed(written(lexer.structured(lexer.tokens(units)), "lexed")), "tokens")
+    toks = written(lexer.placed(lexer.structured(lexer.tokens(units))), "tokens")
     files = spark.createDataFrame([("0", "DDL", "SQL")], "path string, member string, kind string")
     known = written(definitions.known_columns(definitions.defined_columns(toks), files), "known")
     found, holes, _ = column_uses(toks, known)
