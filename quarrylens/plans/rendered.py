@@ -263,6 +263,15 @@ def tuple_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _uses(spark, artifacts(rows, "L", _text("Z", key, ".sql"), text)).select("member", "column", "table", "access", "context", "host_var", "line")
 
 
+def outer_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlated subqueries: a qualifier of a block around, one or two levels out, names that block's table."""
+    rows = _table(spark, sf_dir, "supplier", "s_suppkey")
+    key = F.col("s_suppkey")
+    one = _text("DELETE FROM SHOP.ORDERS O\n WHERE EXISTS (SELECT 1 FROM SHOP.PART P\n WHERE P.BRAND = O.ORDER_ID AND O.TOTAL > :T", key, ");")
+    two = F.lit("SELECT O.STATUS FROM SHOP.ORDERS O WHERE ORDER_ID IN (SELECT BRAND FROM SHOP.PART P\n WHERE TYPE IN (SELECT TYPE FROM SHOP.PART Q WHERE Q.PART_ID = O.TOTAL\n AND BRAND = P.TYPE UNION SELECT STATUS FROM SHOP.ORDERS P WHERE P.TOTAL = 1));")
+    return _uses(spark, artifacts(rows, "L", _text("Q", key, ".sql"), F.when(key % 2 == 0, one).otherwise(two))).select("member", "column", "table", "context", "host_var", "line")
+
+
 def chunked_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One script of two lines a part, its literals and comments full of ';', in blocks and chunks that cut through them."""
     rows = _table(spark, sf_dir, "part", "p_partkey")
@@ -410,6 +419,7 @@ _SQL = {
     "chunked_statements": "SELECT 'T' || p_partkey AS table_name, 'READ' AS access, 2 * row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part",
     "assembled_sql": "SELECT 'Q' || s_suppkey AS member, 'T' || s_suppkey AS table_name, 'WRITE' AS access, 5 AS line FROM supplier WHERE s_suppkey % 2 = 0",
     "undefined_columns": "SELECT 'N' || s_suppkey AS member, n AS \"column\", a AS access, c AS context, h || CASE h WHEN 'H' THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('GONE', 'READ', 'SELECT', '', 1, 0), ('GONE', 'READ', 'WHERE', 'X', 1, 0), ('GONE', 'READ', 'ORDER BY', '', 2, 0), ('GONE', 'READ', 'WHERE', '', 1, 1), ('STATUS', 'WRITE', 'SET', '', 1, 2), ('GONE', 'READ', 'WHERE', 'H1', 2, 2), ('GONE', 'READ', 'WHERE', 'H', 2, 2), ('TOTAL', 'READ', 'WHERE', '', 2, 2)) v(n, a, c, h, l, m) WHERE s_suppkey % 3 = m",
+    "outer_qualifiers": "SELECT 'Q' || s_suppkey AS member, n AS \"column\", t AS \"table\", c AS context, CASE h WHEN 'T' THEN 'T' || s_suppkey ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('BRAND', 'PART', 'WHERE', '', 3, 0), ('ORDER_ID', 'ORDERS', 'WHERE', '', 3, 0), ('TOTAL', 'ORDERS', 'WHERE', 'T', 3, 0), ('STATUS', 'ORDERS', 'SELECT', '', 1, 1), ('ORDER_ID', 'ORDERS', 'WHERE', '', 1, 1), ('BRAND', 'PART', 'SELECT', '', 1, 1), ('TYPE', 'PART', 'WHERE', '', 2, 1), ('TYPE', 'PART', 'SELECT', '', 2, 1), ('PART_ID', 'PART', 'WHERE', '', 2, 1), ('TOTAL', 'ORDERS', 'WHERE', '', 2, 1), ('BRAND', 'PART', 'WHERE', '', 3, 1), ('TYPE', 'PART', 'WHERE', '', 3, 1), ('STATUS', 'ORDERS', 'SELECT', '', 3, 1), ('TOTAL', 'ORDERS', 'WHERE', '', 3, 1)) v(n, t, c, h, l, m) WHERE s_suppkey % 2 = m",
     "tuple_set": "SELECT 'Z' || s_suppkey AS member, n AS \"column\", t AS \"table\", a AS access, c AS context, h || CASE h WHEN 'S' THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS host_var, l AS line FROM supplier, (VALUES ('STATUS', 'ORDERS', 'WRITE', 'SET', 'S', 1, 0), ('TOTAL', 'ORDERS', 'WRITE', 'SET', 'T', 1, 0), ('ORDER_ID', 'ORDERS', 'WRITE', 'SET', 'K', 1, 0), ('STATUS', 'ORDERS', 'READ', 'WHERE', '', 2, 0), ('STATUS', 'ORDERS', 'WRITE', 'SET', '', 1, 1), ('TOTAL', 'ORDERS', 'WRITE', 'SET', '', 1, 1), ('TYPE', 'PART', 'READ', 'SELECT', '', 2, 1), ('PART_ID', 'PART', 'READ', 'SELECT', '', 2, 1), ('BRAND', 'PART', 'READ', 'WHERE', 'B', 2, 1)) v(n, t, a, c, h, l, m) WHERE s_suppkey % 2 = m",
     "create_index_columns": "SELECT 'X' || s_suppkey AS member, n AS \"column\", 'PART' AS \"table\", 'READ' AS access FROM supplier, (VALUES ('BRAND'), ('PART_ID')) v(n)",
     "alter_add_columns": "SELECT 'A' || s_suppkey AS \"table\", CASE i WHEN 0 THEN 'K' WHEN 1 THEN 'V' ELSE 'W' || (s_suppkey % 3) END AS name, CAST(i AS INT) AS seq, CASE i WHEN 0 THEN 'INTEGER NOT NULL' WHEN 1 THEN 'CHAR(2)' ELSE 'DECIMAL(7,2)' END AS sql_type, i > 0 AS nullable FROM supplier, range(3) r(i)",
@@ -424,7 +434,7 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (merge_columns, union_branches, star_expansion, insert_from_select, undefined_columns, tuple_set, chunked_statements, assembled_sql, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
+    plain = (merge_columns, union_branches, star_expansion, insert_from_select, undefined_columns, tuple_set, outer_qualifiers, chunked_statements, assembled_sql, create_index_columns, alter_add_columns, free_format_lines, copybook_reach, deck_wiring, proc_expansion, dynamic_sql, mask_sql, cobol_logical_lines, paren_depth, table_refs_by_access, writers_only, table_listing, group_order_by, cursor_fetch, deck_columns, ddl_columns, dclgen_bindings, call_depths, vendor_calls, job_steps, dataset_lineage, view_targets, data_set_names, artifact_kinds)
     uses = {"select_into_pairing": "SELECT", "where_predicates": "WHERE", "update_set_writes": "SET", "insert_columns": "INSERT"}
     return {f.__name__: f for f in plain} | {name: _order_uses(context) for name, context in uses.items()}
 

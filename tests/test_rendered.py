@@ -8,7 +8,7 @@ from quarrylens.plans import rendered
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["mask_sql", "cobol_logical_lines", "data_set_names", "vendor_calls", "job_steps", "call_depths", "undefined_columns", "tuple_set", "chunked_statements", "assembled_sql"])
+@pytest.mark.parametrize("name", ["mask_sql", "cobol_logical_lines", "data_set_names", "vendor_calls", "job_steps", "call_depths", "undefined_columns", "tuple_set", "outer_qualifiers", "chunked_statements", "assembled_sql"])
 def test_rendered_query(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "events"):
