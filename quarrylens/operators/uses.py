@@ -48,8 +48,8 @@ def block_tables(rows: DataFrame) -> DataFrame:
     return names.join(counted.select(*_BLOCK, "first", "multi"), _BLOCK)
 
 
-def _outer_tables(rows: DataFrame, bound: DataFrame, tables: DataFrame) -> DataFrame:
-    """(key, pos, outer_table) of names whose qualifier the own block lacks: the table of the nearest block around that has it.
+def _qualified(rows: DataFrame, names: DataFrame, tables: DataFrame) -> DataFrame:
+    """(key, pos, by_alias) of qualified names: the table of the nearest block around, its own first, that has the qualifier.
 
     A block reaches from its first token to the next branch of its UNION or to its closing parenthesis; the statement's
     own to the end.
@@ -57,10 +57,10 @@ def _outer_tables(rows: DataFrame, bound: DataFrame, tables: DataFrame) -> DataF
     branches = Window.partitionBy(*_KEY, "owner").orderBy("own_branch")
     extent = rows.groupBy(*_BLOCK).agg(F.min("pos").alias("low"), F.max("pos").alias("last"))
     extent = extent.withColumn("high", F.coalesce(F.lead("low").over(branches) - 1, F.when(F.col("owner") >= 0, F.col("last"))))
-    around = tables.select(*_BLOCK, F.col("alias").alias("qualifier"), F.col("table").alias("outer_table")).join(extent, _BLOCK)
-    lost = bound.where((F.col("qualifier") != "") & F.col("by_alias").isNull()).select(*_KEY, "pos", "qualifier")
-    found = lost.join(around, [*_KEY, "qualifier"]).where((F.col("low") < F.col("pos")) & (F.col("high").isNull() | (F.col("pos") <= F.col("high"))))
-    return found.groupBy(*_KEY, "pos").agg(F.max_by("outer_table", "owner").alias("outer_table"))
+    around = tables.select(*_BLOCK, F.col("alias").alias("qualifier"), F.col("table").alias("of")).join(extent, _BLOCK)
+    found = names.where("qualifier <> ''").select(*_KEY, "pos", "qualifier").join(around, [*_KEY, "qualifier"])
+    found = found.where((F.col("low") <= F.col("pos")) & (F.col("high").isNull() | (F.col("pos") <= F.col("high"))))
+    return found.groupBy(*_KEY, "pos").agg(F.max_by("of", "owner").alias("by_alias"))
 
 
 def column_tokens(rows: DataFrame, known: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,8 +78,7 @@ def column_tokens(rows: DataFrame, known: DataFrame, tables: DataFrame) -> tuple
     can = can.withColumn("qualifier", qualifier).withColumn("name", name).where(~((F.col("qualifier") == "") & F.col("name").isin(*NOT_COLUMNS, "FULL", "TRUE", "FALSE", "UNKNOWN", "COLUMN")))
     # an alias without AS follows its expression: a name after a name or a closing parenthesis in a select list
     can = can.where(~((clause == "SELECT") & (p1.rlike(r"^[A-Z@#$][A-Z0-9@#$_]*$") & ~p1.isin(*NOT_COLUMNS) | (p1 == ")"))))
-    bound = can.join(tables.select(*_BLOCK, F.col("alias").alias("qualifier"), F.col("table").alias("by_alias")), [*_BLOCK, "qualifier"], "left")
-    bound = bound.join(_outer_tables(rows, bound, tables), [*_KEY, "pos"], "left").withColumn("by_alias", F.coalesce("by_alias", "outer_table"))
+    bound = can.join(_qualified(rows, can, tables), [*_KEY, "pos"], "left")
     only = tables.select(*_BLOCK, "first", "multi").distinct()
     bound = bound.join(only, _BLOCK, "left")
     owners = tables.select(*_BLOCK, "table").distinct().join(known.select("table", "name"), "table")
