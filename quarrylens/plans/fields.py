@@ -142,11 +142,15 @@ def program_field_dependencies(index: Index, program: str, include_read: bool =
     return FieldResult(name, frames)
 
 
-def boundary_fields(result: FieldResult) -> DataFrame:
-    """(table, column, direction, host_vars, pic, provenance): out is written, filter compared or ordered, in is read."""
+def boundary_fields(result: FieldResult, by_member: bool = False) -> DataFrame:
+    """(table, column, direction, host_vars, pic, provenance): out is written, filter compared or ordered, in is read.
+
+    ``by_member`` tells each member's exchange apart (first column), so that a row holds no more places than one file has.
+    """
+    keys = [*(["member"] if by_member else []), "table", "column", "direction"]
     uses, pics = result.frames["uses"], result.frames["bindings"].groupBy("table", "column").agg(F.max_by("pic", F.struct("path", "line")).alias("pic"))
     direction = F.when(F.col("access") == "WRITE", "out").when(F.col("context").isin(*FILTERS), "filter").otherwise("in")
-    rows = uses.withColumn("direction", direction).groupBy("table", "column", "direction").agg(
+    rows = uses.withColumn("direction", direction).groupBy(*keys).agg(
         F.sort_array(F.array_remove(F.collect_set("host_var"), "")).alias("host_vars"),
         F.transform(F.array_sort(F.collect_list(F.struct("member", "line", "path", "stmt", "context"))), lambda x: F.struct(x["path"].alias("path"), x["line"].alias("line"), x["stmt"].alias("stmt"), x["context"].alias("context"))).alias("provenance"),
     )

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from quarrylens.functions.storage import file_system, written
+from quarrylens.functions.storage import file_system, spread, written
 from quarrylens.functions.text import masked
 from quarrylens.operators import definitions, jobs, lexer, lines, references
-from quarrylens.sources.artifacts import CHUNK_THRESHOLD_BYTES, list_artifacts, read_library
+from quarrylens.sources.artifacts import CHUNK_THRESHOLD_BYTES, list_artifacts, no_units, read_library
 
 TABLES = ("files", "programs", "copy_refs", "calls", "tokens", "table_refs", "objects", "columns", "items", "steps", "dds", "blind_spots")
 #: Confidence of facts read off static statements, and of those recovered from literals of dynamic ones.
@@ -135,6 +135,13 @@ class Index:
         rows = self.spark.read.schema(place).option("basePath", f"{self.path}/data").parquet(*folders)
         return rows.where(F.concat_ws("/", "write", "bucket").isin(pairs)).drop("write", "of", "bucket")
 
+    @classmethod
+    def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Index:
+        """An index of the given tables, which no folder of its own holds."""
+        index = cls.__new__(cls)
+        index.spark, index.path, index.version, index.buckets, index.live, index.tables = spark, "", 0, 0, {}, dict(tables)
+        return index
+
     def __enter__(self) -> Index:
         return self
 
@@ -165,6 +172,21 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> In
     return Index(spark, path, version)
 
 
+def index_of(files: DataFrame) -> Index:
+    """An index of artifacts that a table holds instead of a folder: path, library, member, length, text and kind a row.
+
+    Facts are written to the shared folder, for this session alone. A null text is a file that cannot be read; an empty
+    table gives an empty index; of extra columns none is read. Paths have to be distinct.
+    """
+    spark = files.sparkSession
+    error = F.when(F.col("text").isNull(), "content could not be read")
+    files = written(spread(files.select("path", "library", "member", "length", "text", "kind"), "path").withColumns({"error": error, "chunked": F.lit(False)}), "files")
+    facts = extract(files, no_units(spark))
+    tokens = written(lexer.placed(facts.pop("tokens")), "tokens")
+    facts = {**facts, **token_facts(tokens, files)}
+    return Index.of(spark, {"files": files.drop("text"), "tokens": tokens, **{name: written(rows, name) for name, rows in facts.items()}})
+
+
 def bucket_of(path: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
@@ -301,4 +323,4 @@ def split_spec(spec: str) -> tuple[str, str]:
     return (parts[-2] if len(parts) > 1 else "", parts[-1])
 
 
-__all__ = ["CERTAIN", "DYNAMIC", "Index", "StageTimer", "build_index", "masked", "open_index", "split_spec", "stream_index", "table_listing", "vacuum"]
+__all__ = ["CERTAIN", "DYNAMIC", "Index", "StageTimer", "build_index", "index_of", "masked", "open_index", "split_spec", "stream_index", "table_listing", "vacuum"]

@@ -53,7 +53,7 @@ def read_library(spark: SparkSession, roots: str | list[str], wanted: DataFrame
     big = listed.where(F.col("length") > threshold)
     columns = [c for c in listed.columns if c != "uri"]
     if not big.limit(1).count():
-        return small, _no_units(spark)
+        return small, no_units(spark)
     found = written(_lines(spark, roots, threshold).join(big.select("uri", "path"), "uri").drop("uri"), "lines")
     # each line but perhaps the last ended in a line feed
     size = found.groupBy("path").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
@@ -72,7 +72,8 @@ def read_library(spark: SparkSession, roots: str | list[str], wanted: DataFrame
     return small.unionByName(large), statement_units(chunks.join(scripts, "path", "left_semi"))
 
 
-def _no_units(spark: SparkSession) -> DataFrame:
+def no_units(spark: SparkSession) -> DataFrame:
+    """No statements, in the columns that the lexer takes."""
     return spark.createDataFrame([], "path string, unit int, first long, origin array<int>, text string")
 
 
