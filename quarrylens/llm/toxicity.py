@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-The model learns from a bounded sample of labelled documents (``max_train``, chosen by a hash of the id over the
-whole table). L1 keeps few weights, so what is broadcast is at most 2**bits pairs. Every text is scored whole.
+The model learns from a bounded sample of labelled documents (``max_train`` rows and ``max_bytes``, chosen by a hash of
+the id over the whole table). L1 keeps few weights, so what is broadcast is at most 2**bits pairs. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
 _WORD = re.compile(rb"[a-z0-9'\x80-\xff]+")
 #: The bias of a model that learnt from no rows, or from rows of one label alone: a score of 0.018.
@@ -59,11 +59,12 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_train: int = 6000, bits: int = 20, epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias) from at most ``max_train`` labelled rows outside fold 0.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_train: int = 6000, bits: int = 20, epochs: int = 6, max_bytes: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coordinates, weights, bias) from at most ``max_train`` labelled rows outside fold 0, and ``max_bytes`` of their features.
 
     Null labels or ids are not learnt from; an id labelled twice counts as toxic if either says so; of the texts of a
-    repeated id the smallest is learnt. So at most ``max_train`` rows of hashed features reach the driver. Without
+    repeated id the smallest is learnt. Rows are taken in the order of the id's hash until their hashed features (four
+    bytes each, whole texts) would exceed ``max_bytes``; so much reaches the driver at most. Without
     labelled rows of both kinds the model has no weights and the bias ``UNTRAINED``: nothing is called toxic.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
@@ -75,9 +76,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [np.unique(features(t, bits)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label").cast(pa.int32()), pa.array([x.tobytes() for x in at], pa.binary())], ["id", "label", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label").cast(pa.int32()), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.nbytes for x in at], pa.int64())], ["id", "label", "at", "size"])
 
-    found = sorted(rows.mapInArrow(hashed, f"id {docs.schema[id_col].dataType.simpleString()}, label int, at binary").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    told = written(rows.mapInArrow(hashed, f"id {docs.schema[id_col].dataType.simpleString()}, label int, at binary, size long"), "sample")
+    # a row per sampled id, without its features
+    sizes = told.select("id", F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id")).alias("bytes"))
+    fits = F.broadcast(sizes.where(F.col("bytes") <= max_bytes).select("id"))
+    found = sorted(told.join(fits, "id", "left_semi").select("id", "label", "at").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     model = Ftrl(bits)
     toxic = sum(r["label"] for r in found)
     if toxic in (0, len(found)):

@@ -181,6 +181,22 @@ def test_toxicity_edges(spark):
     assert toxicity.without_toxic(docs(spark), labels).columns == ["doc_id", "text", "key"]
 
 
+def test_toxicity_learns_from_so_many_bytes(spark):
+    """Rows are taken in the order of the id's hash while their features fit; all that fit are learnt from as before."""
+    bad, good = "awful vile words here", "calm kind words there"
+    rows = [(i, bad if i % 2 else good) for i in range(1, 400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    whole = toxicity.train(table, labels)
+    size = 4 * len(np.unique(toxicity.features(bad, 20)))
+    n = table.where(toxicity.fold(toxicity.F.col("doc_id"), 5) != 0).count()
+    for kept in (n, 60):
+        at, w, bias = toxicity.train(table, labels, max_bytes=size * kept)
+        want = whole if kept == n else toxicity.train(table, labels, max_train=kept)
+        assert np.array_equal(at, want[0]) and np.array_equal(w, want[1]) and bias == want[2]
+    assert toxicity.train(table, labels, max_bytes=0)[2] == toxicity.UNTRAINED
+
+
 def test_toxic_weights_match_a_plain_ftrl(spark):
     """The learner by its definition, one coordinate at a time."""
     rng = np.random.default_rng(2)
