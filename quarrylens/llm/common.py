@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.functions.storage import shared_dir, written
+from quarrylens.functions.storage import shared_dir
+from quarrylens.functions.storage import stored as written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
