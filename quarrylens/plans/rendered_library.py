@@ -54,7 +54,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         artifacts(spark.range(1), "SHOP.DDL", F.lit("SHOP.sql"), F.lit(DDL + _VIEW)),
         artifacts(spark.range(1), "SHOP.DCL", F.lit("DCLORD"), fixed(_DCLGEN)),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return written(reduce(DataFrame.unionByName, parts), "answer")
 
 
 def _index(spark: SparkSession, sf_dir: str) -> Index:
@@ -79,7 +79,7 @@ def _answer(spark: SparkSession, sf_dir: str, include_read: bool) -> DataFrame:
         _facts("blind spot", f["blind_spots"], member_of(F.col("path")), words("kind", "detail"), "line"),
         *[_facts("note", x, "", F.col("note"), "") for x in result.notes_frames],
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return written(reduce(DataFrame.unionByName, parts), "answer")
 
 
 def table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +106,13 @@ def column_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _facts("note", f["notes"], "", F.col("note"), ""),
         _facts("blind spot", f["blind_spots"], member_of(F.col("path")), F.concat_ws(" ", "kind", "detail"), "line"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return written(reduce(DataFrame.unionByName, parts), "answer")
 
 
 def program_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each program exchanges with the table: a column's direction, host variables, picture and number of places."""
     result = field_dependencies(_index(spark, sf_dir), "SHOP.ORDERS")
-    rows = boundary_fields(result, by_member=True)
+    rows = written(boundary_fields(result, by_member=True), "answer")
     return rows.select("member", "table", "column", "direction", F.concat_ws(",", "host_vars").alias("host_vars"), "pic", F.size("provenance").alias("places"))
 
 
