@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrylens.operators import lexer
+from quarrylens.plans import rendered
 
 _UNITS = "path string, unit int, first long, origin array<int>, text string"
 
@@ -28,3 +29,8 @@ def test_odd_units(spark):
     star = next(r for (p, _), r in rows.items() if p == "d" and r.kind == "star")
     assert (star.word, star.clause, star.blank) == ("é.q", "SELECT", True)
     assert [r.blank for (p, _), r in rows.items() if r.tok == "u"] == [True]
+
+
+def test_declared_columns_are_written_before_they_are_returned(spark):
+    plan = rendered.queries()["ddl_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Join" not in plan
