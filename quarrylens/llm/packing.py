@@ -31,8 +31,8 @@ BLOCK = 1 << 20
 _UNSAFE = re.compile(r"\s \s")
 #: How byte-level vocabularies write a line feed.
 _NEWLINE = "\u010a"
-#: Bytes of pieces and ids that a worker remembers, about; then it starts anew.
-_CACHE_BYTES = 128 << 20
+#: Bytes of pieces and ids that a worker remembers, about; then it starts anew. Workers outlive the stage, and so does this.
+_CACHE_BYTES = 32 << 20
 
 
 #: Pieces of these characters alone are split alike by both libraries, whatever their Unicode tables.
