@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -37,6 +38,9 @@ _CACHE_BYTES = 32 << 20
 
 #: Pieces of these characters alone are split alike by both libraries, whatever their Unicode tables.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+\Z")
+#: Characters of a text of plain characters that is merged whole: most words of a corpus are rare, so looking them up costs
+#: more than merging them again. Longer ones go by pieces, as the splitting rule steps back over a run of white space.
+_WHOLE = 1 << 16
 #: The splitting rule of byte-level vocabularies: a fixed value.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -77,8 +81,8 @@ class WordTokenizer:
 
     The byte-level splitting rule always starts a new word at a space before a non-space, so the ids of a text are
     the ids of its pieces; texts with other runs of white space around a space are encoded whole. New pieces are
-    encoded many in one string and told apart by the byte lengths of their tokens. With ``ranks`` new pieces of plain
-    characters are merged by rank, which gives the same ids sooner.
+    encoded many in one string and told apart by the byte lengths of their tokens. With ``ranks`` texts of plain
+    characters, and new pieces of them in other texts, are merged by rank, which gives the same ids sooner.
     """
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
@@ -124,6 +128,13 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
+        if self.by_rank is None:
+            return self._by_pieces(texts)
+        whole = [len(t) <= _WHOLE and _PLAIN.match(t) is not None for t in texts]
+        rest = iter(self._by_pieces([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [np.asarray(array("I", self.by_rank.encode_ordinary(t))).astype("<u4").tobytes() if w else next(rest) for t, w in zip(texts, whole, strict=True)]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         if self.held > _CACHE_BYTES:
             self.known, self.held = {}, 0
         cut = [[t] if "\0" in t or _UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]

@@ -18,3 +18,14 @@ def test_remembered_pieces_are_bounded():
     assert 0 < most < 24 << 20
     last = tok.encode([text])[0]
     assert last == packing.WordTokenizer(path).encode([text])[0]
+
+
+def test_rare_words_of_plain_texts_are_not_remembered():
+    """Words that come once cost a worker no memory; ids are the library's, for texts at and beyond the bound too."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, plain = packing.WordTokenizer(path, packing.ranks_of(path)), packing.WordTokenizer(path)
+    texts = [" ".join(f"w{n}x" for n in range(i, i + 5_000)) for i in range(0, 20_000, 5_000)]
+    odd = ["", " ", "a" * packing._WHOLE, " " * packing._WHOLE, "a b " * (packing._WHOLE // 4) + "c", "中 a b", "a b  c", "\r\n \n x", "<|endoftext|> 's"]
+    assert tok.encode(texts) == plain.encode(texts)
+    assert not tok.known
+    assert tok.encode([*odd, *texts, *odd]) == plain.encode([*odd, *texts, *odd])
