@@ -25,11 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.storage import discard
+
 from .common import written
 
 ORDER = 5
-#: Bytes of text in a block, whose contexts are looked up together, and in a row of it.
-BLOCK_BYTES, ROW_BYTES = 48 << 20, 1 << 20
+#: Bytes of text in a block, whose contexts are looked up together, and in a row of it. A worker takes some 25 bytes a byte of a
+#: block, and keeps much of it for the stages after.
+BLOCK_BYTES, ROW_BYTES = 16 << 20, 1 << 20
 #: The mark before and after a word, and the end of a text; no word holds either byte.
 MARK, END = b" ", b"\n"
 SYMBOLS = 256
@@ -122,7 +125,7 @@ class _Block:
         self.grams.append(np.unique(grams[some & trains], return_counts=True))
         held = np.unique(grams[some & ~trains])
         self.grams.append((held, np.zeros(len(held), np.int64)))
-        if len(self.grams) > 24:
+        if len(self.grams) > 12:
             self.grams = [self.merged()]
         self.rows.append((self.ids, self.held, sizes, pa.compress(joined, codec="zstd", asbytes=True)))
         self.ids, self.held, self.streams, self.open = [], [], [], 0
@@ -163,7 +166,7 @@ def _blocks(across: bool, block_bytes: int):
 
 
 def coded(grams: DataFrame) -> DataFrame:
-    """(gram, logp) of every (context, symbol) in grams (gram, n), n being its count in training.
+    """(gram, logp), written, of every (context, symbol) in grams (gram, n), n being its count in training.
 
     Orders are worked from 0 upward. ``fresh`` is the log10 probability of the symbol in this context if no longer
     one is known; ``after`` that of the symbol one order down once this context has been escaped from, its symbols
@@ -179,7 +182,7 @@ def coded(grams: DataFrame) -> DataFrame:
         pairs[k] = written(own.unionByName(shorter).groupBy("gram").agg(F.sum("n").alias("n"), F.max("own").alias("own")), "pairs")
     context = F.shiftright("gram", 8)
     log = lambda x, y: F.log10(x) - F.log10(y)
-    below, out = None, None
+    below, out, orders = None, None, []
     for k in range(ORDER + 1):
         rows = pairs[k].withColumn("ctx", context)
         sums = [F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds")]
@@ -198,10 +201,16 @@ def coded(grams: DataFrame) -> DataFrame:
         size = F.col("total") + F.col("kinds")
         fresh = F.when(F.col("total") == 0, F.col("low_fresh")).when(F.col("n") > 0, log(F.col("n"), size)).otherwise(log(F.col("kinds"), size) + F.col("after"))
         rows = written(rows.select("gram", "n", "own", "total", "kinds", "after", fresh.alias("fresh")), "orders")
+        orders.append(rows)
+        if k < ORDER:
+            discard(pairs[k])
         below = rows.select(F.col("gram").alias("low"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"), F.col("after").alias("low_after"), F.col("fresh").alias("low_fresh"))
         own = rows.where("own").select("gram", F.col("fresh").alias("logp"))
         out = own if out is None else out.unionByName(own)
-    return out
+    lengths = written(out, "lengths")
+    for rows in orders:
+        discard(rows)
+    return lengths
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
@@ -225,7 +234,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known, floor = int(total["N"]), float(total["N"] + 0.1 * (total["V"] + 1))
 
     counts = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    lengths = written(coded(counts), "lengths")
+    lengths = coded(counts)
+    discard(counts)
     no_word, no_gram = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("gram")
     answers = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", no_word, F.col("logp").alias("value"))
     answers = answers.unionByName(counted.select("block", no_gram, "word", F.col("c").cast("double").alias("value")))
@@ -233,7 +243,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
         of_word = found.column("word").is_valid()
         own = found.filter(of_word).select(["word", "value"])
-        place = dict(zip(own.column("word").to_pylist(), range(own.num_rows), strict=True))
+        known_words = own.column("word").combine_chunks()
         count = own.column("value").to_numpy()
         base, seen = np.log10((count + 0.1) / floor), count > 0
         own = found.filter(pa.compute.invert(of_word)).select(["gram", "value"])
@@ -248,13 +258,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             value = np.zeros(len(codes))
             value[some] = logp[gram.get_indexer(codes[some])]
             scores = np.add.reduceat(value, np.cumsum(sizes) - sizes)
-            at = 0
-            for doc_id, h, size, score in zip(ids.as_py(), held.as_py(), sizes.tolist(), scores.tolist(), strict=True):
-                tokens = data[at : at + size].split()
+            at, tokens, ends = 0, [], []
+            for size in sizes.tolist():
+                tokens += data[at : at + size].split()
                 tokens.append(END)
                 at += size
-                where = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-                out.append((doc_id, h, len(tokens), int(seen[where].sum()), known, float(base[where].sum()), score))
+                ends.append(len(tokens))
+            where = pa.compute.index_in(pa.array(tokens, pa.binary()), value_set=known_words).to_numpy()
+            lens = np.diff(ends, prepend=0)
+            starts = ends - lens
+            hits, bases = np.add.reduceat(seen[where].astype(np.int64), starts), np.add.reduceat(base[where], starts)
+            out += zip(ids.as_py(), held.as_py(), lens.tolist(), hits.tolist(), [known] * len(ends), bases.tolist(), scores.tolist(), strict=True)
         types = [found_kind(texts), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, types, strict=True)], names)

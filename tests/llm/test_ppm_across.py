@@ -1,10 +1,14 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__
+from quarrylens.functions.storage import shared_dir
 from quarrylens.llm import ppm
 
 
@@ -51,3 +55,21 @@ def test_registered_query_tells_word_order(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.score for r in __spark_entry__.queries()["op7_lm_scoring"](spark, str(tmp_path)).collect()}
     assert got[0] > got[100] + 1
+
+
+def test_blocks_stay_small_and_what_is_read_no_more_is_deleted(spark):
+    """A worker holds 16 MB of text at a time; of the tables between stages only those that the answer reads are left."""
+    text = " ".join(f"w{n}" for n in range(100_000))
+    rows = [pa.RecordBatch.from_pydict({"id": [i], "text": [text]}) for i in range(30)]
+    held = {}
+    with mock.patch.object(ppm.TaskContext, "get", lambda: mock.Mock(partitionId=lambda: 0)):
+        for b in ppm._blocks(True, ppm.BLOCK_BYTES)(iter(rows)):
+            for block, sizes in zip(b.column("block").to_pylist(), b.column("sizes").to_pylist(), strict=True):
+                held[block] = held.get(block, 0) + sum(sizes or [])
+    assert len(held) > 1
+    assert max(held.values()) <= (16 << 20) + len(text) + 3
+
+    home = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(home.iterdir())
+    assert ppm.score_texts(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"), across=True).count() == 2
+    assert sorted(p.name.split("-")[0] for p in set(home.iterdir()) - before) == ["blocks", "lengths", "words"]
