@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -81,8 +82,12 @@ def grams_of(data: np.ndarray, across: bool) -> np.ndarray:
 
 
 def _summed(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(values, return_inverse=True)
-    return distinct, np.bincount(at, weights=weights, minlength=len(distinct)).astype(np.int64)
+    if not len(values):
+        return values, weights
+    order = np.argsort(values, kind="stable")  # sorted pieces, laid end to end, are merged
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.add.reduceat(weights[order], first)
 
 
 class _Block:
@@ -236,46 +241,94 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     lengths = coded(counts)
     discard(counts)
-    no_word, no_gram = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("gram")
-    answers = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", no_word, F.col("logp").alias("value"))
-    answers = answers.unionByName(counted.select("block", no_gram, "word", F.col("c").cast("double").alias("value")))
-
-    def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
-        of_word = found.column("word").is_valid()
-        own = found.filter(of_word).select(["word", "value"])
-        known_words = own.column("word").combine_chunks()
-        count = own.column("value").to_numpy()
-        base, seen = np.log10((count + 0.1) / floor), count > 0
-        own = found.filter(pa.compute.invert(of_word)).select(["gram", "value"])
-        del found
-        gram, logp = pd.Index(own.column("gram").to_numpy()), own.column("value").to_numpy()
-        out: list[tuple] = []
-        for ids, held, sizes, packed in zip(*(texts.column(c) for c in ("doc_ids", "held", "sizes", "packed")), strict=True):
-            sizes = np.array(sizes.as_py(), np.int64)
-            data = pa.decompress(packed.as_py(), int(sizes.sum()), codec="zstd", asbytes=True)
-            codes = grams_of(np.frombuffer(data, np.uint8), across)
-            some = codes >= 0
-            value = np.zeros(len(codes))
-            value[some] = logp[gram.get_indexer(codes[some])]
-            scores = np.add.reduceat(value, np.cumsum(sizes) - sizes)
-            at, tokens, ends = 0, [], []
-            for size in sizes.tolist():
-                tokens += data[at : at + size].split()
-                tokens.append(END)
-                at += size
-                ends.append(len(tokens))
-            where = pa.compute.index_in(pa.array(tokens, pa.binary()), value_set=known_words).to_numpy()
-            lens = np.diff(ends, prepend=0)
-            starts = ends - lens
-            hits, bases = np.add.reduceat(seen[where].astype(np.int64), starts), np.add.reduceat(base[where], starts)
-            out += zip(ids.as_py(), held.as_py(), lens.tolist(), hits.tolist(), [known] * len(ends), bases.tolist(), scores.tolist(), strict=True)
-        types = [found_kind(texts), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, types, strict=True)], names)
-
-    def found_kind(texts: pa.Table) -> pa.DataType:
-        return texts.schema.field("doc_ids").type.value_type
-
-    texts = blocks.where("packed is not null").select(F.col("block").alias("text_block"), "doc_ids", "held", "sizes", "packed")
+    # a partition holds whole blocks, and of a block the answers before the texts: a task reads them as they come. Texts go as
+    # bytes, since lists that are null in most rows cost the writer of an Arrow batch a pass over it a row
+    no_word, no_gram, no_value = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("value")
+    answers = grams.select("block", "gram").join(lengths, "gram").select((F.col("block") * 2).alias("turn"), "gram", no_word, F.col("logp").alias("value"))
+    answers = answers.unionByName(counted.select((F.col("block") * 2).alias("turn"), no_gram, "word", F.col("c").cast("double").alias("value")))
+    texts = blocks.where("packed is not null").select("block", "doc_ids", "held", "sizes", "packed").mapInArrow(_bundled, "block long, word binary")
+    rows = answers.unionByName(texts.select((F.col("block") * 2 + 1).alias("turn"), no_gram, "word", no_value))
+    rows = rows.repartition(F.shiftright("turn", 1)).sortWithinPartitions("turn")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("text_block").cogroup(answers.groupBy("block")).applyInArrow(summed, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(_scored(across, known, floor), schema).withColumnRenamed("doc_id", id_col)
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of texts as the bytes of an Arrow stream."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(i, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "word"])
+
+
+class _Answers:
+    """What a block's texts look up: code lengths of its contexts, counts of its words."""
+
+    def __init__(self) -> None:
+        self.grams: list[np.ndarray] = []
+        self.logps: list[np.ndarray] = []
+        self.words: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, gram: pa.Array, word: pa.Array, value: pa.Array) -> None:
+        of_gram, of_word = gram.is_valid(), word.is_valid()
+        self.grams.append(gram.filter(of_gram).to_numpy())
+        self.logps.append(value.filter(of_gram).to_numpy())
+        self.words.append(word.filter(of_word))
+        self.counts.append(value.filter(of_word).to_numpy())
+
+    def table(self, floor: float) -> tuple[pd.Index, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Contexts, their code lengths; words, whether each is known, their scores."""
+        count = np.concatenate(self.counts)
+        return pd.Index(np.concatenate(self.grams)), np.concatenate(self.logps), pa.concat_arrays(self.words), count > 0, np.log10((count + 0.1) / floor)
+
+
+def _scored(across: bool, known: int, floor: float):
+    """Scores of documents, from rows sorted by turn: the answers of a block (even), then its texts (odd). Holds the
+    answers of one block and one row of texts."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, answers, found = None, _Answers(), None
+        for batch in batches:
+            turns = batch.column("turn").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)] if len(turns) else [0]
+            for i, j in pairwise(cuts):
+                part, turn = batch.slice(i, j - i), int(turns[i])
+                if turn % 2 == 0:
+                    if turn != last:
+                        answers, found = _Answers(), None
+                    answers.add(*(part.column(c) for c in ("gram", "word", "value")))
+                else:
+                    if found is None:
+                        found, answers = answers.table(floor), _Answers()
+                    for bundle in part.column("word"):
+                        yield _row_scores(pa.ipc.open_stream(bundle.as_buffer()).read_all(), found, across, known)
+                last = turn
+
+    return scored
+
+
+def _row_scores(row: pa.Table, found: tuple, across: bool, known: int) -> pa.RecordBatch:
+    gram, logp, words, seen, base = found
+    ids, held, sizes = (row.column(c).combine_chunks().flatten() for c in ("doc_ids", "held", "sizes"))
+    sizes = sizes.to_numpy()
+    data = pa.decompress(row.column("packed")[0].as_py(), int(sizes.sum()), codec="zstd", asbytes=True)
+    codes = grams_of(np.frombuffer(data, np.uint8), across)
+    some = codes >= 0
+    value = np.zeros(len(codes))
+    value[some] = logp[gram.get_indexer(codes[some])]
+    scores = np.add.reduceat(value, np.cumsum(sizes) - sizes)
+    at, tokens, ends = 0, [], []
+    for size in sizes.tolist():
+        tokens += data[at : at + size].split()
+        tokens.append(END)
+        at += size
+        ends.append(len(tokens))
+    where = pa.compute.index_in(pa.array(tokens, pa.binary()), value_set=words).to_numpy()
+    lens = np.diff(ends, prepend=0)
+    starts = ends - lens
+    hits, bases = np.add.reduceat(seen[where].astype(np.int64), starts), np.add.reduceat(base[where], starts)
+    columns = [ids, held, pa.array(lens), pa.array(hits), pa.array(np.full(len(lens), known)), pa.array(bases), pa.array(scores)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
